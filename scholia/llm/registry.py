@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scholia.llm import mixing
+from scholia.llm import mixing, pii
 
-MODULES = (mixing,)
+MODULES = (mixing, pii)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
