@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scholia.llm import mixing, pii
+from scholia.llm import mixing, pii, toxicity
 
-MODULES = (mixing, pii)
+MODULES = (mixing, pii, toxicity)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
