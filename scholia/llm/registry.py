@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scholia.llm import mixing, pii, toxicity
+from scholia.llm import mixing, pii, quality, toxicity
 
-MODULES = (mixing, pii, toxicity)
+MODULES = (mixing, pii, toxicity, quality)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
