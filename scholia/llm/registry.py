@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scholia.llm import mixing, neardup, pii, quality, toxicity
+from scholia.llm import decontam, mixing, neardup, pii, quality, toxicity
 
-MODULES = (mixing, pii, toxicity, quality, neardup)
+MODULES = (mixing, pii, toxicity, quality, neardup, decontam)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
