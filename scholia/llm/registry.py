@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scholia.llm import decontam, mixing, neardup, pii, quality, toxicity
+from scholia.llm import ann, decontam, mixing, neardup, pii, quality, toxicity
 
-MODULES = (mixing, pii, toxicity, quality, neardup, decontam)
+MODULES = (mixing, pii, toxicity, quality, neardup, decontam, ann)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
