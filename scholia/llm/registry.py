@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scholia.llm import ann, decontam, mixing, neardup, pii, quality, toxicity
+from scholia.llm import ann, decontam, mixing, neardup, pii, quality, substrings, toxicity
 
-MODULES = (mixing, pii, toxicity, quality, neardup, decontam, ann)
+MODULES = (mixing, pii, toxicity, quality, neardup, decontam, ann, substrings)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
