@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scholia.llm import ann, decontam, mixing, neardup, pii, quality, substrings, toxicity
+from scholia.llm import ann, decontam, lmscore, mixing, neardup, pii, quality, substrings, toxicity
 
-MODULES = (mixing, pii, toxicity, quality, neardup, decontam, ann, substrings)
+MODULES = (mixing, pii, toxicity, quality, neardup, decontam, ann, substrings, lmscore)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
