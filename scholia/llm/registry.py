@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scholia.llm import ann, decontam, lmscore, mixing, neardup, pii, quality, substrings, toxicity
+from scholia.llm import ann, decontam, lmscore, mixing, neardup, pii, quality, substrings, tokencount, toxicity
 
-MODULES = (mixing, pii, toxicity, quality, neardup, decontam, ann, substrings, lmscore)
+MODULES = (mixing, tokencount, substrings, toxicity, lmscore, ann, pii, neardup, quality, decontam)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
