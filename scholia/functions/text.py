@@ -148,7 +148,7 @@ def normalised_timestamp(text: Column) -> Column:
 def safe_filename(name: Column) -> Column:
     """No directories, control characters or reserved marks; never empty; at most 120 characters."""
     base = F.regexp_replace(F.coalesce(name, F.lit("")), r"^.*[/\\]", "")
-    base = F.regexp_replace(base, r"[\p{Cntrl}  ]", "")
+    base = F.regexp_replace(base, r"[\p{Cntrl}\u2028\u2029]", "")
     base = F.trim(F.regexp_replace(base, r"[\\/:*?\"<>|]", "_"))
     return F.substring(F.when(base.rlike(r"^\.*$"), "upload").otherwise(base), 1, 120)
 

@@ -14,7 +14,7 @@ from scholia.functions.text import ends_like_sentence, identity_key, searchable_
 
 MIN_WORDS = 4
 _SPACE = "[ \\t\\n\\x0b\\f\\r]"
-_LINES = regex.compile("\r\n|[\n\x0b\x0c\r\x85  ]")
+_LINES = regex.compile("\r\n|[\n\x0b\x0c\r\x85\u2028\u2029]")
 _BULLET = regex.compile(rf"^{_SPACE}*[•▪●◦‣·\-–—*o]{_SPACE}+")
 _FURNITURE = regex.compile(rf"^{_SPACE}*([0-9]{{1,4}}|[!-/:-@\[-`{{-~ \t\n\x0b\f\r]+){_SPACE}*$")
 _BOUNDARY = regex.compile(rf"(?<=[.!?]){_SPACE}+(?=[\"'(\[A-Z0-9])")

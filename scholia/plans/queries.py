@@ -9,7 +9,7 @@ from scholia.functions import text as T
 from scholia.operators import answers as A
 from scholia.operators import bm25, catalog, quiz, retrieval, sentences, vectors
 from scholia.plans import binding as B
-from scholia.session import read_table
+from scholia.session import checkpointed, read_table
 
 
 def chunk_fixed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +170,7 @@ def sentence_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every question to every project, from the hybrid top 8 chunks."""
     chunks = B.chunks(spark, sf_dir)
-    hits = _hybrid(spark, sf_dir, chunks)
+    hits = checkpointed(_hybrid(spark, sf_dir, chunks))
     request = F.concat_ws("|", F.col("query_id").cast("string"), "project_id")
     sources = retrieval.hydrate(hits, chunks).select(request.alias("request_id"), F.col("rank").alias("source_order"), "chunk_id", "document_id", "page", "content")
     asked = hits.select("query_id", "project_id").distinct().join(B.questions(spark, sf_dir), "query_id").select(request.alias("request_id"), F.col("content").alias("question"))
