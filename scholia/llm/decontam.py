@@ -36,14 +36,21 @@ SIGNS = "%|€|\\$|£|°[CF]?"
 
 
 def surface(text: Column) -> Column:
-    """Lower-case tokens joined by single spaces; slots carry a placeholder before their value."""
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NAME}-{JOINT}]", " ")
-    text = F.regexp_replace(text, r"(?<=[\p{L}\p{N},;] )(\p{Lu}\p{Ll}+)", NAME + "$1")
-    text = F.regexp_replace(text, r"(?<=[0-9])[.,:/](?=[0-9])", JOINT)
+    """Lower-case tokens joined by single spaces; slots carry a placeholder before their value.
+
+    Texts without a digit skip the expressions for numbers and units.
+    """
+    digits = text.rlike("[0-9]")  # of the text as it comes, so that nothing is evaluated twice
+    text = F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + UNIT + JOINT, "    ")
+    text = F.regexp_replace(text, r"(?=\p{Lu})(?<=[\p{L}\p{N},;] )(\p{Lu}\p{Ll}+)", NAME + "$1")
     number = rf"(?<![\p{{L}}0-9{JOINT}{NUMBER}])([0-9][0-9{JOINT}]*+)"
-    text = F.regexp_replace(text, rf"(?i){number}[ ]?(?:({UNITS})(?![\p{{L}}0-9])|({SIGNS}))", f" {NUMBER}$1 {UNIT}$2$3 ")
-    text = F.regexp_replace(text, rf"{number}(?!\p{{L}})", f" {NUMBER}$1 ")
-    return F.trim(F.regexp_replace(F.lower(text), rf"(?:[^\p{{L}}\p{{M}}\p{{N}}{NAME}-{JOINT}%€$£°]|(?<!{UNIT})[%€$£°])+", " "))
+    counted = F.regexp_replace(text, r"(?<=[0-9])[.,:/](?=[0-9])", JOINT)
+    counted = F.regexp_replace(counted, rf"(?i){number}[ ]?(?:({UNITS})(?![\p{{L}}0-9])|({SIGNS}))", f" {NUMBER}$1 {UNIT}$2$3 ")
+    counted = F.regexp_replace(counted, rf"{number}(?!\p{{L}})", f" {NUMBER}$1 ")
+    counted = F.regexp_replace(counted, rf"(?<!{UNIT})[%€$£°]", " ")
+    counted = F.regexp_replace(F.lower(counted), rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}-{JOINT}%€$£°]+", " ")
+    plain = F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}]+", " ")
+    return F.trim(F.when(digits, counted).otherwise(plain))
 
 
 def template(surfaces: Column) -> Column:
@@ -51,38 +58,51 @@ def template(surfaces: Column) -> Column:
 
 
 def _tokens(df: DataFrame, text: Column, *keep: str) -> DataFrame:
-    """keep and the arrays `slots` (with values) and `tokens` (placeholders only), of equal size."""
-    df = df.select(*keep, surface(text).alias("surface")).filter("surface <> ''")
+    """keep and the arrays `slots` (with values) and `tokens` (placeholders only), of equal size.
+
+    No filter here: it would be pushed below and evaluate the expressions again.
+    """
+    df = df.select(*keep, surface(text).alias("surface"))
     return df.select(*keep, F.split("surface", " ").alias("slots"), F.split(template(F.col("surface")), " ").alias("tokens"))
 
 
 def _probes(tokens: DataFrame, size: int, step: int, *keep: str) -> DataFrame:
-    """keep, place and probe: the hash of `size` tokens from place, at every `step`-th place."""
+    """keep, place and probe: the hash of `size` tokens from place, at every `step`-th place.
+
+    explode_outer keeps the planner from evaluating the hashes once more in a filter of its own.
+    """
     places = F.sequence(F.lit(0), F.size("tokens") - size, F.lit(step))
-    hashed = F.transform(places, lambda i: F.struct(i.alias("place"), F.xxhash64(F.array_join(F.slice("tokens", i + 1, size), " ")).alias("probe")))
-    return tokens.filter(F.size("tokens") >= size).select(*keep, F.explode(hashed).alias("p")).select(*keep, "p.place", "p.probe")
+    hashed = F.transform(places, lambda i: F.struct(i.alias("place"), F.xxhash64(F.slice("tokens", i + 1, size)).alias("probe")))
+    hashed = F.when(F.size("tokens") >= size, hashed)
+    return tokens.select(*keep, F.explode_outer(hashed).alias("p")).select(*keep, "p.place", "p.probe")
 
 
 def _compare(aligned: DataFrame, window: int) -> DataFrame:
-    """aligned with n_windows, n_slots and consistent; it has shift (text place less item place)."""
-    inside = F.sequence(F.lit(0), F.size("item_tokens") - 1)
-
-    def bit(i: Column) -> Column:
-        at = i + F.col("shift")
-        return F.when((at >= 0) & (at < F.size("tokens")), F.when(F.get("tokens", at) == F.get("item_tokens", i), "1").otherwise("0")).otherwise("0")
-
-    need = F.least(F.size("item_tokens"), F.lit(window))
-    df = aligned.withColumn("need", need).withColumn("same", F.array_join(F.transform(inside, bit), ""))
-    starts = F.filter(F.sequence(F.lit(0), F.size("item_tokens") - F.col("need")), lambda i: F.substring(F.col("same"), i + 1, F.col("need")) == F.repeat(F.lit("1"), F.col("need")))
-    df = df.withColumn("starts", starts).filter(F.size("starts") > 0)
-    covered = F.filter(inside, lambda i: F.exists("starts", lambda s: (s <= i) & (i < s + F.col("need"))))
-    df = df.withColumn("covered", covered)
-    slots = F.filter("covered", lambda i: F.get("item_tokens", i).rlike(f"^[{NAME}-{UNIT}]"))
-    pairs = F.array_distinct(F.transform(slots, lambda i: F.struct(F.get("item_slots", i).alias("item"), F.get("slots", i + F.col("shift")).alias("text"))))
-    df = df.withColumn("pairs", pairs).withColumn("n_slots", F.size(slots))
-    one_to_one = (F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"]))) == F.size("pairs")) & (F.size(F.array_distinct(F.transform("pairs", lambda p: p["text"]))) == F.size("pairs"))
-    literal = F.size("covered") - F.col("n_slots") >= LITERAL * F.size("covered")
-    return df.filter(one_to_one & literal).withColumn("n_windows", F.size("starts")).withColumn("n_matched", F.size("covered"))
+    """aligned with n_windows, n_matched and n_slots; it has shift (text place less item place).
+
+    Arrays enter lambdas as arguments only: a column that a lambda refers to
+    would be evaluated again for every element.
+    """
+    skip = F.greatest(F.lit(0), -F.col("shift"))
+    count = F.least(F.size("item_tokens") - skip, F.size("tokens") - F.col("shift") - skip)
+    df = aligned.withColumn("need", F.least(F.size("item_tokens"), F.lit(window))).withColumn("skip", skip).withColumn("count", count)
+    own, other = F.col("skip") + 1, F.col("skip") + F.col("shift") + 1
+    zipped = F.arrays_zip(F.slice("item_tokens", own, F.col("count")).alias("a"), F.slice("item_slots", own, F.col("count")).alias("b"), F.slice("tokens", other, F.col("count")).alias("c"), F.slice("slots", other, F.col("count")).alias("d"))
+    df = df.select("t", "item_id", "need", zipped.alias("pairs"))
+    same = F.array_join(F.transform("pairs", lambda x: F.when(x["a"] == x["c"], "1").otherwise("0")), "")
+    df = df.select("t", "item_id", "need", "pairs", F.regexp_extract_all(same, F.lit("1+|0+"), F.lit(0)).alias("runs"))
+    need = F.col("need")
+    kept = F.transform("runs", lambda r: F.when(r.startswith("1") & (F.length(r) >= need), r).otherwise(F.repeat(F.lit("0"), F.length(r))))
+    windows = F.aggregate("runs", F.lit(0), lambda n, r: n + F.when(r.startswith("1") & (F.length(r) >= need), F.length(r) - need + 1).otherwise(0))
+    df = df.select("t", "item_id", "pairs", windows.alias("n_windows"), F.split(F.array_join(kept, ""), "").alias("bits"))
+    matched = F.filter(F.arrays_zip("pairs", "bits"), lambda x: x["bits"] == "1")
+    df = df.select("t", "item_id", "n_windows", matched.alias("matched"))
+    slots = F.filter("matched", lambda x: x["pairs"]["a"].rlike(f"^[{NAME}-{UNIT}]"))
+    df = df.select("t", "item_id", "n_windows", F.size("matched").alias("n_matched"), F.transform(slots, lambda x: F.struct(x["pairs"]["b"].alias("item"), x["pairs"]["d"].alias("text"))).alias("slots"))
+    distinct = F.array_distinct("slots")
+    df = df.select("t", "item_id", "n_windows", "n_matched", F.size("slots").alias("n_slots"), F.size(distinct).alias("n_pairs"), F.size(F.array_distinct(F.transform("slots", lambda p: p["item"]))).alias("n_item"), F.size(F.array_distinct(F.transform("slots", lambda p: p["text"]))).alias("n_text"))
+    one_to_one = (F.col("n_item") == F.col("n_pairs")) & (F.col("n_text") == F.col("n_pairs"))
+    return df.filter((F.col("n_windows") > 0) & one_to_one & (F.col("n_matched") - F.col("n_slots") >= LITERAL * F.col("n_matched")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, text: str = "text", item: str = "item_id", window: int = WINDOW, least: int = LEAST) -> DataFrame:
