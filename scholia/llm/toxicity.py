@@ -42,7 +42,9 @@ CACHE_WORDS = 200_000
 LEXICON = frozenset("idiot idiots moron morons loser losers scum trash stupid pathetic worthless disgusting clown clowns dumb imbecile jerk pig vermin garbage filth coward fool freak hate kill shut ugly".split())
 SECOND = frozenset("you your yours yourself youre u ur du dich dir dein deine euch ihr tu te toi vous ton ta votre usted ustedes tuyo vos".split())
 WORD = re.compile(r"[^\W\d_]+")
-MIXED = re.compile(r"[A-Za-z]+[0-9@$*!|.\-_]+(?=[A-Za-z0-9@$*!|.\-_]*[A-Za-z])[A-Za-z0-9@$*!|.\-_]+|[0-9@$]+[A-Za-z][A-Za-z0-9@$*!|]*")
+_PART = r"A-Za-z0-9@$*!|.\-_"
+# Possessive, and tried at the start of a token only: a token of any length is passed over once.
+MIXED = re.compile(rf"(?<![{_PART}])[*!|.\-_]*+(?:[A-Za-z]++[0-9@$*!|.\-_]++(?=[{_PART}]*[A-Za-z])[{_PART}]++|[0-9@$]++[A-Za-z][A-Za-z0-9@$*!|]*+)")
 LEET = str.maketrans("013457@$!|", "oieastasii", "*.-_")
 UPPER, LOWER, MARKS = (np.zeros(256, dtype=bool) for _ in range(3))
 UPPER[ord("A") : ord("Z") + 1] = True
