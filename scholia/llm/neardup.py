@@ -39,7 +39,6 @@ HASHES = BANDS * ROWS
 BLOCK = 256
 #: A key of 16 bytes and its overhead stay under 100 bytes a row: at most 20 MB.
 BROADCAST_KEYS = 200_000
-LOWEST = -12
 _SEED = U(0x51ED270B76A4D3C5)
 
 
@@ -74,46 +73,29 @@ def _uniform(h: np.ndarray) -> np.ndarray:
 def _darts(elements: np.ndarray, weights: np.ndarray, rows: np.ndarray, limit: np.ndarray, hashes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, coordinate, rank, id) of the darts that fall below an element's weight and its row's rank limit.
 
-    The plane of weight times rank is cut into dyadic cells; a cell of area over
-    one is cut along the rank into cells of area one. The number of darts in a
-    cell is Poisson in its area, drawn from a hash of element and cell, so the
-    same element throws the same darts in every text.
+    The weight axis is cut into dyadic cells [0, 1), [1, 2), [2, 4), ... In a
+    cell darts arrive along the rank axis at the rate of the cell's width, by
+    exponential gaps drawn from a hash of element, cell and number, so the same
+    element throws the same darts in every text.
     """
     out: list[tuple[np.ndarray, ...]] = []
-    most_weight, most_rank = (float(weights.max()), float(limit.max())) if len(elements) else (0.0, 0.0)
-    level = -1
-    while True:
-        low_w, width = (0.0, 1.0) if level < 0 else (2.0**level, 2.0**level)
-        if low_w >= most_weight:
-            break
-        heavy = np.flatnonzero(weights > low_w) if level >= 0 else np.arange(len(elements))
-        for step in range(LOWEST - 1, 62):
-            low_r, height = (0.0, 2.0**LOWEST) if step < LOWEST else (2.0**step, 2.0**step)
-            if low_r >= most_rank:
-                break
-            parts = max(1, int(width * height))
-            area = width * height / parts
-            cdf = np.cumsum([np.exp(-area) * area**c / float(np.prod(np.arange(1, c + 1, dtype=float))) for c in range(12)])
-            reach = heavy[limit[rows[heavy]] > low_r]
-            for part in range(parts):
-                bottom = low_r + part * height / parts
-                own = reach[limit[rows[reach]] > bottom] if part else reach
-                if not len(own):
-                    break
-                cell = mix(np.array([((level + 2) << 40) + ((step + 64) << 32) + part], dtype=U))[0]
-                seed = mix(elements[own] ^ cell ^ _SEED)
-                thrown = np.searchsorted(cdf, _uniform(seed), side="right")
-                for dart in range(int(thrown.max(initial=0))):
-                    hit = np.flatnonzero(thrown > dart)
-                    at = own[hit]
-                    name = mix(seed[hit] + U(dart * 2 + 1) * U(0xA0761D6478BD642F))
-                    spot = low_w + width * _uniform(mix(name + U(1)))
-                    rank = bottom + (height / parts) * _uniform(mix(name + U(2)))
-                    keep = (spot < weights[at]) & (rank < limit[rows[at]])
-                    if keep.any():
-                        name = name[keep]
-                        out.append((rows[at][keep], (mix(name + U(3)) % U(hashes)).astype(np.int64), rank[keep], name))
-        level += 1
+    heaviest = float(weights.max()) if len(elements) else 0.0
+    low, width, cell = 0.0, 1.0, 1
+    while low < heaviest:
+        own = np.flatnonzero(weights > low)
+        seed = mix(elements[own] ^ U(cell) * U(0xD1342543DE82EF95) ^ _SEED)
+        most, rank = limit[rows[own]], np.zeros(len(own))
+        dart = 0
+        while len(own):
+            name = mix(seed + U(2 * dart + 1) * U(0xA0761D6478BD642F))
+            rank = rank - np.log1p(-_uniform(name)) / width
+            live = rank < most
+            own, seed, most, rank, name = own[live], seed[live], most[live], rank[live], name[live]
+            inside = low + width * _uniform(mix(name + U(1))) < weights[own]
+            kept = name[inside]
+            out.append((rows[own[inside]], (mix(kept + U(3)) % U(hashes)).astype(np.int64), rank[inside], kept))
+            dart += 1
+        low, width, cell = low + width, max(width, low + width), cell + 1
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, U)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))  # type: ignore[return-value]
@@ -137,7 +119,7 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, rows: np.ndarray,
             own = limit[rows] > 0
             row, coordinate, rank, name = _darts(elements[own], weights[own], rows[own], limit, hashes)
             slot = row * hashes + coordinate
-            order = np.lexsort((name, rank, slot))
+            order = np.argsort(slot + 0.999 * rank / limit[row], kind="stable")  # by coordinate, then rank
             slot, name = slot[order], name[order]
             first = np.ones(len(slot), dtype=bool)
             first[1:] = slot[1:] != slot[:-1]
