@@ -97,21 +97,23 @@ class BoostedTrees:
         return out
 
 
-def hinge_dual(indices: np.ndarray, starts: np.ndarray, values: np.ndarray, y: np.ndarray, width: int, c: float = 1.0, rounds: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
+def hinge_dual(indices: np.ndarray, starts: np.ndarray, values: np.ndarray, scales: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear hinge-loss model by dual coordinate descent.
 
-    Rows are sparse: row i has indices[starts[i]:starts[i + 1]] with the values
-    beside them; y is -1 or 1. Each step solves one dual variable exactly within [0, c].
+    Rows are sparse: row i has the distinct features indices[starts[i]:starts[i + 1]],
+    each with its value times the row's scale; y is -1 or 1. Each step solves one
+    dual variable exactly within [0, c].
     """
-    weights, bias = np.zeros(width), 0.0
+    weights, bias = np.zeros(len(values)), 0.0
     alpha = np.zeros(len(y))
-    norm = np.array([float(values[a:b] @ values[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]) + 1.0
+    squares = values * values
+    norm = np.array([float(squares[indices[a:b]].sum()) for a, b in zip(starts[:-1], starts[1:], strict=True)]) * scales * scales + 1.0
     order = np.random.default_rng(seed)
     for _ in range(rounds):
         moved = 0.0
         for i in order.permutation(len(y)):
-            a, b = starts[i], starts[i + 1]
-            own, v = indices[a:b], values[a:b]
+            own = indices[starts[i] : starts[i + 1]]
+            v = values[own] * scales[i]
             gradient = y[i] * (float(weights[own] @ v) + bias) - 1.0
             new = min(max(alpha[i] - gradient / norm[i], 0.0), c)
             step = (new - alpha[i]) * y[i]

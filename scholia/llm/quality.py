@@ -111,22 +111,31 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> QualityMode
 
     got = sample.mapInArrow(featurise, "doc_id long, label int, x binary").toArrow().sort_by("doc_id")
     y = got.column("label").to_numpy().astype(float)
-    lists = [np.frombuffer(b, dtype=np.uint16).astype(np.int64) for b in got.column("x").to_pylist()]
     if len(set(y.tolist())) < 2:
         rate = float(y.mean()) if len(y) else 0.5
         return QualityModel(np.zeros(WIDTH), 0.0, Isotonic().fit(np.zeros(1), np.array([rate])))
+    # The features stay two bytes each, end to end; rows are slices.
+    packed = got.column("x").combine_chunks()
+    starts = np.concatenate(([0], np.cumsum([len(x.as_buffer()) // 2 for x in packed])))
+    flat = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint16) for x in packed])
+    del got, packed
+    rows_of = [flat[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
     aside = np.arange(len(y)) % 4 == 3
-    own = [x for x, out in zip(lists, aside, strict=True) if not out]
-    t = np.where(y[~aside] == 1, 1.0, -1.0)
-    counts = [np.bincount(np.concatenate([x for x, s in zip(own, t, strict=True) if s == side] or [np.zeros(0, np.int64)]), minlength=WIDTH) + SMOOTH for side in (1.0, -1.0)]
-    sides = [(t == side).sum() + 2 * SMOOTH for side in (1.0, -1.0)]
-    ratio = np.log(counts[0] / sides[0]) - np.log(counts[1] / sides[1])
-    starts = np.concatenate(([0], np.cumsum([len(x) for x in own])))
-    flat = np.concatenate(own)
-    scale = np.repeat(1.0 / np.sqrt(np.maximum(np.diff(starts), 1)), np.diff(starts))
-    weights, bias = hinge_dual(flat, starts, ratio[flat] * scale, t, WIDTH)
+    t = np.where(y == 1, 1.0, -1.0)
+    counts, sides = {}, {}
+    for side in (1.0, -1.0):
+        mine = np.flatnonzero(~aside & (t == side))
+        counts[side], sides[side] = np.full(WIDTH, SMOOTH), len(mine) + 2 * SMOOTH
+        for i in mine:
+            counts[side][rows_of[i]] += 1
+    ratio = np.log(counts[1.0] / sides[1.0]) - np.log(counts[-1.0] / sides[-1.0])
+    fitted = np.flatnonzero(~aside)
+    own_starts = np.concatenate(([0], np.cumsum([len(rows_of[i]) for i in fitted])))
+    own_flat = np.concatenate([rows_of[i] for i in fitted])
+    weights, bias = hinge_dual(own_flat, own_starts, ratio, 1.0 / np.sqrt(np.maximum(np.diff(own_starts), 1)), t[fitted])
     model = QualityModel(ratio * weights, bias, Isotonic())
-    model.calibration.fit(np.array([model.weights[x].sum() / np.sqrt(max(len(x), 1)) + bias for x, out in zip(lists, aside, strict=True) if out]), y[aside])
+    margins = [model.weights[rows_of[i]].sum() / np.sqrt(max(len(rows_of[i]), 1)) + bias for i in np.flatnonzero(aside)]
+    model.calibration.fit(np.array(margins), y[aside])
     return model
 
 
