@@ -9,7 +9,7 @@ import time
 from scholia.plans.registry import QUERIES
 from scholia.session import local_session
 
-HEADLINE = "chunk_fixed_windows tokenize_counts content_terms chunks_missing_vectors session_messages_nested cosine_topk rrf_fusion even_stride_sample term_df content_filter_flags lexical_grade cascade_delete_counts bm25_topk_plain mmr_summary cloze_quiz".split()
+HEADLINE = "chunk_fixed_windows tokenize_counts content_terms chunks_missing_vectors session_messages_nested cosine_topk rrf_fusion even_stride_sample term_df content_filter_flags lexical_grade cascade_delete_counts bm25_topk_english mmr_summary cloze_quiz".split()
 
 
 def main() -> None:
