@@ -5,8 +5,9 @@ parameters were changed keeps its template. Every STRIDE-th template window of
 a text is hash-joined to all windows of the items; an alignment that this finds
 is compared token by token, and counts where WINDOW consecutive template tokens
 agree and the slots are consistent: one item value stands for one text value
-throughout the alignment, and the other way round. Any run of WINDOW tokens
-holds a whole probe (2 * probe - 1 <= WINDOW), so no such run is missed.
+throughout the window, and the other way round. Each window is judged alone, so
+an edit outside it cannot clear it. Any run of WINDOW tokens holds a whole probe
+(2 * probe - 1 <= WINDOW), so no such run is missed.
 
 Defined results: null and empty texts and items match nothing; items of fewer
 than LEAST tokens are too short to be evidence and match nothing; shorter items
@@ -77,8 +78,46 @@ def _probes(tokens: DataFrame, size: int, step: int, *keep: str) -> DataFrame:
     return tokens.select(*keep, F.explode_outer(hashed).alias("p")).select(*keep, "p.place", "p.probe")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), where value is evaluated once however often body refers to it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _is_slot(x: Column) -> Column:
+    return (x["a"] == x["c"]) & x["a"].rlike(f"^[{NAME}-{UNIT}]")
+
+
+def _covered(starts: Column, w: Column) -> Column:
+    """struct(end, n_windows, n_matched, n_slots): windows from ascending starts, and the tokens and slots under them."""
+
+    def step(acc: Column, s: Column) -> Column:
+        first = F.greatest(s, acc["end"])
+        end = s + w["need"]
+        slots = F.length(F.translate(F.substring(w["flags"], first, end - first), "0", ""))
+        return F.struct(end.alias("end"), (acc["n_windows"] + 1).alias("n_windows"), (acc["n_matched"] + end - first).alias("n_matched"), (acc["n_slots"] + slots).alias("n_slots"))
+
+    return F.aggregate(starts, F.struct(*[F.lit(0).alias(n) for n in ("end", "n_windows", "n_matched", "n_slots")]), step)
+
+
+def _stands(s: Column, w: Column, every: Column) -> Column:
+    """Whether the agreeing window from s has consistent slots and literals enough, by itself or in all that agrees."""
+    slots = F.filter(F.slice(w["pairs"], s, w["need"]), _is_slot)
+    literal = (F.size(slots) <= (1 - LITERAL) * w["need"]) | (every["n_slots"] <= (1 - LITERAL) * every["n_matched"])
+    distinct = F.array_distinct(F.transform(slots, lambda x: F.struct(x["b"].alias("item"), x["d"].alias("text"))))
+    one_to_one = _let(distinct, lambda p: (F.size(F.array_distinct(F.transform(p, lambda x: x["item"]))) == F.size(p)) & (F.size(F.array_distinct(F.transform(p, lambda x: x["text"]))) == F.size(p)))
+    return literal & one_to_one
+
+
+def _judged(w: Column) -> Column:
+    """_covered of the windows of w that count; w has need, pairs, and per pair codes (0 differs) and flags (1 slot)."""
+    last = F.length(w["codes"]) - w["need"] + 1
+    places = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    agree = F.filter(places, lambda s: ~F.substring(w["codes"], s, w["need"]).contains("0"))
+    return _let(agree, lambda starts: _let(_covered(starts, w), lambda every: _covered(F.filter(starts, lambda s: _stands(s, w, every)), w)))
+
+
 def _compare(aligned: DataFrame, window: int) -> DataFrame:
-    """aligned with n_windows, n_matched and n_slots; it has shift (text place less item place).
+    """(t, item_id, n_windows, n_matched, n_slots) per row of aligned; it has shift (text place less item place).
 
     Arrays enter lambdas as arguments only: a column that a lambda refers to
     would be evaluated again for every element.
@@ -89,24 +128,17 @@ def _compare(aligned: DataFrame, window: int) -> DataFrame:
     own, other = F.col("skip") + 1, F.col("skip") + F.col("shift") + 1
     zipped = F.arrays_zip(F.slice("item_tokens", own, F.col("count")).alias("a"), F.slice("item_slots", own, F.col("count")).alias("b"), F.slice("tokens", other, F.col("count")).alias("c"), F.slice("slots", other, F.col("count")).alias("d"))
     df = df.select("t", "item_id", "need", zipped.alias("pairs"))
-    same = F.array_join(F.transform("pairs", lambda x: F.when(x["a"] == x["c"], "1").otherwise("0")), "")
-    df = df.select("t", "item_id", "need", "pairs", F.regexp_extract_all(same, F.lit("1+|0+"), F.lit(0)).alias("runs"))
-    need = F.col("need")
-    kept = F.transform("runs", lambda r: F.when(r.startswith("1") & (F.length(r) >= need), r).otherwise(F.repeat(F.lit("0"), F.length(r))))
-    windows = F.aggregate("runs", F.lit(0), lambda n, r: n + F.when(r.startswith("1") & (F.length(r) >= need), F.length(r) - need + 1).otherwise(0))
-    df = df.select("t", "item_id", "pairs", windows.alias("n_windows"), F.split(F.array_join(kept, ""), "").alias("bits"))
-    matched = F.filter(F.arrays_zip("pairs", "bits"), lambda x: x["bits"] == "1")
-    df = df.select("t", "item_id", "n_windows", matched.alias("matched"))
-    slots = F.filter("matched", lambda x: x["pairs"]["a"].rlike(f"^[{NAME}-{UNIT}]"))
-    df = df.select("t", "item_id", "n_windows", F.size("matched").alias("n_matched"), F.transform(slots, lambda x: F.struct(x["pairs"]["b"].alias("item"), x["pairs"]["d"].alias("text"))).alias("slots"))
-    distinct = F.array_distinct("slots")
-    df = df.select("t", "item_id", "n_windows", "n_matched", F.size("slots").alias("n_slots"), F.size(distinct).alias("n_pairs"), F.size(F.array_distinct(F.transform("slots", lambda p: p["item"]))).alias("n_item"), F.size(F.array_distinct(F.transform("slots", lambda p: p["text"]))).alias("n_text"))
-    one_to_one = (F.col("n_item") == F.col("n_pairs")) & (F.col("n_text") == F.col("n_pairs"))
-    return df.filter((F.col("n_windows") > 0) & one_to_one & (F.col("n_matched") - F.col("n_slots") >= LITERAL * F.col("n_matched")))
+    codes = F.array_join(F.transform("pairs", lambda x: F.when(x["a"] == x["c"], "1").otherwise("0")), "")
+    flags = F.array_join(F.transform("pairs", lambda x: F.when(_is_slot(x), "1").otherwise("0")), "")
+    df = df.select("t", "item_id", F.struct("need", "pairs", codes.alias("codes"), flags.alias("flags")).alias("w"))
+    return df.select("t", "item_id", _let(F.col("w"), _judged).alias("j")).select("t", "item_id", "j.n_windows", "j.n_matched", "j.n_slots")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, text: str = "text", item: str = "item_id", window: int = WINDOW, least: int = LEAST) -> DataFrame:
-    """(t, item_id, n_windows, n_matched, n_slots): texts by key and the items that they hold, with the best alignment."""
+    """(t, item_id, n_windows, n_matched, n_slots): texts by key and the items that they hold, with the best alignment.
+
+    Tokens and slots are those under windows that count.
+    """
     items = scratch.write(_tokens(benchmark, F.col(text), item).filter(F.size("tokens") >= least).select(F.col(item).alias("item_id"), F.col("tokens").alias("item_tokens"), F.col("slots").alias("item_slots")), "items")
     facts = items.agg(F.count("*").alias("n"), F.min(F.size("item_tokens")).alias("shortest"), F.sum(F.size("item_tokens")).alias("places")).first()
     size = (min(window, facts["shortest"] or window) + 1) // 2
@@ -120,7 +152,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, text:
     by_item = F.broadcast(items) if facts["n"] <= BROADCAST_ITEMS else items
     aligned = _compare(found.join(texts, "t").join(by_item, "item_id"), window)
     best = F.max(F.struct("n_windows", "n_matched", "n_slots")).alias("best")
-    return scratch.write(aligned.groupBy("t", "item_id").agg(best).select("t", "item_id", "best.*"), "hits")
+    return scratch.write(aligned.groupBy("t", "item_id").agg(best).filter("best.n_windows > 0").select("t", "item_id", "best.*"), "hits")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -118,3 +118,18 @@ def test_templates_catch_new_parameters(spark, scratch):
     assert sorted(r.doc_id for r in decontam.drop_contaminated(docs, items).collect()) == sorted(set(texts) - {d for d, _ in got})
     assert decontam.drop_contaminated(docs.limit(0), items).count() == 0
     assert decontam.drop_contaminated(docs, items.limit(0)).count() == len(texts)
+
+
+def hits_of(spark, scratch, texts, items):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hits = decontam.contaminated(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), scratch)
+    return {(r.doc_id, r.item_id): r for r in docs.select("doc_id", decontam.text_key(F.col("text")).alias("t")).join(hits, "t").collect()}
+
+
+def test_an_edit_elsewhere_clears_no_window(spark, scratch):
+    item = ITEM + " Every evening she walks home by the river and counts what her 12 friends have earned."
+    both = item.replace("12 apples", "47 apples").replace("12 friends", "48 friends")
+    got = hits_of(spark, scratch, [item.replace("12 pears", "48 pears"), both.replace("12 pears", "49 pears"), ITEM.replace("12 pears", "48 pears").split(" market")[0]], [item, ITEM])
+    assert {(0, 0), (0, 1), (1, 0), (1, 1)} <= set(got)
+    assert not {(2, 0), (2, 1)} & set(got)  # every agreeing window holds both twelves
+    assert (got[0, 1].n_windows, got[0, 1].n_matched, got[0, 1].n_slots) == (4, 16, 3)
