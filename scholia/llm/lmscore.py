@@ -1,8 +1,9 @@
 """Language-model scoring: stupid-backoff scores from n-gram count tables partitioned by hash.
 
-Documents are laid into blocks. A block asks for the counts of its distinct
-n-grams: one row per hash range holds their sorted hashes and how often the
-block has them. A range adds up what all blocks have and answers each block in
+Documents are laid into blocks, which hold their words as places in the block's
+own vocabulary of word hashes, not the texts again. A block asks for the counts
+of its distinct n-grams: one row per hash range holds their sorted hashes, as
+differences, and how often the block has them. A range adds up what all blocks have and answers each block in
 the same order, so an answer carries counts alone. The answers then meet their
 block, whose n-grams look up their counts and are summed per document. A
 frequent n-gram is one entry per block, so no key is hot.
@@ -29,16 +30,39 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm.wordhash import U, chunks, ngrams, raw_bytes, word_hashes, word_spans
+from scholia.llm.wordhash import U, chunks, hashed, ngrams, raw_bytes
 from scholia.session import Scratch, checkpointed, read_table
 
-ORDER = 2
+ORDER = 3
 BACKOFF = 0.4
 LEAST = 2
 BLOCK_BYTES = 4_000_000
 BLOCK_ROWS = 20_000
 #: A range of hashes for every so many blocks keeps what one range holds alike at every size.
 BLOCKS_PER_RANGE = 4
+#: Words are hashed in pieces of so many bytes; hashing takes about 40 times as much memory.
+HASH_BYTES = 500_000
+CODEC = pa.Codec("zstd", compression_level=1)
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers from 0, byte plane by byte plane, compressed."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return len(values).to_bytes(8, "little") + CODEC.compress(planes.tobytes(), asbytes=True)
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:8], "little")
+    planes = np.frombuffer(CODEC.decompress(packed[8:], 8 * n, asbytes=True), dtype=np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel()
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    return pack(np.diff(values, prepend=U(0)))
+
+
+def unpack_sorted(packed: bytes) -> np.ndarray:
+    return np.cumsum(unpack(packed), dtype=U)
 
 
 @contextmanager
@@ -54,30 +78,33 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
 
 
 def blocks_of(docs: DataFrame) -> DataFrame:
-    """(block, ids, texts, words) of docs (id, text), one row per block."""
+    """(block, ids, vocabulary, places, counts, words) of docs (id, text), one row per block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         for batch in batches:
-            data, offsets = raw_bytes(batch.column("text"))
+            _, offsets = raw_bytes(batch.column("text"))
             for first, last in chunks(offsets, BLOCK_BYTES, BLOCK_ROWS):
-                a, b = int(offsets[first]), int(offsets[last])
-                words = len(word_spans(data[a:b], offsets[first : last + 1] - a)[0])
                 own = batch.slice(first, last - first)
+                words, counts = block_words(own.column("text"))
+                vocabulary, places = np.unique(words, return_inverse=True)
                 ids = pa.ListArray.from_arrays(pa.array([0, last - first], pa.int32()), own.column("id").cast(pa.int64()))
-                texts = pa.ListArray.from_arrays(pa.array([0, last - first], pa.int32()), own.column("text").cast(pa.string()).fill_null(""))
-                yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + number], pa.int64()), ids, texts, pa.array([words], pa.int64())], names=["block", "ids", "texts", "words"])
+                packed = [pa.array([x], pa.binary()) for x in (pack_sorted(vocabulary), pack(places), pack(counts))]
+                yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + number], pa.int64()), ids, *packed, pa.array([len(words)], pa.int64())], names=["block", "ids", "vocabulary", "places", "counts", "words"])
                 number += 1
 
-    return docs.mapInArrow(run, "block long, ids array<long>, texts array<string>, words long")
+    return docs.mapInArrow(run, "block long, ids array<long>, vocabulary binary, places binary, counts binary, words long")
+
+
+def block_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts, in order, and the words per row."""
+    parts = [(words, counts) for _, _, words, counts in hashed(texts, HASH_BYTES)]
+    return np.concatenate([np.zeros(0, dtype=U), *[p[0] for p in parts]]), np.concatenate([np.zeros(0, dtype=np.int64), *[p[1] for p in parts]])
 
 
-def block_ngrams(texts: pa.Array, order: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """n-grams of a block for n = 1 ... order as (hash, row), and the words per row."""
-    data, offsets = raw_bytes(texts)
-    starts, ends, counts = word_spans(data, offsets)
-    words = word_hashes(data, starts, ends)
-    return [ngrams(words, counts, n) for n in range(1, order + 1)], counts
+def unpacked_block(vocabulary: bytes, places: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """What block_words gave."""
+    return unpack_sorted(vocabulary)[unpack(places).astype(np.int64)], unpack(counts).astype(np.int64)
 
 
 def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
@@ -90,37 +117,37 @@ def asked_counts(blocks: DataFrame, order: int, ranges: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, block in enumerate(batch.column("block").to_pylist()):
-                grams, _ = block_ngrams(batch.column("texts")[i].values, order)
-                for n, (hashes, _) in enumerate(grams, 1):
-                    own, times = np.unique(hashes, return_counts=True)
+            for row in batch.to_pylist():
+                words, counts = unpacked_block(row["vocabulary"], row["places"], row["counts"])
+                for n in range(1, order + 1):
+                    own, times = np.unique(ngrams(words, counts, n)[0], return_counts=True)
                     place = _range_of(own, ranges)
                     cut = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(own) else np.zeros(0, np.int64)
                     ends = np.append(cut[1:], len(own))
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(place[cut].astype(np.int64)),
-                            pa.array([block] * len(cut), pa.int64()),
+                            pa.array([row["block"]] * len(cut), pa.int64()),
                             pa.array([n] * len(cut), pa.int32()),
-                            pa.array([own[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()),
-                            pa.array([times[a:b].astype("<u4").tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()),
+                            pa.array([pack_sorted(own[a:b]) for a, b in zip(cut, ends, strict=True)], pa.binary()),
+                            pa.array([pack(times[a:b]) for a, b in zip(cut, ends, strict=True)], pa.binary()),
                         ],
                         names=["range", "block", "n", "hashes", "times"],
                     )
 
-    return blocks.select("block", "texts").mapInArrow(run, "range long, block long, n int, hashes binary, times binary")
+    return blocks.select("block", "vocabulary", "places", "counts").mapInArrow(run, "range long, block long, n int, hashes binary, times binary")
 
 
 def answered_counts(asked: DataFrame) -> DataFrame:
     """(block, n, range, counts): corpus counts in the order of the hashes asked."""
 
     def add(held: list[dict]) -> pa.RecordBatch:
-        hashes = [np.frombuffer(r["hashes"], dtype=U) for r in held]
+        hashes = [unpack_sorted(r["hashes"]) for r in held]
         totals, where = np.unique(np.concatenate(hashes), return_inverse=True)
-        sums = np.bincount(where, weights=np.concatenate([np.frombuffer(r["times"], dtype="<u4") for r in held]), minlength=len(totals)).astype("<u8")
+        sums = np.bincount(where, weights=np.concatenate([unpack(r["times"]) for r in held]), minlength=len(totals))
         cut = np.cumsum([0, *map(len, hashes)])
         counts = [sums[where[a:b]] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([r["block"] for r in held], pa.int64()), pa.array([r["n"] for r in held], pa.int32()), pa.array([r["range"] for r in held], pa.int64()), pa.array([c.tobytes() for c in counts], pa.binary())], names=["block", "n", "range", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array([r["block"] for r in held], pa.int64()), pa.array([r["n"] for r in held], pa.int32()), pa.array([r["range"] for r in held], pa.int64()), pa.array([pack(c) for c in counts], pa.binary())], names=["block", "n", "range", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -144,11 +171,11 @@ def score_blocks(blocks: DataFrame, answers: DataFrame, total: int, order: int,
         tables: dict[int, np.ndarray] = {}
         for n in range(1, order + 1):
             own = [r for r in right.to_pylist() if r["n"] == n]
-            parts = [np.frombuffer(r["counts"], dtype="<u8") for r in sorted(own, key=lambda r: r["range"])]
+            parts = [unpack(r["counts"]) for r in sorted(own, key=lambda r: r["range"])]
             tables[n] = np.concatenate(parts).astype(float) if parts else np.zeros(0)
         for i in range(left.num_rows):
-            grams, counts = block_ngrams(left.column("texts").combine_chunks()[i].values, order)
-            per = {n: tables[n][np.unique(h, return_inverse=True)[1]] for n, (h, _) in enumerate(grams, 1)}
+            words_at, counts = unpacked_block(*(left.column(c)[i].as_py() for c in ("vocabulary", "places", "counts")))
+            per = {n: tables[n][np.unique(ngrams(words_at, counts, n)[0], return_inverse=True)[1]] for n in range(1, order + 1)}
             words = int(counts.sum())
             ends = np.cumsum(counts)
             inside = np.arange(words) - np.repeat(ends - counts, counts)  # words of context at hand
@@ -172,7 +199,7 @@ def score_blocks(blocks: DataFrame, answers: DataFrame, total: int, order: int,
             ids.append(left.column("ids").combine_chunks()[i].values)
         return pa.table({"doc_id": pa.chunked_array(ids, pa.int64()), "n_words": pa.array(np.concatenate([*sizes, np.zeros(0)]).astype(np.int64)), "log_score": pa.array(np.concatenate([*scores, np.zeros(0)]))})
 
-    return blocks.select("block", "ids", "texts").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, n_words long, log_score double")
+    return blocks.select("block", "ids", "vocabulary", "places", "counts").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, n_words long, log_score double")
 
 
 def backoff_scores(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:

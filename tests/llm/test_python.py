@@ -139,6 +139,22 @@ def test_backoff_equals_brute_force(spark, scratch, monkeypatch, order):
         assert (got[d].mean_log_score is None) == (not w)
 
 
+def test_registered_scores_use_three_words(spark, scratch, tmp_path):
+    texts = ["a b c", "a b c", "x b d", "a b d", "a b"]
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.log_score for r in lmscore.op5_lmscore(spark, str(tmp_path)).collect()}
+    # a: 4 of 14, no context; b after a: 4 of 4; c after a b: 2 of 4
+    assert got[0] == pytest.approx(math.log(4 / 14) + math.log(4 / 4) + math.log(2 / 4))
+    # "a b d" comes once, so d backs off to b d: 2 of 5
+    assert got[3] == pytest.approx(math.log(4 / 14) + math.log(4 / 4) + math.log(0.4 * 2 / 5))
+
+
+def test_packed_numbers_come_back():
+    for values in ([], [0], [1, 1, 2], [0, 5, 2**63, 2**64 - 1]):
+        values = np.array(values, dtype=np.uint64)
+        assert (lmscore.unpack(lmscore.pack(values)) == values).all() and (lmscore.unpack_sorted(lmscore.pack_sorted(values)) == values).all()
+
+
 def test_tree_counts_follow_edits():
     counter = tokencount.PieceCounter(tokencount.read_ranks(tokencount.default_vocabulary()))
     rng = random.Random(5)
