@@ -3,8 +3,10 @@
 DataFrame functions only. The base patterns find e-mail addresses, IP
 addresses, payment cards and phone numbers. Those seeds induce lexical
 patterns (the two words on their left); a pattern-instance graph over all
-documents is scored in rounds, and patterns that stay at high confidence mark
-further digit-bearing tokens as identifiers of their kind.
+documents is scored in rounds: what a confident pattern finds in the shape of
+its kind becomes a seed of the next round, until nothing new is found. The
+patterns that are confident then mark further digit-bearing tokens as
+identifiers of their kind.
 
 Defined results: a null text is empty; a null doc_id keeps its row; repeated
 rows each get the same spans; empty tables give empty results. Offsets are
@@ -37,7 +39,6 @@ CANDIDATE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 MIN_DIGITS = 6
 MIN_SUPPORT = 5
 MIN_CONFIDENCE = 0.9
-ROUNDS = 3
 
 
 def luhn(digits: Column) -> Column:
@@ -118,25 +119,44 @@ def context(left: Column) -> Column:
     return F.when(words == "", F.lit(None)).otherwise(F.regexp_replace(words, r"\s+", " "))
 
 
+def shaped(kind: str, found: Column) -> Column:
+    """Whether a candidate could be of the kind, in a form that the fixed patterns need not know."""
+    digits, letters = F.length(F.regexp_replace(found, "[^0-9]", "")), found.rlike(r"\p{L}")
+    if kind == "email":
+        return found.rlike(r"\A[^\s@]+@[^\s@]+\z")
+    if kind == "ip":
+        return found.rlike(r"\A[^\p{L}0-9]*[0-9A-Fa-f]+(?:[.:-][0-9A-Fa-f]*){3,7}[^\p{L}0-9]*\z")
+    return digits.between(*((13, 19) if kind == "card" else (MIN_DIGITS, 15))) & ~letters & ~found.contains("@")
+
+
 def confident_patterns(edges: DataFrame) -> DataFrame:
     """(pattern, kind, confidence) of patterns that mark unseen identifiers.
 
     edges: (pattern, instance, kind), kind null unless the instance is a seed.
-    Each round gives a pattern the mean confidence of its distinct instances,
-    and an instance that is no seed the best confidence of its patterns that
-    are supported by MIN_SUPPORT seeds or more and reach MIN_CONFIDENCE.
+    A pattern has MIN_SUPPORT distinct seeds of its kind or more. Its
+    confidence is their share among its distinct instances, without the
+    unlabelled ones of the right shape, which speak neither for nor against it:
+    seeds of other kinds and misshapen instances are its negatives. Right-shaped
+    instances of patterns that reach MIN_CONFIDENCE become seeds; rounds end
+    when there are none to add, as they do, since seeds only grow.
     """
-    graph = checkpointed(edges.filter("pattern IS NOT NULL").groupBy("pattern", "instance").agg(F.max("kind").alias("kind")))
-    support = graph.groupBy("pattern").agg(F.count("kind").alias("support"), F.max("kind").alias("pattern_kind"), F.min("kind").alias("least_kind"))
-    able = checkpointed(support.filter((F.col("support") >= MIN_SUPPORT) & (F.col("pattern_kind") == F.col("least_kind"))).select("pattern", F.col("pattern_kind")))
-    graph = graph.join(able, "pattern")
-    scored = graph.withColumn("confidence", F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0))
-    patterns = None
-    for _ in range(ROUNDS):
-        patterns = checkpointed(scored.groupBy("pattern", "pattern_kind").agg(F.avg("confidence").alias("confidence")))
-        best = graph.join(patterns.filter(F.col("confidence") >= MIN_CONFIDENCE).select("pattern", F.col("confidence").alias("reached")), "pattern").groupBy("instance").agg(F.max("reached").alias("reached"))
-        scored = graph.join(best, "instance", "left").withColumn("confidence", F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.coalesce("reached", F.lit(0.0))))
-    return patterns.filter(F.col("confidence") >= MIN_CONFIDENCE).select("pattern", F.col("pattern_kind").alias("kind"), "confidence")
+    graph = edges.filter("pattern IS NOT NULL").groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
+    many = graph.groupBy("pattern").count().filter(F.col("count") >= MIN_SUPPORT).select("pattern")
+    graph = checkpointed(graph.join(many, "pattern").select("pattern", "instance", "kind", F.array(*[shaped(k, F.col("instance")) for k in KINDS]).alias("shapes")))
+    seeds = checkpointed(graph.filter("kind IS NOT NULL").groupBy("instance").agg(F.max("kind").alias("kind")))
+    graph = graph.drop("kind")
+    while True:
+        known = graph.join(seeds, "instance", "left")
+        votes = [F.struct(F.lit(k).alias("kind"), F.count(F.when(F.col("kind") == k, 1)).alias("support"), F.count(F.when(F.coalesce(F.col("kind") != k, ~F.col("shapes")[i]), 1)).alias("against")) for i, k in enumerate(KINDS)]
+        scored = known.groupBy("pattern").agg(F.array(*votes).alias("votes")).select("pattern", F.explode("votes").alias("v")).select("pattern", "v.*")
+        scored = scored.withColumn("confidence", F.col("support") / F.greatest(F.col("support") + F.col("against"), F.lit(1)))
+        patterns = checkpointed(scored.filter((F.col("support") >= MIN_SUPPORT) & (F.col("confidence") >= MIN_CONFIDENCE)).select("pattern", "kind", "confidence"))
+        fits = F.element_at("shapes", F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int"))
+        found = graph.join(patterns, "pattern").filter(fits).join(seeds, "instance", "left_anti").groupBy("instance").agg(F.max(F.struct("confidence", "kind")).alias("best")).select("instance", "best.kind")
+        found = checkpointed(found)
+        if found.isEmpty():
+            return patterns
+        seeds = checkpointed(seeds.unionByName(found))
 
 
 def find_pii(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:

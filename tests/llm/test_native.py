@@ -97,6 +97,16 @@ def test_contexts_find_what_patterns_miss(spark, scratch):
     assert clean[3] == "please my number is [PHONE] thanks"
 
 
+def test_found_identifiers_become_seeds(spark, scratch):
+    rows = [(i, f"my number is +1 (499) 555-{1000 + i} thanks") for i in range(60)]
+    rows += [(100 + i, f"my number is 0499-555-7{i:02} ok") for i in range(10)]
+    rows += [(200 + i, f"please ring up 0499-555-7{i:02} now") for i in range(6)] + [(300, "please ring up 0171-222-333 now")]
+    rows += [(400 + i, f"part code is {100000 + i} x") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.pii_key: [s.kind for s in r.pii_extra] for r in pii.find_pii(docs, scratch)[1].collect()}
+    assert found == {d: ["phone"] for d, _ in rows if 100 <= d <= 300}
+
+
 ITEM = "A farmer named Alice sells 12 apples and 12 pears for 30 dollars each day in the big market of her town."
 
 
