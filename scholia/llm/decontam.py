@@ -25,7 +25,7 @@ from scholia.session import Scratch, checkpointed, read_table
 
 WINDOW = 13
 LEAST = 7
-#: Literal tokens that a run must have beside its placeholders, as a share.
+#: Literal tokens that a window with changed values must have beside its placeholders, as a share.
 LITERAL = 0.5
 #: A probe row is under 40 bytes, an item under 10 kB: at most 8 MB and 50 MB.
 BROADCAST_PROBES = 200_000
@@ -100,16 +100,17 @@ def _covered(starts: Column, w: Column) -> Column:
 
 
 def _stands(s: Column, w: Column, every: Column) -> Column:
-    """Whether the agreeing window from s has consistent slots and literals enough, by itself or in all that agrees."""
+    """Whether the agreeing window from s has the same values (code 2) throughout, or consistent slots and literals enough, by itself or in all that agrees."""
+    verbatim = ~F.substring(w["codes"], s, w["need"]).contains("1")
     slots = F.filter(F.slice(w["pairs"], s, w["need"]), _is_slot)
     literal = (F.size(slots) <= (1 - LITERAL) * w["need"]) | (every["n_slots"] <= (1 - LITERAL) * every["n_matched"])
     distinct = F.array_distinct(F.transform(slots, lambda x: F.struct(x["b"].alias("item"), x["d"].alias("text"))))
     one_to_one = _let(distinct, lambda p: (F.size(F.array_distinct(F.transform(p, lambda x: x["item"]))) == F.size(p)) & (F.size(F.array_distinct(F.transform(p, lambda x: x["text"]))) == F.size(p)))
-    return literal & one_to_one
+    return verbatim | (literal & one_to_one)
 
 
 def _judged(w: Column) -> Column:
-    """_covered of the windows of w that count; w has need, pairs, and per pair codes (0 differs) and flags (1 slot)."""
+    """_covered of the windows of w that count; w has need, pairs, and per pair codes (0 differs, 1 agrees, 2 has the same value) and flags (1 slot)."""
     last = F.length(w["codes"]) - w["need"] + 1
     places = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
     agree = F.filter(places, lambda s: ~F.substring(w["codes"], s, w["need"]).contains("0"))
@@ -128,7 +129,7 @@ def _compare(aligned: DataFrame, window: int) -> DataFrame:
     own, other = F.col("skip") + 1, F.col("skip") + F.col("shift") + 1
     zipped = F.arrays_zip(F.slice("item_tokens", own, F.col("count")).alias("a"), F.slice("item_slots", own, F.col("count")).alias("b"), F.slice("tokens", other, F.col("count")).alias("c"), F.slice("slots", other, F.col("count")).alias("d"))
     df = df.select("t", "item_id", "need", zipped.alias("pairs"))
-    codes = F.array_join(F.transform("pairs", lambda x: F.when(x["a"] == x["c"], "1").otherwise("0")), "")
+    codes = F.array_join(F.transform("pairs", lambda x: F.when(x["b"] == x["d"], "2").when(x["a"] == x["c"], "1").otherwise("0")), "")
     flags = F.array_join(F.transform("pairs", lambda x: F.when(_is_slot(x), "1").otherwise("0")), "")
     df = df.select("t", "item_id", F.struct("need", "pairs", codes.alias("codes"), flags.alias("flags")).alias("w"))
     return df.select("t", "item_id", _let(F.col("w"), _judged).alias("j")).select("t", "item_id", "j.n_windows", "j.n_matched", "j.n_slots")

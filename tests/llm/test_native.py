@@ -143,3 +143,9 @@ def test_an_edit_elsewhere_clears_no_window(spark, scratch):
     assert {(0, 0), (0, 1), (1, 0), (1, 1)} <= set(got)
     assert not {(2, 0), (2, 1)} & set(got)  # every agreeing window holds both twelves
     assert (got[0, 1].n_windows, got[0, 1].n_matched, got[0, 1].n_slots) == (4, 16, 3)
+
+
+def test_verbatim_passages_need_no_literals(spark, scratch):
+    item = "mix 5 kg 10 eur 7 km 3 days 12 hours 40 miles 6 oz 8 lbs then"
+    got = hits_of(spark, scratch, ["zz " + item + " zz", item.replace("5", "6").replace("10", "11").replace("7", "9").replace("12", "13").replace("40", "41").replace("8", "2")], [item])
+    assert set(got) == {(0, 0)}
