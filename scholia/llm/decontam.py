@@ -1,13 +1,17 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
 Numbers, names and units become typed placeholders, so a question whose
-parameters were changed keeps its template. Every STRIDE-th template window of
-a text is hash-joined to all windows of the items; an alignment that this finds
-is compared token by token, and counts where WINDOW consecutive template tokens
-agree and the slots are consistent: one item value stands for one text value
+parameters were changed keeps its template. Tokens agree if their placeholders
+or their lower-case values are equal, so a name that only one side shows as one
+(at the start of a sentence, in upper or lower case) agrees with itself. Windows
+of a text at every probe's length are hash-joined to all windows of the items, in
+three forms: with placeholders, with names as values, with all as values. An
+alignment that this finds is compared token by token, and counts where WINDOW
+consecutive tokens agree and the slots are consistent: one item value stands for one text value
 throughout the window, and the other way round. Each window is judged alone, so
 an edit outside it cannot clear it. Any run of WINDOW tokens holds a whole probe
-(2 * probe - 1 <= WINDOW), so no such run is missed.
+(2 * probe - 1 <= WINDOW), so no run is missed that agrees in one form; one whose
+probes all mix changed names with re-cased ones can be.
 
 Defined results: null and empty texts and items match nothing; items of fewer
 than LEAST tokens are too short to be evidence and match nothing; shorter items
@@ -43,6 +47,7 @@ def surface(text: Column) -> Column:
     """
     digits = text.rlike("[0-9]")  # of the text as it comes, so that nothing is evaluated twice
     text = F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + UNIT + JOINT, "    ")
+    text = F.regexp_replace(text, r"[\s\p{Z}]{2,}+|[\s\p{Z}&&[^ ]]", " ")  # so that wrapping hides no name
     text = F.regexp_replace(text, r"(?=\p{Lu})(?<=[\p{L}\p{N},;] )(\p{Lu}\p{Ll}+)", NAME + "$1")
     number = rf"(?<![\p{{L}}0-9{JOINT}{NUMBER}])([0-9][0-9{JOINT}]*+)"
     counted = F.regexp_replace(text, r"(?<=[0-9])[.,:/](?=[0-9])", JOINT)
@@ -58,6 +63,10 @@ def template(surfaces: Column) -> Column:
     return F.regexp_replace(surfaces, rf"([{NAME}-{UNIT}])\S*", "$1")
 
 
+def _value(token: Column) -> Column:
+    return F.translate(token, NAME + NUMBER + UNIT, "")
+
+
 def _tokens(df: DataFrame, text: Column, *keep: str) -> DataFrame:
     """keep and the arrays `slots` (with values) and `tokens` (placeholders only), of equal size.
 
@@ -68,13 +77,26 @@ def _tokens(df: DataFrame, text: Column, *keep: str) -> DataFrame:
 
 
 def _probes(tokens: DataFrame, size: int, step: int, *keep: str) -> DataFrame:
-    """keep, place and probe: the hash of `size` tokens from place, at every `step`-th place.
+    """keep, place and probe: the hashes of `size` tokens from place, at every `step`-th place.
 
-    explode_outer keeps the planner from evaluating the hashes once more in a filter of its own.
+    A window is hashed in each form that differs: as `tokens`, with names by
+    value, with all by value. explode_outer keeps the planner from evaluating
+    the hashes once more in a filter of its own.
     """
     places = F.sequence(F.lit(0), F.size("tokens") - size, F.lit(step))
-    hashed = F.transform(places, lambda i: F.struct(i.alias("place"), F.xxhash64(F.slice("tokens", i + 1, size)).alias("probe")))
-    hashed = F.when(F.size("tokens") >= size, hashed)
+
+    def forms(i: Column) -> Column:
+        own = F.xxhash64(F.slice("tokens", i + 1, size))
+
+        def others(window: Column) -> Column:
+            named = F.transform(window, lambda x: F.when(x.startswith(NUMBER), NUMBER).when(x.startswith(UNIT), UNIT).otherwise(_value(x)))
+            return F.array(F.xxhash64(named), F.xxhash64(F.transform(window, _value)))
+
+        plain = F.slice("slots", i + 1, size) == F.slice("tokens", i + 1, size)
+        every = F.when(plain, F.array(own)).otherwise(F.array_distinct(F.concat(F.array(own), _let(F.slice("slots", i + 1, size), others))))
+        return F.transform(every, lambda h: F.struct(i.alias("place"), h.alias("probe")))
+
+    hashed = F.when(F.size("tokens") >= size, F.flatten(F.transform(places, forms)))
     return tokens.select(*keep, F.explode_outer(hashed).alias("p")).select(*keep, "p.place", "p.probe")
 
 
@@ -129,7 +151,7 @@ def _compare(aligned: DataFrame, window: int) -> DataFrame:
     own, other = F.col("skip") + 1, F.col("skip") + F.col("shift") + 1
     zipped = F.arrays_zip(F.slice("item_tokens", own, F.col("count")).alias("a"), F.slice("item_slots", own, F.col("count")).alias("b"), F.slice("tokens", other, F.col("count")).alias("c"), F.slice("slots", other, F.col("count")).alias("d"))
     df = df.select("t", "item_id", "need", zipped.alias("pairs"))
-    codes = F.array_join(F.transform("pairs", lambda x: F.when(x["b"] == x["d"], "2").when(x["a"] == x["c"], "1").otherwise("0")), "")
+    codes = F.array_join(F.transform("pairs", lambda x: F.when((x["b"] == x["d"]) | (_value(x["b"]) == _value(x["d"])), "2").when(x["a"] == x["c"], "1").otherwise("0")), "")
     flags = F.array_join(F.transform("pairs", lambda x: F.when(_is_slot(x), "1").otherwise("0")), "")
     df = df.select("t", "item_id", F.struct("need", "pairs", codes.alias("codes"), flags.alias("flags")).alias("w"))
     return df.select("t", "item_id", _let(F.col("w"), _judged).alias("j")).select("t", "item_id", "j.n_windows", "j.n_matched", "j.n_slots")
@@ -143,10 +165,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, text:
     items = scratch.write(_tokens(benchmark, F.col(text), item).filter(F.size("tokens") >= least).select(F.col(item).alias("item_id"), F.col("tokens").alias("item_tokens"), F.col("slots").alias("item_slots")), "items")
     facts = items.agg(F.count("*").alias("n"), F.min(F.size("item_tokens")).alias("shortest"), F.sum(F.size("item_tokens")).alias("places")).first()
     size = (min(window, facts["shortest"] or window) + 1) // 2
-    item_probes = _probes(items.withColumnRenamed("item_tokens", "tokens"), size, 1, "item_id").select("item_id", F.col("place").alias("item_place"), "probe").distinct()
+    item_probes = _probes(items.withColumnsRenamed({"item_tokens": "tokens", "item_slots": "slots"}), size, 1, "item_id").select("item_id", F.col("place").alias("item_place"), "probe").distinct()
     keyed = docs.select(text_key(F.col(text)).alias("t"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     probes = _probes(_tokens(keyed, F.col("text"), "t"), size, size, "t")
-    side = F.broadcast(item_probes) if (facts["places"] or 0) <= BROADCAST_PROBES else item_probes
+    side = F.broadcast(item_probes) if 3 * (facts["places"] or 0) <= BROADCAST_PROBES else item_probes
     found = probes.join(side, "probe").select("t", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
     found = scratch.write(found, "found")
     texts = _tokens(texts_of(keyed, found.select("t").distinct()), F.col("text"), "t")

@@ -149,3 +149,12 @@ def test_verbatim_passages_need_no_literals(spark, scratch):
     item = "mix 5 kg 10 eur 7 km 3 days 12 hours 40 miles 6 oz 8 lbs then"
     got = hits_of(spark, scratch, ["zz " + item + " zz", item.replace("5", "6").replace("10", "11").replace("7", "9").replace("12", "13").replace("40", "41").replace("8", "2")], [item])
     assert set(got) == {(0, 0)}
+
+
+def test_case_and_wrapping_hide_no_passage(spark, scratch):
+    long = "then Anna and Bruno met Clara near Dover while Edgar took Frida and Georg to see Hanna in Ipswich"
+    short = "Copper kettles whistle loudly on cold mornings"
+    changed = ITEM.replace("12", "47").replace("30", "99").lower()
+    texts = [ITEM.upper().replace(" ", "###  ") + " tail", "we say Copper" + short[6:] + " here", long.lower(), long.upper(), long.replace(" ", "\n"), long.replace(" ", "  "), changed, "we say nothing of copper kettles here"]
+    got = hits_of(spark, scratch, texts, [ITEM, short, long])
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 2), (4, 2), (5, 2), (6, 0)}
