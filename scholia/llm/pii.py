@@ -2,11 +2,11 @@
 
 DataFrame functions only. The base patterns find e-mail addresses, IP
 addresses, payment cards and phone numbers. Those seeds induce lexical
-patterns (the two words on their left); a pattern-instance graph over all
+patterns (the two words before them in the text); a pattern-instance graph over all
 documents is scored in rounds: what a confident pattern finds in the shape of
 its kind becomes a seed of the next round, until nothing new is found. The
-patterns that are confident then mark further digit-bearing tokens as
-identifiers of their kind.
+patterns that are confident then mark further tokens with digits or '@', and
+runs of digit groups, as identifiers of their kind.
 
 Defined results: a null text is empty; a null doc_id keeps its row; repeated
 rows each get the same spans; empty tables give empty results. Offsets are
@@ -35,7 +35,11 @@ PATTERNS = {
 #: Cheap tests that a text must pass before its pattern runs.
 NEEDS = {"email": "@", "phone": "+"}
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-CANDIDATE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: Groups of digits and signs with single spaces between them, as numbers are written.
+GROUPS = r"(?<![^\s(])[(+]?[0-9][0-9().+/-]*+(?:\x20[0-9(][0-9().+/-]*+)++"
+#: Code points of context; two words are sought in them.
+LEFT = 80
 MIN_DIGITS = 6
 MIN_SUPPORT = 5
 MIN_CONFIDENCE = 0.9
@@ -67,20 +71,26 @@ def _located(df: DataFrame, name: str, pattern: str, when: Column) -> DataFrame:
     """Add column name: array of struct(start, end, found, left), leftmost non-overlapping.
 
     The pieces between matches carry the offsets: a match starts where the
-    pieces and matches before it end. left is the piece before the match.
+    pieces and matches before it end. left is the text before the match, its
+    last LEFT code points; it is carried along, so long texts are not rescanned.
     """
     none = F.array().cast("array<string>")
     nothing = F.array().cast("array<struct<start:bigint,end:bigint,found:string,left:string>>")
     df = df.withColumn("pii_found", F.when(when, F.regexp_extract_all("pii_text", F.lit(pattern), F.lit(0))).otherwise(none))
     df = df.withColumn("pii_pieces", F.when(F.size("pii_found") > 0, F.split("pii_text", pattern, -1)).otherwise(none))
 
+    def tail(text: Column) -> Column:
+        return F.substring(text, -LEFT, LEFT)
+
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["pii_pieces"])
         end = start + F.coalesce(F.length(x["pii_found"]), F.lit(0))
-        one = F.array(F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), x["pii_found"].alias("found"), F.substring(x["pii_pieces"], -80, 80).alias("left")))
-        return F.struct(end.cast("bigint").alias("at"), F.when(x["pii_found"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
+        left = tail(F.concat(acc["tail"], tail(x["pii_pieces"])))
+        one = F.array(F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), x["pii_found"].alias("found"), left.alias("left")))
+        after = tail(F.concat(left, tail(F.coalesce(x["pii_found"], F.lit("")))))
+        return F.struct(end.cast("bigint").alias("at"), after.alias("tail"), F.when(x["pii_found"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), nothing.alias("out"))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("tail"), nothing.alias("out"))
     located = F.aggregate(F.arrays_zip("pii_pieces", "pii_found"), start, step, lambda acc: acc["out"])
     return df.withColumn(name, F.when(F.size("pii_found") > 0, located).otherwise(nothing)).drop("pii_found", "pii_pieces")
 
@@ -107,10 +117,15 @@ def base_spans(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def candidates(df: DataFrame) -> DataFrame:
-    """df with pii_more: digit-bearing tokens of MIN_DIGITS digits or more that no base span touches."""
-    df = _located(df, "pii_tokens", CANDIDATE, F.col("pii_digit"))
-    free = F.filter("pii_tokens", lambda t: (F.length(F.regexp_replace(t["found"], "[^0-9]", "")) >= MIN_DIGITS) & ~F.exists("pii_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return df.withColumn("pii_more", free).drop("pii_tokens")
+    """df with pii_more: what no base span touches of tokens with MIN_DIGITS digits or an '@', and of runs of groups with MIN_DIGITS."""
+    df = _located(df, "pii_tokens", CANDIDATE, F.col("pii_digit") | F.col("pii_text").contains("@"))
+    df = _located(df, "pii_groups", GROUPS, F.col("pii_digit"))
+
+    def free(t: Column) -> Column:
+        enough = (F.length(F.regexp_replace(t["found"], "[^0-9]", "")) >= MIN_DIGITS) | t["found"].contains("@")
+        return enough & ~F.exists("pii_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
+
+    return df.withColumn("pii_more", F.filter(F.concat("pii_tokens", "pii_groups"), free)).drop("pii_tokens", "pii_groups")
 
 
 def context(left: Column) -> Column:
@@ -171,7 +186,11 @@ def find_pii(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
     seeds = per.select(F.explode("pii_base").alias("s")).select(context(F.col("s.left")).alias("pattern"), F.col("s.found").alias("instance"), F.col("s.kind").alias("kind"))
     free = per.select("pii_key", "pii_hash", F.explode("pii_more").alias("s")).select("pii_key", "pii_hash", context(F.col("s.left")).alias("pattern"), F.col("s.found").alias("instance"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
     patterns = confident_patterns(seeds.unionByName(free.select("pattern", "instance", F.lit(None).cast("string").alias("kind"))))
-    marked = free.join(scratch.write(patterns, "patterns"), "pattern").groupBy("pii_key", "pii_hash").agg(F.collect_set(F.struct("kind", "start", "end")).alias("pii_extra"))
+    fits = F.coalesce(*[F.when(F.col("kind") == k, shaped(k, F.col("instance"))) for k in KINDS])
+    marked = free.join(scratch.write(patterns, "patterns"), "pattern").filter(~F.col("instance").rlike(r"[\s@]") | fits).groupBy("pii_key", "pii_hash").agg(F.collect_set(F.struct("kind", "start", "end")).alias("spans"))
+    # of a token and the run of groups that it lies in, only the run counts
+    outer = F.filter("spans", lambda s: ~F.exists("spans", lambda o: (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])))
+    marked = marked.select("pii_key", "pii_hash", outer.alias("pii_extra"))
     return per, scratch.write(marked, "more")
 
 

@@ -107,6 +107,15 @@ def test_found_identifiers_become_seeds(spark, scratch):
     assert found == {d: ["phone"] for d, _ in rows if 100 <= d <= 300}
 
 
+def test_context_reaches_over_numbers_and_groups(spark, scratch):
+    rows = [(i, f"on line 2 phone +1 (499) 555-{1000 + i} thanks") for i in range(20)] + [(100 + i, f"write me at user{i}@mail.example.org soon") for i in range(20)]
+    rows += [(200, "on line 2 phone 0499-555-777 ok"), (201, "on line 2 phone 030 12 34 56 ok"), (202, "write me at someone@localhost soon"), (203, "on line 2 phone none, or so")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    found = {r.pii_key: [(s.kind, texts[r.pii_key][s.start : s.end]) for s in r.pii_extra] for r in pii.find_pii(docs, scratch)[1].collect()}
+    assert found == {200: [("phone", "0499-555-777")], 201: [("phone", "030 12 34 56")], 202: [("email", "someone@localhost")]}
+
+
 ITEM = "A farmer named Alice sells 12 apples and 12 pears for 30 dollars each day in the big market of her town."
 
 
