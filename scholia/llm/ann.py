@@ -7,16 +7,17 @@ into the windows of THRESHOLD or more projections is verified by its exact
 distance. A query stops when k verified vectors lie within what the round's
 radius guarantees, or when all rows of the block are verified.
 
-Queries and rows are both dealt into blocks by hash, and each pair of a query
+Queries and rows are both dealt into blocks by length and hash, and each pair of a query
 block and a row block is one task: nothing is broadcast, no row pairs are
 emitted, and equal vectors are compared once per block (only their k + 1
 smallest ids can be among k nearest). Block results merge by a top-k per query.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
-components, or of another size than most of a block, take no part, nor do rows
-with a null id; ties go to the smaller id; rows that repeat an id count once
-(the smallest vector); fewer than k candidates give them all; empty tables give
-empty results. Only the id and the vector column are read.
+components take no part, nor do rows with a null id; vectors are searched among
+those of their own length; ties go to the smaller id; equal rows count once;
+rows that repeat an id with other vectors are rows of their own, and such queries
+have k results each; rows of a query's own id are none of its results; fewer than
+k candidates give them all; empty tables give empty results. Only the id and the vector column are read.
 """
 
 from __future__ import annotations
@@ -109,34 +110,28 @@ class ProjectionIndex:
 def nearest(rows: DataFrame, queries: DataFrame, k: int, scratch: Scratch, key: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each query, itself excepted."""
     def clean(df: DataFrame) -> DataFrame:
-        kept = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
-        return kept.groupBy("id").agg(F.min("v").alias("v"))
+        return df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v"))).distinct()
 
     points = scratch.write(clean(rows), "points")
-    asked = scratch.write(clean(queries), "asked")
+    asked = scratch.write(clean(queries).withColumn("q", F.monotonically_increasing_id()), "asked")
     row_blocks = max(1, -(-points.count() // block_rows))
     query_blocks = max(1, -(-asked.count() // block_queries))
-    dealt = points.select(F.lit(False).alias("asks"), "id", "v", F.pmod(F.xxhash64("id"), F.lit(row_blocks)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
-    dealt = dealt.unionByName(asked.select(F.lit(True).alias("asks"), "id", "v", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"), F.pmod(F.xxhash64(F.col("id") + 1), F.lit(query_blocks)).cast("int").alias("qb")))
+    dealt = points.select(F.lit(False).alias("asks"), F.lit(0).cast("long").alias("q"), "id", F.size("v").alias("width"), "v", F.pmod(F.xxhash64("id"), F.lit(row_blocks)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
+    dealt = dealt.unionByName(asked.select(F.lit(True).alias("asks"), "q", "id", F.size("v").alias("width"), "v", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"), F.pmod(F.xxhash64(F.col("id") + 1), F.lit(query_blocks)).cast("int").alias("qb")))
 
     def run(key_: tuple, table: pa.Table) -> pa.Table:
         ids, asks = table.column("id").to_numpy(), table.column("asks").to_numpy(zero_copy_only=False)
-        lists = table.column("v").combine_chunks()
-        sizes = np.diff(lists.offsets.to_numpy())
-        width = int(np.bincount(sizes[~asks]).argmax()) if (~asks).any() else 0
-        fits = sizes == width
-        out: list[tuple[int, int, float]] = []
-        if (fits & ~asks).any() and (fits & asks).any():
-            def matrix(chosen: np.ndarray) -> np.ndarray:
-                return lists.filter(pa.array(chosen)).flatten().to_numpy().reshape(-1, width)
-
-            index = ProjectionIndex(ids[fits & ~asks], matrix(fits & ~asks), k)
-            for own, query in zip(ids[fits & asks], matrix(fits & asks), strict=True):
-                out += [(int(own), i, d) for d, i in index.search(query, int(own))]
-        return pa.table({"query_id": pa.array([x[0] for x in out], pa.int64()), "vec_id": pa.array([x[1] for x in out], pa.int64()), "score": pa.array([x[2] for x in out], pa.float64())})
-
-    found = dealt.groupBy("rb", "qb").applyInArrow(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        if asks.all() or not asks.any():
+            return pa.table({n: pa.array([], pa.float64() if n == "score" else pa.int64()) for n in ("q", "query_id", "vec_id", "score")})
+        vectors = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        index = ProjectionIndex(ids[~asks], vectors[~asks], k)
+        out: list[tuple[int, int, int, float]] = []
+        for q, own, query in zip(table.column("q").to_numpy()[asks], ids[asks], vectors[asks], strict=True):
+            out += [(int(q), int(own), i, d) for d, i in index.search(query, int(own))]
+        return pa.table({"q": pa.array([x[0] for x in out], pa.int64()), "query_id": pa.array([x[1] for x in out], pa.int64()), "vec_id": pa.array([x[2] for x in out], pa.int64()), "score": pa.array([x[3] for x in out], pa.float64())})
+
+    found = dealt.groupBy("width", "rb", "qb").applyInArrow(run, "q long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("q").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

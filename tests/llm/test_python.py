@@ -194,6 +194,17 @@ def test_nearest_are_found(spark, scratch):
     assert few.count() == 3
 
 
+def test_all_lengths_and_repeated_ids_are_searched(spark, scratch):
+    rows = [(i, [float(i), 1.0]) for i in range(6)] + [(10 + i, [float(i), 1.0, 2.0]) for i in range(4)] + [(3, [3.0, 1.0]), (3, [50.0, 1.0]), (7, [51.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in ann.nearest(df, df.filter("vec_id in (3, 7, 10)"), 2, scratch).collect():
+        got[r.query_id].add((r.rank, r.vec_id, round(r.score, 6)))
+    assert got[10] == {(1, 11, 1.0), (2, 12, 2.0)}
+    assert got[7] == {(1, 3, 1.0), (2, 5, 46.0)}
+    assert got[3] == {(1, 2, 1.0), (2, 4, 1.0), (1, 7, 1.0), (2, 5, 45.0)}
+
+
 def test_isotonic_fit_rises():
     x = np.arange(50.0)
     y = (np.random.default_rng(0).random(50) < x / 50).astype(float)
