@@ -137,9 +137,10 @@ def induce_lexicon(sample: DataFrame, limit: int = LEXICON_TERMS) -> frozenset[s
         for batch in batches:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
                 tally[label].update(terms(text))
-        names = list(tally[1])  # a term that no toxic row of any part has can't be induced
+        names = list(tally[1])
         yield pa.RecordBatch.from_pydict({"term": pa.array(names, pa.string()), "bad": pa.array([tally[1][t] for t in names], pa.int64()), "good": pa.array([tally[0][t] for t in names], pa.int64())})
-        rest = [t for t, k in tally[0].items() if k > 1 and t not in tally[1]]
+        rest = [t for t in tally[0] if t not in tally[1]]
+        # toxic rows of other parts may have them
         yield pa.RecordBatch.from_pydict({"term": pa.array(rest, pa.string()), "bad": pa.array([0] * len(rest), pa.int64()), "good": pa.array([tally[0][t] for t in rest], pa.int64())})
 
     parts = sample.select("text", "label").mapInArrow(count, "term string, bad long, good long")

@@ -205,6 +205,13 @@ def test_all_lengths_and_repeated_ids_are_searched(spark, scratch):
     assert got[3] == {(1, 2, 1.0), (2, 4, 1.0), (1, 7, 1.0), (2, 5, 45.0)}
 
 
+def test_lexicon_does_not_depend_on_the_parts(spark):
+    rows = [("zork vile", 1)] * 10 + [("zork calm", 0)] * 30
+    for parts in (1, 40):
+        sample = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "text string, label int")
+        assert toxicity.induce_lexicon(sample) == {"vile"}, parts
+
+
 def test_isotonic_fit_rises():
     x = np.arange(50.0)
     y = (np.random.default_rng(0).random(50) < x / 50).astype(float)
