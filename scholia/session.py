@@ -5,8 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of one Arrow batch sent to Python; a longer row travels alone.
+BATCH_BYTES = 4_000_000
 
 
 def local_session(app: str = "scholia", cores: str | int = 8, partitions: int = 8) -> SparkSession:
@@ -29,20 +35,44 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or the one set on the context.
+
+    Where neither is set, a session on one machine gets a temporary folder; a
+    cluster must name one, since no other machine sees the driver's.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not named and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="scholia-checkpoint-"))
         current = context._jsc.sc().getCheckpointDir()
     return named or current.get()
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """Arrow batches of at most `size` bytes for what runs inside, whatever the length of its rows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared folder; any executor may be lost afterwards."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    with bounded_batches(df.sparkSession):
+        return df.checkpoint()
+
+
+def as_row(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that columns added beside it clash with none of them."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns])
 
 
 class Scratch:
@@ -58,10 +88,22 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        with bounded_batches(self.spark):
+            df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _path(self, name: str = ""):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def drop(self, *names: str) -> None:
+        """Delete the named tables, or all."""
         for name in names or ("",):
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            path, files = self._path(name)
+            files.delete(path, True)
+
+    def keep(self, *names: str) -> None:
+        """Delete all tables but the named ones, which a lazy result still reads."""
+        root, files = self._path()
+        if files.exists(root):
+            self.drop(*[name for x in files.listStatus(root) if (name := x.getPath().getName()) not in names])
