@@ -5,18 +5,21 @@ and two texts are linked at a Jaccard similarity of 0.8 or more. Exact copies
 are one text by their MD5. Every distinct text gets a DartMinHash signature and
 one key per band; texts that share a band key are candidates.
 
-No group is collected and no pairs within a group are emitted. First each text
-of a band is verified against the band's smallest text only (a combinable
-minimum, then an equi-join). Bands that still hold texts of different
-components are cut into blocks; each pair of blocks is compared inside a task,
-first by signature bands, then exactly, and only true links come out. A text of
-five words or more shares no band with a similar one with probability under
-(1 - 0.8^4)^32 < 1e-7; all else is exact.
+First each text of a band is verified against the band's leader only: the text
+that meets most others over all its bands, so the one that edited copies stem
+from. Bands whose texts are then still in different components are compared
+inside one task each, every text sent once, up to GROUP_ROWS rows and
+GROUP_BYTES of text. There a text that shares too little with other components
+to be similar to anything is set aside first, exactly; the others are verified,
+each pair in the first band that it shares. Larger bands are cut into blocks,
+and the blocks of the largest component are never compared with each other. A
+text of five words or more shares no band with a similar one with probability
+under (1 - 0.8^4)^32 < 1e-7; all else is exact.
 
 Defined results: null texts are empty and all empty texts are copies of each
 other; a null doc_id is smallest nowhere unless a class has no other; repeated
 rows share a class; empty tables give empty results. Only the named columns
-are read; others pass through `keep_one` untouched.
+are read; others, whatever their names, pass through `keep_one` untouched.
 """
 
 from __future__ import annotations
@@ -30,13 +33,16 @@ from pyspark.sql import functions as F
 
 from scholia.llm.components import components
 from scholia.llm.wordhash import U, chunks, mix, ngrams, raw_bytes, word_hashes, word_spans
-from scholia.session import Scratch, checkpointed, read_table
+from scholia.session import Scratch, as_row, checkpointed, read_table
 
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
-BLOCK = 256
+#: Bounds of what one task compares at once.
+GROUP_ROWS, GROUP_BYTES = 2_048, 16_000_000
+#: Texts are hashed in pieces of so many bytes and rows; a row throws about 900 darts.
+PIECE_BYTES, PIECE_ROWS = 1_000_000, 2_048
 #: A key of 16 bytes and its overhead stay under 100 bytes a row: at most 20 MB.
 BROADCAST_KEYS = 200_000
 _SEED = U(0x51ED270B76A4D3C5)
@@ -49,7 +55,7 @@ def text_key(text: Column) -> Column:
 def shingles(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row, shingle hashes, row of each) with distinct shingles by row."""
     data, offsets = raw_bytes(texts)
-    for first, last in chunks(offsets):
+    for first, last in chunks(offsets, PIECE_BYTES, PIECE_ROWS):
         part, at = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         starts, ends, counts = word_spans(part, at)
         words = word_hashes(part, starts, ends)
@@ -196,24 +202,66 @@ def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return shared / (len(x) + len(y) - shared)
 
 
-def _block_links(rows: pa.Table) -> list[tuple[bytes, bytes]]:
-    """Links between texts of one pair of blocks that no earlier step decided.
+def _apart(sets: list[np.ndarray], component: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which sets are still open, their shingles as numbers, the set of each).
 
-    rows: i, j (the blocks), own (the text's block), band, t, component, bands,
-    text. A pair is taken up in the first band that it shares, and only while
-    its two components are apart.
+    A shingle that only one component holds joins nothing, so a set has at most
+    `cap` shingles in common with another component's, and is similar only to
+    sets of at most 2.25 cap - size shingles (at 0.8). Sets that no other
+    component's can be similar to are dropped, and counts taken anew, until all
+    that are left may have a partner.
     """
-    keys, apart = rows.column("t").to_pylist(), rows.column("component").to_pylist()
-    bands = np.array(rows.column("bands").to_pylist(), dtype=np.int64)
-    band = rows.column("band")[0].as_py()
-    place = int(np.flatnonzero(bands[0] == band)[0])
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, names = np.unique(np.concatenate([np.zeros(0, U), *sets]), return_inverse=True)
+    width = int(names.max()) + 1 if len(names) else 0
+    open_ = sizes > 0
+    share = SIMILAR / (1 + SIMILAR)
+    while True:
+        low, high = np.full(width, len(sets)), np.full(width, -1)
+        np.minimum.at(low, names, component[owner])
+        np.maximum.at(high, names, component[owner])
+        cap = np.bincount(owner[low[names] != high[names]], minlength=len(sets))
+        most = cap / share - sizes + 1e-6  # of a partner's size
+        order = np.argsort(sizes, kind="stable")
+        keep = open_.copy()
+        own = np.flatnonzero(open_)
+        if len(own):
+            # The widest reach of any set as small or smaller must reach the set, and its own a set at all.
+            ranked = order[open_[order]]
+            keep[own] = (most[own] >= sizes[ranked[0]]) & (sizes[own] <= most[own].max())
+        if (keep == open_).all():
+            return open_, names, owner
+        open_ = keep
+        left = open_[owner]
+        names, owner = names[left], owner[left]
+
+
+def _group_links(rows: pa.Table) -> list[tuple[bytes, bytes]]:
+    """Links between components within one group of texts, as many as join them; no two texts are linked twice.
+
+    rows: i, j (blocks; equal where all are compared), own (the text's block),
+    place (of the band), t, component, bands, text. A pair is taken up in the
+    first band that it shares, and only while its two components are apart.
+    """
+    keys = rows.column("t").to_pylist()
+    bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(keys), -1)
+    place = rows.column("place")[0].as_py()
     own = rows.column("own").to_numpy()
     i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-    left = np.flatnonzero(own == i)
-    right = np.flatnonzero(own == j)
-    names = {c: k for k, c in enumerate(dict.fromkeys(apart))}
-    group = np.array([names[c] for c in apart])
-    root = list(range(len(names)))
+    group = np.unique(np.array(rows.column("component").to_pylist(), dtype=object), return_inverse=True)[1]
+    sets: list[np.ndarray] = []
+    for first, last, grams, row in shingles(rows.column("text").combine_chunks()):
+        cut = np.searchsorted(row, np.arange(last - first + 1))
+        sets += [grams[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
+    open_, names, owner = _apart(sets, group)
+    sizes = np.array([len(x) for x in sets])
+    by_name = np.argsort(names, kind="stable")
+    holders, ends = owner[by_name], np.cumsum(np.bincount(names)) if len(names) else np.zeros(0, np.int64)
+    begins = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+    cut = np.searchsorted(owner, np.arange(len(sets) + 1))
+    common = np.bincount(group[open_], minlength=group.max() + 1)
+    root = np.arange(len(common))
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -221,43 +269,44 @@ def _block_links(rows: pa.Table) -> list[tuple[bytes, bytes]]:
             x = root[x]
         return x
 
-    sets: dict[int, np.ndarray] = {}
-    column = rows.column("text").combine_chunks()
-    for first, last, grams, row in shingles(column):
-        cut = np.searchsorted(row, np.arange(last - first + 1))
-        sets.update({first + k: grams[cut[k] : cut[k + 1]] for k in range(last - first)})
-    sizes = np.array([len(sets[k]) for k in range(len(keys))])
     links = []
-    for a in left:
-        others = right[right > a] if i == j else right
-        others = others[(group[others] != group[a]) & (np.minimum(sizes[others], sizes[a]) >= SIMILAR * np.maximum(sizes[others], sizes[a]))]
-        if place and len(others):
-            others = others[~(bands[others, :place] == bands[a, :place]).any(axis=1)]
-        if not len(others):
-            continue
-        joined = np.concatenate([sets[b] for b in others])
-        hits = np.concatenate(([0], np.cumsum(np.isin(joined, sets[a], assume_unique=False))))
-        ends = np.cumsum(sizes[others])
-        shared = hits[ends] - hits[ends - sizes[others]]
-        for b in others[shared >= SIMILAR * (sizes[others] + sizes[a] - shared)]:
+    mine = open_ & (own == i)
+    if i == j and len(common):
+        mine &= group != np.argmax(common)  # its texts are met from the others' side
+    others = own == j
+    for a in sorted(np.flatnonzero(mine), key=lambda a: (common[group[a]], a)):
+        spans = [holders[begins[x] : ends[x]] for x in names[cut[a] : cut[a + 1]]]
+        shared = np.bincount(np.concatenate(spans), minlength=len(sets))
+        near = others & (shared > 0) & (group != group[a]) & (shared / np.maximum(sizes + sizes[a] - shared, 1) >= SIMILAR)
+        for b in np.flatnonzero(near):
             x, y = find(group[a]), find(group[b])
-            if x != y:
+            if x != y and not (bands[a, :place] == bands[b, :place]).any():
                 root[x] = y
                 links.append((keys[a], keys[b]))
     return links
 
 
-def remaining_links(members: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+def remaining_links(members: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (a, b) within bands whose texts are still in different components.
 
-    members: (band, t, component, bands), without the band's smallest text,
-    against which all others have been verified.
+    members: (band, place, t, component, bands, size), without the band's
+    leader, against which all others have been verified; texts: (t, text).
     """
-    mixed = members.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    open_rows = scratch.write(members.join(mixed, "band"), "open")
-    texts = scratch.write(texts_of(docs, open_rows.select("t").distinct()), "open-texts")
-    placed = open_rows.withColumn("own", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("band", "t", "component", "bands", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    parts = members.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    sums = parts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.max(F.struct("n", "component", "bytes")).alias("most"), F.count("*").alias("kinds"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).filter("kinds > 1")
+
+    def blocks(rows: Column, size: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(rows / GROUP_ROWS), F.ceil(size / GROUP_BYTES)).cast("int")
+
+    whole = (F.col("n") <= GROUP_ROWS) & (F.col("bytes") <= GROUP_BYTES)
+    plan = sums.select("band", "top.component", F.when(whole, 0).otherwise(blocks(F.col("most.n"), F.col("most.bytes"))).alias("top_blocks"), F.when(whole, 1).otherwise(blocks(F.col("n") - F.col("most.n"), F.col("bytes") - F.col("most.bytes"))).alias("blocks"))
+    plan = scratch.write(plan.withColumnRenamed("component", "top"), "plan")
+    # Blocks 0 .. blocks - 1 hold the smaller components; those of the largest, if it has its own, follow.
+    deal = F.xxhash64("t")
+    in_top = (F.col("component") == F.col("top")) & (F.col("top_blocks") > 0)
+    placed = members.join(plan, "band").withColumn("own", F.when(in_top, F.col("blocks") + F.pmod(deal, F.greatest("top_blocks", F.lit(1)))).otherwise(F.pmod(deal, "blocks")).cast("int"))
+    others = F.sequence(F.lit(0), F.when(in_top, F.col("blocks") - 1).otherwise(F.col("blocks") + F.col("top_blocks") - 1))
+    placed = placed.withColumn("other", F.explode(others)).select("band", "place", "t", "component", "bands", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     spread = placed.join(texts, "t").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +314,7 @@ def remaining_links(members: DataFrame, docs: DataFrame, scratch: Scratch) -> Da
         name = None
 
         def done() -> Iterator[pa.RecordBatch]:
-            links = _block_links(pa.Table.from_batches(held)) if held else []
+            links = _group_links(pa.Table.from_batches(held)) if held else []
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.binary()), pa.array([y for _, y in links], pa.binary())], names=["a", "b"])
 
@@ -289,48 +338,63 @@ def near_duplicate_classes(docs: DataFrame, scratch: Scratch, text: str = "text"
     """(node, component) of distinct texts by their key; texts in no link are left out."""
     keyed = docs.select(text_key(F.col(text)).alias("t"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     sketched = scratch.write(sketches(keyed), "sketches")
-    banded = sketched.select("t", F.explode("bands").alias("band"))
-    groups = banded.groupBy("band").agg(F.min("t").alias("least"), F.max("t").alias("most"), F.count("*").alias("n")).filter("least <> most").select("band", "least", "n")
-    members = scratch.write(banded.join(groups, "band"), "members")
-    pairs = scratch.write(members.filter("t <> least").select(F.col("t").alias("a"), F.col("least").alias("b")).distinct(), "pairs")
-    needed = pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct()
-    texts = scratch.write(texts_of(keyed, needed), "texts")
+    banded = sketched.select("t", F.posexplode("bands").alias("place", "band"))
+    shared = banded.groupBy("band").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo <> hi").select("band")
+    members = scratch.write(banded.join(shared, "band").distinct(), "members")
+    groups = members.groupBy("band").agg(F.count("*").alias("n"))
+    ranked = members.join(groups, "band")
+    meets = scratch.write(ranked.groupBy("t").agg(F.sum("n").alias("meets")), "meets")
+    ranked = scratch.write(ranked.join(meets, "t"), "ranked")
+    leaders = scratch.write(ranked.groupBy("band").agg(F.max(F.struct("meets", "t")).alias("top")).select("band", F.col("top.t").alias("leader")), "leaders")
+    led = ranked.join(leaders, "band").filter("t <> leader")
+    pairs = scratch.write(led.select(F.least("t", "leader").alias("a"), F.greatest("t", "leader").alias("b")).distinct(), "pairs")
+    texts = scratch.write(texts_of(keyed, meets.select("t")), "texts")
     links = scratch.write(similar_pairs(pairs, texts), "links")
     labels = components(links, scratch, "star")
-    rest = members.filter("n > 2 AND t <> least").select("band", "t").distinct()
-    rest = rest.join(labels.select(F.col("node").alias("t"), "component"), "t", "left").withColumn("component", F.coalesce("component", "t"))
-    rest = rest.join(sketched.dropDuplicates(["t"]), "t")
-    more = scratch.write(remaining_links(rest, keyed, scratch), "more")
+    rest = led.filter("n > 2").select("band", "place", "t").join(labels.select(F.col("node").alias("t"), "component"), "t", "left").withColumn("component", F.coalesce("component", "t"))
+    mixed = rest.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
+    rest = scratch.write(rest.join(mixed, "band"), "rest")
+    facts = sketched.join(rest.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.first("bands").alias("bands")).join(texts.select("t", F.octet_length("text").alias("size")), "t")
+    rest = scratch.write(rest.join(scratch.write(facts, "facts"), "t"), "open")
+    more = scratch.write(remaining_links(rest, texts, scratch), "more")
     return components(links.unionByName(more), scratch, "all")
 
 
-def with_class(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_key, t, class, n rows of docs) with the smallest (doc_key, t) of each class as `first`."""
+def with_class(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """(doc_key, t, class, n rows of docs) with the smallest (doc_key, t) of each class as `first`.
+
+    The table of classes is written first, so that the join with it can split a
+    class that holds a large share of the rows.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "classes")
     ids = docs.select(F.col(key).alias("doc_key"), text_key(F.col(text)).alias("t"))
     ids = ids.join(labels.select(F.col("node").alias("t"), "component"), "t", "left").withColumn("class", F.coalesce("component", "t")).drop("component")
+    ids = scratch.write(ids, "ids")
     firsts = ids.groupBy("class").agg(F.min(F.struct(F.col("doc_key").isNull().alias("none"), "doc_key", "t")).alias("first"), F.count("*").alias("class_size"))
-    return ids.join(firsts, "class")
+    return ids.join(scratch.write(firsts, "firsts"), "class")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs with the smallest doc_id of their class; one of them, if rows repeat it."""
     scratch = Scratch(docs.sparkSession, "neardup")
-    classed = scratch.write(with_class(docs, near_duplicate_classes(docs, scratch, text), key, text), "classed")
+    classed = scratch.write(with_class(docs, near_duplicate_classes(docs, scratch, text), key, text, scratch), "classed")
     is_first = F.col("doc_key").eqNullSafe(F.col("first.doc_key")) & (F.col("t") == F.col("first.t"))
     kept = classed.filter(is_first).groupBy("doc_key", "t").agg(F.count("*").alias("n"))
     repeated = not kept.filter("n > 1").isEmpty()
-    dropped = scratch.write(classed.filter(~is_first).select(F.col("doc_key").alias("gone_key"), F.col("t").alias("gone_t")).distinct(), "dropped")
-    rows = docs.withColumn("neardup_t", text_key(F.col(text))).join(dropped, F.col(key).eqNullSafe(F.col("gone_key")) & (F.col("neardup_t") == F.col("gone_t")), "left_anti")
+    dropped = scratch.write(classed.filter(~is_first).select("doc_key", "t").distinct(), "dropped")
+    scratch.keep("dropped")
+    rows = docs.select(as_row(docs).alias("row"), F.col(key).alias("own_key"), text_key(F.col(text)).alias("own_t"))
+    rows = rows.join(dropped, F.col("own_key").eqNullSafe(F.col("doc_key")) & (F.col("own_t") == F.col("t")), "left_anti")
     if repeated:
-        rows = rows.dropDuplicates([key, "neardup_t"])
-    return rows.select(*docs.columns)
+        rows = rows.groupBy("own_key", "own_t").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return rows.select("row.*")
 
 
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "neardup")
     docs = read_table(spark, sf_dir, "documents")
     labels = near_duplicate_classes(docs, scratch)
-    result = checkpointed(with_class(docs, labels).select(F.col("doc_key").alias("doc_id"), F.col("first.doc_key").alias("class_id"), "class_size"))
+    result = checkpointed(with_class(docs, labels, scratch=scratch).select(F.col("doc_key").alias("doc_id"), F.col("first.doc_key").alias("class_id"), "class_size"))
     scratch.drop()
     return result
 
