@@ -8,7 +8,9 @@ dropped; equal regions need only counting; regions that share an anchor but
 differ are laid end to end, and threshold-bounded interval expansion on their
 Burrows-Wheeler transform finds the strings that repeat (bwt.py).
 
-An anchor with more than GROUP different regions is split by content: its
+Before an expansion, strings are set aside whose middle (what all strings at
+about the same offset to the anchor hold) no other region of the anchor has:
+they cannot repeat. An anchor with more than GROUP different regions is split by content: its
 strings are cut by their offset to the anchor into ever narrower blocks, and
 grouped by the bytes that all strings of a block hold. At the last width a
 group is one string, so nothing is capped and no group is gathered.
@@ -22,6 +24,7 @@ results. Only the named columns are read.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +41,8 @@ LENGTH = 200
 GRAM = 40
 GROUP = 256
 WIDTHS = (41, 11, 3, 1)
+#: Offsets to the anchor whose strings are set aside together.
+STRETCH = 27
 BATCH_BYTES = 400_000
 SEGMENT = 2_000_000
 _P = 0xD1342543DE82EF95
@@ -141,17 +146,51 @@ def _bodies(reps: DataFrame, texts: DataFrame) -> DataFrame:
     return by_text.join(texts, "t").select("text", "parts").mapInArrow(run, "anchor long, content long, key long, sub long, base int, wins int, lead int, body binary")
 
 
+def _live_pieces(held: list[dict]) -> list[tuple[int, int, bytes]]:
+    """(row, first string, bytes) of the strings whose middle another row of the same key has.
+
+    Strings whose offsets to the anchor fall in one stretch all hold the bytes
+    between the last start and the first end, so equal strings have equal
+    middles; a middle met once has no string that repeats. Hashes that clash
+    only keep more.
+    """
+    middles: Counter[int] = Counter()
+    tags = []
+    for r in held:
+        lead, body, low = r["lead"], r["body"], r["lead"] - r["wins"] + 1
+        own = []
+        for k in range(low // STRETCH, lead // STRETCH + 1):
+            near, far = k * STRETCH, min(k * STRETCH + STRETCH - 1, LENGTH - GRAM)
+            own.append((k, hash((r["key"], k, body[lead - near : lead + LENGTH - far]))))
+        middles.update(tag for _, tag in own)
+        tags.append(own)
+    out = []
+    for row, (r, own) in enumerate(zip(held, tags, strict=True)):
+        run: list[int] = []
+        for k, tag in [*reversed(own), (-2, 0)]:
+            if k >= 0 and middles[tag] > 1 and (not run or run[-1] == k + 1):
+                run.append(k)
+                continue
+            if run:
+                first = max(0, r["lead"] - run[0] * STRETCH - STRETCH + 1)
+                last = min(r["wins"] - 1, r["lead"] - run[-1] * STRETCH)
+                out.append((row, first, r["body"][first : last + LENGTH]))
+            run = [k] if k >= 0 and middles[tag] > 1 else []
+    return out
+
+
 def _expand(rows: DataFrame) -> DataFrame:
     """(anchor, content, ranges) by interval expansion: groups of equal key, whole, in batches."""
 
     def solve(held: list[dict]) -> pa.RecordBatch:
-        flags = repeated_windows([r["body"] for r in held], LENGTH)
-        out = []
-        for r, flag in zip(held, flags, strict=True):
+        pieces = _live_pieces(held)
+        ranges: dict[int, list[int]] = {}
+        for (row, first, _), flag in zip(pieces, repeated_windows([x[2] for x in pieces], LENGTH), strict=True):
             edges = np.flatnonzero(np.diff(np.concatenate(([0], flag.view(np.int8), [0]))))
             if len(edges):
-                out.append((r["anchor"], r["content"], (edges + r["base"]).tolist()))
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int32()))], names=["anchor", "content", "ranges"])
+                ranges.setdefault(row, []).extend((edges + (held[row]["base"] + first)).tolist())
+        own = [held[k] for k in ranges]
+        return pa.RecordBatch.from_arrays([pa.array([r["anchor"] for r in own], pa.int64()), pa.array([r["content"] for r in own], pa.int64()), pa.array(list(ranges.values()), pa.list_(pa.int32()))], names=["anchor", "content", "ranges"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -217,6 +256,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, text: str = "text") -> Dat
     keyed = docs.select(text_key(F.col(text)).alias("t"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     every = scratch.write(region_table(keyed.filter(F.octet_length("text") >= LENGTH)), "regions")
     live = every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi")).filter("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
+    live = scratch.write(live, "live-anchors")  # as a table, so that the join can split a frequent anchor
     live_rows = scratch.write(every.join(live, "anchor"), "live")
     classes = live_rows.groupBy("anchor", "content", "mixed", "wins", "lead").agg(F.count("*").alias("n"), F.min(F.struct("t", "start")).alias("rep"))
     classes = scratch.write(classes, "classes")
@@ -227,7 +267,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, text: str = "text") -> Dat
     once = found.join(classes.filter("n = 1").select("anchor", "content"), ["anchor", "content"])
     # A class of one region has pieces of at most LENGTH - GRAM + 1 strings, so its list is short.
     marks = once.groupBy("anchor", "content").agg(F.flatten(F.collect_list("ranges")).alias("ranges")).unionByName(whole)
-    hits = live_rows.join(marks, ["anchor", "content"])
+    hits = live_rows.join(scratch.write(marks, "marks"), ["anchor", "content"])
     pairs = hits.select("t", F.explode(F.transform(F.sequence(F.lit(0), (F.size("ranges") / 2).cast("int") - 1), lambda k: F.struct((F.col("start") + F.get("ranges", 2 * k)).alias("a"), (F.col("start") + F.get("ranges", 2 * k + 1) + LENGTH - 1).alias("b")))).alias("r"))
     return scratch.write(pairs.select("t", "r.a", "r.b").distinct(), "ranges")
 
