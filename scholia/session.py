@@ -52,15 +52,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
-    """Arrow batches of at most `size` bytes for what runs inside, whatever the length of its rows."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(size))
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """SQL settings for what runs inside."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES):
+    """Arrow batches of at most `size` bytes for what runs inside, whatever the length of its rows."""
+    return settings(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": str(size)})
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -88,7 +94,8 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        with bounded_batches(self.spark):
+        # Once a table is written, nobody reads the shuffle files that led to it.
+        with bounded_batches(self.spark), settings(self.spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
             df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
