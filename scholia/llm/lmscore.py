@@ -11,18 +11,20 @@ frequent n-gram is one entry per block, so no key is hot.
 The score of a word is c(n-gram) / c(prefix) for the longest n-gram of up to
 ORDER words that the corpus has LEAST times or more (single words: any number),
 times BACKOFF for each word of context given up; single words have c / N. A
-document's score is the sum of logarithms. Counts are over all documents.
+document's score is the sum of logarithms. Counts are over all documents, so
+every n-gram of a scored document is in them; LEAST = 2 asks for one more
+occurrence than the document's own, and `least=1` for none.
 
 Defined results: null and empty texts have no words, a sum of 0 and a null
 mean; a null doc_id is kept; repeated rows are counted and scored each; empty
-tables give empty results. Words are runs of other than ASCII white space.
-Only the named columns are read.
+tables give empty results; ids keep their type. Words are runs of other than
+ASCII white space. count_table gives the counts themselves. Only the named columns are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholia.llm.wordhash import U, chunks, hashed, ngrams, raw_bytes
-from scholia.session import Scratch, checkpointed, read_table
+from scholia.session import Scratch, checkpointed, read_table, settings
 
 ORDER = 3
 BACKOFF = 0.4
@@ -65,16 +67,9 @@ def unpack_sorted(packed: bytes) -> np.ndarray:
     return np.cumsum(unpack(packed), dtype=U)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+def small_batches(spark: SparkSession, rows: int):
     """Arrow batches of few rows, for rows of megabytes."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    return settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)})
 
 
 def blocks_of(docs: DataFrame) -> DataFrame:
@@ -88,12 +83,13 @@ def blocks_of(docs: DataFrame) -> DataFrame:
                 own = batch.slice(first, last - first)
                 words, counts = block_words(own.column("text"))
                 vocabulary, places = np.unique(words, return_inverse=True)
-                ids = pa.ListArray.from_arrays(pa.array([0, last - first], pa.int32()), own.column("id").cast(pa.int64()))
+                ids = pa.ListArray.from_arrays(pa.array([0, last - first], pa.int32()), own.column("id"))
                 packed = [pa.array([x], pa.binary()) for x in (pack_sorted(vocabulary), pack(places), pack(counts))]
                 yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + number], pa.int64()), ids, *packed, pa.array([len(words)], pa.int64())], names=["block", "ids", "vocabulary", "places", "counts", "words"])
                 number += 1
 
-    return docs.mapInArrow(run, "block long, ids array<long>, vocabulary binary, places binary, counts binary, words long")
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"block long, ids array<{kind}>, vocabulary binary, places binary, counts binary, words long")
 
 
 def block_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -112,14 +108,14 @@ def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
     return ((hashes >> U(32)) * U(ranges)) >> U(32)
 
 
-def asked_counts(blocks: DataFrame, order: int, ranges: int) -> DataFrame:
-    """(range, block, n, hashes, times): what each block asks of each range, and adds to it."""
+def asked_counts(blocks: DataFrame, orders: list[int], ranges: int) -> DataFrame:
+    """(range, block, n, hashes, times): what each block asks of each range, and adds to it, for n in orders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 words, counts = unpacked_block(row["vocabulary"], row["places"], row["counts"])
-                for n in range(1, order + 1):
+                for n in orders:
                     own, times = np.unique(ngrams(words, counts, n)[0], return_counts=True)
                     place = _range_of(own, ranges)
                     cut = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(own) else np.zeros(0, np.int64)
@@ -138,27 +134,35 @@ def asked_counts(blocks: DataFrame, order: int, ranges: int) -> DataFrame:
     return blocks.select("block", "vocabulary", "places", "counts").mapInArrow(run, "range long, block long, n int, hashes binary, times binary")
 
 
+def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of each (range, n), which come one after the other."""
+    held: list[dict] = []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if held and (held[-1]["range"], held[-1]["n"]) != (r["range"], r["n"]):
+                yield held
+                held = []
+            held.append(r)
+    if held:
+        yield held
+
+
+def range_totals(held: list[dict]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(distinct hashes, the place of each asked hash among them by row, how often all blocks have them)."""
+    hashes = [unpack_sorted(r["hashes"]) for r in held]
+    grams, where = np.unique(np.concatenate(hashes), return_inverse=True)
+    sums = np.bincount(where, weights=np.concatenate([unpack(r["times"]) for r in held]), minlength=len(grams))
+    cut = np.cumsum([0, *map(len, hashes)])
+    return grams, [where[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], sums
+
+
 def answered_counts(asked: DataFrame) -> DataFrame:
     """(block, n, range, counts): corpus counts in the order of the hashes asked."""
 
-    def add(held: list[dict]) -> pa.RecordBatch:
-        hashes = [unpack_sorted(r["hashes"]) for r in held]
-        totals, where = np.unique(np.concatenate(hashes), return_inverse=True)
-        sums = np.bincount(where, weights=np.concatenate([unpack(r["times"]) for r in held]), minlength=len(totals))
-        cut = np.cumsum([0, *map(len, hashes)])
-        counts = [sums[where[a:b]] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([r["block"] for r in held], pa.int64()), pa.array([r["n"] for r in held], pa.int32()), pa.array([r["range"] for r in held], pa.int64()), pa.array([pack(c) for c in counts], pa.binary())], names=["block", "n", "range", "counts"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        for batch in batches:
-            for r in batch.to_pylist():
-                if held and (held[-1]["range"], held[-1]["n"]) != (r["range"], r["n"]):
-                    yield add(held)
-                    held = []
-                held.append(r)
-        if held:
-            yield add(held)
+        for held in by_range(batches):
+            _, places, sums = range_totals(held)
+            yield pa.RecordBatch.from_arrays([pa.array([r["block"] for r in held], pa.int64()), pa.array([r["n"] for r in held], pa.int32()), pa.array([r["range"] for r in held], pa.int64()), pa.array([pack(sums[own]) for own in places], pa.binary())], names=["block", "n", "range", "counts"])
 
     return asked.repartition("range", "n").sortWithinPartitions("range", "n").mapInArrow(run, "block long, n int, range long, counts binary")
 
@@ -197,29 +201,73 @@ def score_blocks(blocks: DataFrame, answers: DataFrame, total: int, order: int,
             scores.append(np.bincount(rows, weights=out, minlength=len(counts)))
             sizes.append(counts)
             ids.append(left.column("ids").combine_chunks()[i].values)
-        return pa.table({"doc_id": pa.chunked_array(ids, pa.int64()), "n_words": pa.array(np.concatenate([*sizes, np.zeros(0)]).astype(np.int64)), "log_score": pa.array(np.concatenate([*scores, np.zeros(0)]))})
+        return pa.table({"doc_id": pa.chunked_array(ids, left.schema.field("ids").type.value_type), "n_words": pa.array(np.concatenate([*sizes, np.zeros(0)]).astype(np.int64)), "log_score": pa.array(np.concatenate([*scores, np.zeros(0)]))})
 
-    return blocks.select("block", "ids", "vocabulary", "places", "counts").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, n_words long, log_score double")
+    kind = blocks.schema["ids"].dataType.elementType.simpleString()
+    return blocks.select("block", "ids", "vocabulary", "places", "counts").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"doc_id {kind}, n_words long, log_score double")
 
 
-def backoff_scores(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
-    """(doc_id, n_words, log_score, mean_log_score) per row of docs."""
+def backoff_scores(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", order: int = ORDER, least: int = LEAST) -> DataFrame:
+    """(doc_id, n_words, log_score, mean_log_score) per row of docs; doc_id has the type of key."""
     spark = docs.sparkSession
-    blocks = scratch.write(blocks_of(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))), "blocks")
+    blocks = scratch.write(blocks_of(docs.select(F.col(key).alias("id"), F.col(text).alias("text"))), "blocks")
     facts = blocks.agg(F.count("*").alias("n"), F.sum("words").alias("words")).first()
     with small_batches(spark, 16):
-        asked = asked_counts(blocks, order, max(16, facts["n"] // BLOCKS_PER_RANGE))
-        answers = scratch.write(answered_counts(asked), "answers")
-        scored = scratch.write(score_blocks(blocks, answers, facts["words"] or 1, order), "scores")
+        # One order after the other, so that the shuffle files of one are gone before the next.
+        ranges = max(16, facts["n"] // BLOCKS_PER_RANGE)
+        answers = [scratch.write(answered_counts(asked_counts(blocks, [n], ranges)), f"answers{n}") for n in range(1, order + 1)]
+        scored = scratch.write(score_blocks(blocks, reduce(DataFrame.unionByName, answers), facts["words"] or 1, order, least=least), "scores")
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 
 
+def count_table(docs: DataFrame, scratch: Scratch, text: str = "text", order: int = ORDER) -> DataFrame:
+    """(n, gram, count): how often the documents have each n-gram of 1 to order words, by its 64-bit hash."""
+    blocks = scratch.write(blocks_of(docs.select(F.lit(None).cast("long").alias("id"), F.col(text).alias("text"))), "count-blocks")
+    with small_batches(docs.sparkSession, 16):
+        asked = asked_counts(blocks, list(range(1, order + 1)), max(16, blocks.count() // BLOCKS_PER_RANGE))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for held in by_range(batches):
+                grams, _, sums = range_totals(held)
+                yield pa.RecordBatch.from_arrays([pa.array([held[0]["n"]] * len(grams), pa.int32()), pa.array(grams.view(np.int64)), pa.array(sums.astype(np.int64))], names=["n", "gram", "count"])
+
+        ranged = asked.repartition("range", "n").sortWithinPartitions("range", "n")
+        return scratch.write(ranged.mapInArrow(run, "n int, gram long, count long"), "counts")
+
+
 def op5_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "lmscore")
-    result = checkpointed(backoff_scores(read_table(spark, sf_dir, "documents"), scratch))
+    scored = backoff_scores(read_table(spark, sf_dir, "documents"), scratch)
+    result = checkpointed(scored.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score")))
     scratch.drop()
     return result
 
 
+OP5_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS row_id, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+), places AS (
+  SELECT row_id, unnest(range(1, len(words) + 1)) AS i, words FROM texts
+), grams AS (
+  SELECT row_id, i, words[i] AS w1, CASE WHEN i > 1 THEN words[i - 1] END AS w2, CASE WHEN i > 2 THEN words[i - 2] END AS w3 FROM places
+), ones AS (SELECT w1, count(*) AS n FROM grams GROUP BY ALL
+), twos AS (SELECT w2, w1, count(*) AS n FROM grams WHERE i > 1 GROUP BY ALL
+), threes AS (SELECT w3, w2, w1, count(*) AS n FROM grams WHERE i > 2 GROUP BY ALL
+), scored AS (
+  SELECT g.row_id, CASE
+    WHEN three.n >= 2 THEN ln(three.n / before_two.n)
+    WHEN two.n >= 2 THEN ln(two.n / before_one.n) + CASE WHEN g.i > 2 THEN ln(0.4) ELSE 0 END
+    ELSE ln(one.n / (SELECT sum(n) FROM ones)) + least(g.i - 1, 2) * ln(0.4) END AS s
+  FROM grams g JOIN ones one ON one.w1 = g.w1
+    LEFT JOIN twos two ON two.w2 = g.w2 AND two.w1 = g.w1
+    LEFT JOIN ones before_one ON before_one.w1 = g.w2
+    LEFT JOIN threes three ON three.w3 = g.w3 AND three.w2 = g.w2 AND three.w1 = g.w1
+    LEFT JOIN twos before_two ON before_two.w2 = g.w3 AND before_two.w1 = g.w2
+), sums AS (SELECT row_id, sum(s) AS s FROM scored GROUP BY row_id)
+SELECT t.doc_id, CAST(len(t.words) AS BIGINT) AS n_words, round(coalesce(s.s, 0.0), 6) AS log_score,
+  CASE WHEN len(t.words) > 0 THEN round(s.s / len(t.words), 6) END AS mean_log_score
+FROM texts t LEFT JOIN sums s ON s.row_id = t.row_id
+"""
+
 QUERIES = {"op5_lmscore": op5_lmscore}
-ORACLES: dict = {}
+ORACLES = {"op5_lmscore": OP5_SQL}
