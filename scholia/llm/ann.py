@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scholia.session import Scratch, read_table
+from scholia.session import Scratch, checkpointed, read_table
 
 HASHES = 48
 #: Share of the projections in which a candidate must collide.
@@ -136,8 +136,11 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, scratch: Scratch, key:
 
 
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "ann")
     rows = read_table(spark, sf_dir, "embeddings")
-    return nearest(rows, rows.filter(F.col("vec_id") % 100 == 0), 10, Scratch(spark, "ann"))
+    result = checkpointed(nearest(rows, rows.filter(F.col("vec_id") % 100 == 0), 10, scratch))
+    scratch.drop()
+    return result
 
 
 QUERIES = {"op6_ann": op6_ann}

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholia.llm.neardup import text_key, texts_of
-from scholia.session import Scratch, checkpointed, read_table
+from scholia.session import Scratch, as_row, checkpointed, read_table
 
 WINDOW = 13
 LEAST = 7
@@ -181,8 +181,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, text:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose text holds a passage of an item."""
     scratch = Scratch(docs.sparkSession, "decontam")
-    hits = contaminated(docs, benchmark, scratch).select(F.col("t").alias("hit_t")).distinct()
-    return docs.withColumn("decontam_t", text_key(F.col("text"))).join(hits, F.col("decontam_t") == F.col("hit_t"), "left_anti").select(*docs.columns)
+    hits = contaminated(docs, benchmark, scratch).select("t").distinct()
+    scratch.keep("hits")
+    return docs.select(as_row(docs).alias("row"), text_key(F.col("text")).alias("t")).join(hits, "t", "left_anti").select("row.*")
 
 
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,9 @@ equal to the fraction, where rate = target / source size.
 Defined results: a null text has size 0; a null source is a source of its own
 (ordered last); a null doc_id draws as the empty string; rows that repeat a
 doc_id share one draw; a source without words has rate 0; an empty table gives
-an empty result. Columns of the input are read only by the names passed in, so
-further columns, whatever their names, are left alone.
+an empty result. Columns of the input are read only by the names passed in;
+further columns, whatever their names, are left alone, and an added column
+whose name the input has gets underscores behind it.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scholia.session import checkpointed, read_table
+from scholia.session import as_row, checkpointed, read_table
 
 SPACE = r"[\x20\x09-\x0D]"
 MAX_RATE = 3
@@ -68,32 +69,45 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rat
 
 
 def mix_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, max_rate: int = MAX_RATE, seed: str = "mix:") -> DataFrame:
-    """docs with columns mix_size, mix_source_size, mix_target and mix_copies added.
+    """docs with columns mix_size, mix_source_size, mix_target and mix_copies added (see free_name)."""
+    planned = _planned(docs, key, text, source, weights, max_rate, seed)
+    return planned.select("row.*", *[F.col(c).alias(free_name(docs, f"mix_{c}")) for c in ("size", "source_size", "target", "copies")])
+
+
+def _planned(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, max_rate: int = MAX_RATE, seed: str = "mix:") -> DataFrame:
+    """(row, size, source_size, target, copies): every row of docs as one struct, and what the mix takes of it.
 
     The source table is joined by broadcast only when it was counted to be at
     most BROADCAST_SOURCES rows; beyond that both sides are salted, so that a
     source with a third of all rows is spread over SALTS tasks.
     """
-    sized = docs.withColumn("mix_size", word_count(F.col(text)))
-    sizes = sized.groupBy(F.col(source).alias("source")).agg(F.sum("mix_size").alias("source_size"))
-    targets = checkpointed(source_targets(sizes, weights, max_rate)).select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    same = F.col(source).eqNullSafe(F.col("mix_source"))
+    sized = docs.select(as_row(docs).alias("row"), F.col(key).alias("key"), F.col(source).alias("own_source"), word_count(F.col(text)).alias("size"), F.pmod(F.xxhash64(key, text), F.lit(SALTS)).cast("int").alias("own_salt"))
+    sizes = docs.groupBy(F.col(source).alias("source")).agg(F.sum(word_count(F.col(text))).alias("source_size"))
+    targets = checkpointed(source_targets(sizes, weights, max_rate))
+    same = F.col("own_source").eqNullSafe(F.col("source"))
     if targets.count() <= BROADCAST_SOURCES:
         joined = sized.join(F.broadcast(targets), same)
     else:
-        salted = targets.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = sized.withColumn("mix_doc_salt", F.pmod(F.xxhash64(key, text), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("mix_doc_salt") == F.col("mix_salt"))).drop("mix_salt", "mix_doc_salt")
-    rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size").cast("double")).otherwise(F.lit(0.0))
+        salted = targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = sized.join(salted, same & (F.col("own_salt") == F.col("salt")))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    extra = (draw(F.col(key), seed) < rate - whole).cast("long")
-    return joined.withColumn("mix_copies", whole.cast("long") + extra).drop("mix_source")
+    extra = (draw(F.col("key"), seed) < rate - whole).cast("long")
+    return joined.select("row", "size", "source_size", "target", (whole.cast("long") + extra).alias("copies"))
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as it takes to be no column of docs."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: the columns of docs and copy_no (from 0), one row per copy taken."""
-    plan = mix_plan(docs, **options)
-    copies = plan.filter("mix_copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_copies") - 1)))
-    return copies.select(*docs.columns, "copy_no")
+    """The mixed corpus: the columns of docs and copy_no (from 0; see free_name), one row per copy taken."""
+    copies = _planned(docs, **options).filter("copies > 0")
+    return copies.select("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("number")).select("row.*", F.col("number").alias(free_name(docs, "copy_no")))
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -352,7 +352,7 @@ def near_duplicate_classes(docs: DataFrame, scratch: Scratch, text: str = "text"
     links = scratch.write(similar_pairs(pairs, texts), "links")
     labels = components(links, scratch, "star")
     rest = led.filter("n > 2").select("band", "place", "t").join(labels.select(F.col("node").alias("t"), "component"), "t", "left").withColumn("component", F.coalesce("component", "t"))
-    mixed = rest.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
+    mixed = scratch.write(rest.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band"), "mixed")
     rest = scratch.write(rest.join(mixed, "band"), "rest")
     facts = sketched.join(rest.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.first("bands").alias("bands")).join(texts.select("t", F.octet_length("text").alias("size")), "t")
     rest = scratch.write(rest.join(scratch.write(facts, "facts"), "t"), "open")

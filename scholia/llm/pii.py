@@ -19,10 +19,12 @@ could match what they hold, so that very long runs neither recurse nor rescan.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.session import Scratch, checkpointed, read_table
+from scholia.session import Scratch, as_row, checkpointed, read_table
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -38,8 +40,8 @@ OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 #: Groups of digits and signs with single spaces between them, as numbers are written.
 GROUPS = r"(?<![^\s(])[(+]?[0-9][0-9().+/-]*+(?:\x20[0-9(][0-9().+/-]*+)++"
-#: Code points of context; two words are sought in them.
-LEFT = 80
+#: Matches before one over which its two words of context may reach; a word glued together of more counts from there.
+REACH = 3
 MIN_DIGITS = 6
 MIN_SUPPORT = 5
 MIN_CONFIDENCE = 0.9
@@ -67,32 +69,69 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where value is evaluated once however often body refers to it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """[0, v0, v0 op v1, ...] of an array of bigint; op is associative and leaves 0 op v at v.
+
+    In stretches of about the square root of the size, since each append copies
+    what it appends to.
+    """
+    zero = F.lit(0).cast("bigint")
+
+    def append(acc: Column, x: Column) -> Column:
+        return F.concat(acc, F.array(op(F.element_at(acc, -1), x)))
+
+    def within(z: Column) -> Column:
+        return F.slice(F.aggregate(z["own"], F.array(z["before"]), append), 2, F.greatest(F.size(z["own"]), F.lit(1)))
+
+    def joined(stretches: Column) -> Column:
+        before = F.aggregate(stretches, F.array(zero), lambda acc, s: append(acc, F.aggregate(s, zero, op)))
+        zipped = F.arrays_zip(stretches.alias("own"), F.slice(before, 1, F.size(stretches)).alias("before"))
+        return F.concat(F.array(zero), F.flatten(F.transform(zipped, within)))
+
+    def cut(v: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1))
+        return let(F.transform(F.sequence(F.lit(0), F.greatest(F.size(v) - 1, F.lit(0)), width), lambda i: F.slice(v, i + 1, width)), joined)
+
+    return let(values, cut)
+
+
+def last_words(text: Column) -> Column:
+    """The end of text from the third last white space on at the most, with single blanks."""
+    return let(F.split(text, r"\s+", -1), lambda w: F.array_join(F.slice(w, F.greatest(F.size(w) - 2, F.lit(1)), 3), " "))
+
+
 def _located(df: DataFrame, name: str, pattern: str, when: Column) -> DataFrame:
     """Add column name: array of struct(start, end, found, left), leftmost non-overlapping.
 
     The pieces between matches carry the offsets: a match starts where the
-    pieces and matches before it end. left is the text before the match, its
-    last LEFT code points; it is carried along, so long texts are not rescanned.
+    pieces and matches before it end. left holds the last words before the
+    match, with single blanks: those of its own piece and of the REACH matches
+    and pieces before it, so nothing is rescanned however long a text is.
     """
     none = F.array().cast("array<string>")
     nothing = F.array().cast("array<struct<start:bigint,end:bigint,found:string,left:string>>")
     df = df.withColumn("pii_found", F.when(when, F.regexp_extract_all("pii_text", F.lit(pattern), F.lit(0))).otherwise(none))
     df = df.withColumn("pii_pieces", F.when(F.size("pii_found") > 0, F.split("pii_text", pattern, -1)).otherwise(none))
 
-    def tail(text: Column) -> Column:
-        return F.substring(text, -LEFT, LEFT)
+    def spans(parts: Column) -> Column:
+        lengths = F.flatten(F.transform(parts, lambda x: F.array(F.length(x["pii_pieces"]).cast("bigint"), F.coalesce(F.length(x["pii_found"]), F.lit(0)).cast("bigint"))))
+        tails = F.transform(parts, lambda x, i: last_words(F.concat(F.coalesce(F.get(parts, i - 1)["pii_found"], F.lit("")), x["pii_pieces"])))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["pii_pieces"])
-        end = start + F.coalesce(F.length(x["pii_found"]), F.lit(0))
-        left = tail(F.concat(acc["tail"], tail(x["pii_pieces"])))
-        one = F.array(F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), x["pii_found"].alias("found"), left.alias("left")))
-        after = tail(F.concat(left, tail(F.coalesce(x["pii_found"], F.lit("")))))
-        return F.struct(end.cast("bigint").alias("at"), after.alias("tail"), F.when(x["pii_found"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
+        def located(w: Column) -> Column:
+            def one(x: Column, i: Column) -> Column:
+                left = F.concat(*[F.coalesce(F.get(w["tails"], i - k), F.lit("")) for k in range(REACH, -1, -1)])
+                return F.struct(F.get(w["edges"], 2 * i + 1).alias("start"), F.get(w["edges"], 2 * i + 2).alias("end"), x["pii_found"].alias("found"), left.alias("left"))
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("tail"), nothing.alias("out"))
-    located = F.aggregate(F.arrays_zip("pii_pieces", "pii_found"), start, step, lambda acc: acc["out"])
-    return df.withColumn(name, F.when(F.size("pii_found") > 0, located).otherwise(nothing)).drop("pii_found", "pii_pieces")
+            return F.filter(F.transform(parts, one), lambda s: s["found"].isNotNull())
+
+        return let(F.struct(running(lengths, lambda a, b: a + b).alias("edges"), tails.alias("tails")), located)
+
+    return df.withColumn(name, F.when(F.size("pii_found") > 0, let(F.arrays_zip("pii_pieces", "pii_found"), spans)).otherwise(nothing)).drop("pii_found", "pii_pieces")
 
 
 def _kept(kind: str, located: Column) -> Column:
@@ -130,8 +169,7 @@ def candidates(df: DataFrame) -> DataFrame:
 
 def context(left: Column) -> Column:
     """The two words on the left, in lower case; null where there are fewer."""
-    words = F.regexp_extract(F.lower(left), r"(\S+\s+\S+)\s*\z", 1)
-    return F.when(words == "", F.lit(None)).otherwise(F.regexp_replace(words, r"\s+", " "))
+    return let(F.filter(F.split(F.lower(left), r"\s+"), lambda w: w != ""), lambda w: F.when(F.size(w) >= 2, F.array_join(F.slice(w, -2, 2), " ")))
 
 
 def shaped(kind: str, found: Column) -> Column:
@@ -181,8 +219,8 @@ def find_pii(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
     (array of struct(kind, start, end)), only for rows where the context found
     something. Both are small beside the texts: digits are rare.
     """
-    per = candidates(base_spans(docs.select(F.col(key), F.col(text)), text))
-    per = scratch.write(per.select(F.col(key).alias("pii_key"), F.xxhash64("pii_text").alias("pii_hash"), "pii_base", "pii_more"), "per")
+    per = candidates(base_spans(docs.select(F.col(key).alias("pii_key"), F.col(text).alias("pii_body")), "pii_body"))
+    per = scratch.write(per.select("pii_key", F.xxhash64("pii_text").alias("pii_hash"), "pii_base", "pii_more"), "per")
     seeds = per.select(F.explode("pii_base").alias("s")).select(context(F.col("s.left")).alias("pattern"), F.col("s.found").alias("instance"), F.col("s.kind").alias("kind"))
     free = per.select("pii_key", "pii_hash", F.explode("pii_more").alias("s")).select("pii_key", "pii_hash", context(F.col("s.left")).alias("pattern"), F.col("s.found").alias("instance"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
     patterns = confident_patterns(seeds.unionByName(free.select("pattern", "instance", F.lit(None).cast("string").alias("kind"))))
@@ -220,20 +258,29 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """
     scratch = Scratch(docs.sparkSession, "pii")
     _, more = find_pii(docs, scratch, key, text)
-    marked = base_spans(docs, text).withColumn("pii_hash", F.xxhash64("pii_text")).withColumn("pii_key", F.col(key))
-    marked = _with_extra(marked, more).withColumn("pii_spans", F.array_sort(F.transform(_all_spans(), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(F.substring(F.col("pii_text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    redone = F.aggregate("pii_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("pii_text"), (acc["at"] + 1).cast("int"), F.length("pii_text"))))
-    marked = marked.withColumn(text, F.when(F.col(text).isNull() | (F.size("pii_spans") == 0), F.col(text)).otherwise(redone))
+    scratch.keep("more")
+    rows = docs.select(as_row(docs).alias("row"), F.col(key).alias("pii_key"), F.col(text).alias("pii_body"))
+    marked = _with_extra(base_spans(rows, "pii_body").withColumn("pii_hash", F.xxhash64("pii_text")), more)
+    marked = marked.withColumn("pii_spans", F.array_sort(F.transform(_all_spans(), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
+
+    def cleared(w: Column) -> Column:
+        """w: chars, spans and before, the largest end of the spans ahead of each; a span that begins under one of them is part of it."""
+
+        def part(s: Column, i: Column) -> Column:
+            at = F.get(w["before"], i)
+            kept = F.array_join(F.slice(w["chars"], (at + 1).cast("int"), F.greatest(s["start"] - at, F.lit(0)).cast("int")), "")
+            return F.when(s["start"] >= at, F.concat(kept, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+
+        rest = F.array_join(F.slice(w["chars"], (F.element_at(w["before"], -1) + 1).cast("int"), F.size(w["chars"])), "")
+        return F.concat(F.array_join(F.transform(w["spans"], part), ""), rest)
+
+    before = running(F.transform("pii_spans", lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    redone = let(F.struct(F.split("pii_text", "").alias("chars"), F.col("pii_spans").alias("spans"), before.alias("before")), cleared)
+    marked = marked.withColumn("pii_redone", F.when(F.size("pii_spans") > 0, redone))
+    changed = {text: F.col("pii_redone")}
     if "n_chars" in docs.columns:
-        marked = marked.withColumn("n_chars", F.when(F.size("pii_spans") == 0, F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType))
-    return marked.select(*docs.columns)
+        changed["n_chars"] = F.length("pii_redone").cast(docs.schema["n_chars"].dataType)
+    return marked.select(*[(F.when(F.size("pii_spans") > 0, changed[c]).otherwise(F.col("row")[c]) if c in changed else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

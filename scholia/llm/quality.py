@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from scholia.llm.learn import Isotonic, hinge_dual, sigmoid
 from scholia.llm.samples import fold, labelled_sample
@@ -141,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> QualityMode
 
 def score(docs: DataFrame, model: QualityModel, *keep: str) -> DataFrame:
     """The columns `keep` of docs and quality_score, one row per row of docs."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields) + ", quality_score double"
+    schema = StructType([*docs.select(*keep).schema.fields, StructField("quality_score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -44,7 +44,7 @@ WIDTHS = (41, 11, 3, 1)
 #: Offsets to the anchor whose strings are set aside together.
 STRETCH = 27
 BATCH_BYTES = 400_000
-SEGMENT = 2_000_000
+SEGMENT = 1_000_000
 _P = 0xD1342543DE82EF95
 _PLACE = U((1 << 22) - 1)
 

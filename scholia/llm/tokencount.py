@@ -36,9 +36,7 @@ CACHE_PIECES = 300_000
 
 
 def default_vocabulary() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -206,7 +204,7 @@ def count_rows(rows: DataFrame, vocabulary: str) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, n_pretokens long, n_tokens long, n_edits long, n_tokens_edited long, n_reencoded long")
 
 
-def op2_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op2_tokencount(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     """Every document, and again after a stated pair of edits in its middle and at its end."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     middle = F.floor(F.length(F.coalesce("text", F.lit(""))) / 2).cast("int")
@@ -214,7 +212,7 @@ def op2_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(middle.alias("start"), (middle + 12).alias("end"), F.lit(" revised in 2024").alias("replacement")),
         F.struct(F.lit(2**31 - 1).alias("start"), F.lit(2**31 - 1).alias("end"), F.lit(" The end.").alias("replacement")),
     )
-    return count_rows(docs.withColumn("edits", stated), default_vocabulary())
+    return count_rows(docs.withColumn("edits", stated), vocabulary or default_vocabulary())
 
 
 QUERIES = {"op2_tokencount": op2_tokencount}

@@ -23,10 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from scholia.llm.learn import BoostedTrees, Isotonic, sigmoid
 from scholia.llm.samples import fold, labelled_sample
-from scholia.session import read_table
+from scholia.session import as_row, read_table
 
 #: Bound of the labelled rows that the model is fitted on.
 FIT_ROWS = 20_000
@@ -175,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> ToxicityMod
 
 def score(docs: DataFrame, model: ToxicityModel, *keep: str) -> DataFrame:
     """The columns `keep` of docs and tox_score, one row per row of docs."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields) + ", tox_score double"
+    schema = StructType([*docs.select(*keep).schema.fields, StructField("tox_score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(model.induced)
@@ -188,7 +189,8 @@ def score(docs: DataFrame, model: ToxicityModel, *keep: str) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that score threshold or more."""
-    return score(docs, fit(docs, labels), *docs.columns).filter(F.col("tox_score") < threshold).drop("tox_score")
+    rows = docs.select(as_row(docs).alias("row"), "text")
+    return score(rows, fit(docs, labels), "row").filter(F.col("tox_score") < threshold).select("row.*")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

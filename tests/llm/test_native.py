@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from scholia.llm import decontam, mixing, pii
+from scholia.llm import decontam, mixing, neardup, pii, toxicity
 
 SCHEMA = "doc_id long, text string, source string, mix_size_note string"
 
@@ -122,7 +122,7 @@ ITEM = "A farmer named Alice sells 12 apples and 12 pears for 30 dollars each da
 def test_templates_catch_new_parameters(spark, scratch):
     texts = {
         1: "x y. " + ITEM.replace("Alice", "Carol").replace("12", "47").replace("30", "99") + " zz",
-        2: ITEM.replace("12 pears", "48 pears"),
+        2: ITEM.replace("12 pears", "48 pears").split(" market")[0],
         3: None,
         4: "Nothing of it here, only other words about a farmer and the market.",
         5: ITEM.upper().replace(" ", "###  ") + " tail",
@@ -167,3 +167,31 @@ def test_case_and_wrapping_hide_no_passage(spark, scratch):
     texts = [ITEM.upper().replace(" ", "###  ") + " tail", "we say Copper" + short[6:] + " here", long.lower(), long.upper(), long.replace(" ", "\n"), long.replace(" ", "  "), changed, "we say nothing of copper kettles here"]
     got = hits_of(spark, scratch, texts, [ITEM, short, long])
     assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 2), (4, 2), (5, 2), (6, 0)}
+
+
+@pytest.mark.parametrize("clash", ["mix_size copy_no mix_source row size", "pii_text pii_key start", "t own_t surface", "tox_score tox_text score"])
+def test_clashing_columns_pass_through_every_stage(spark, clash):
+    names = clash.split()
+    docs = spark.createDataFrame([(i, f"mail a{i}@b.org now please do write", "s", 9, *[f"{n}{i}" for n in names]) for i in range(4)], ", ".join(["doc_id long, text string, source string, n_chars long", *[f"{n} string" for n in names]]))
+    benchmark = spark.createDataFrame([], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    stages = [lambda d: toxicity.drop_toxic(d, labels), neardup.keep_one, lambda d: decontam.drop_contaminated(d, benchmark), pii.redact, mixing.mix, mixing.mix_plan]
+    for stage in stages:
+        got = stage(docs)
+        assert got.columns[: len(docs.columns)] == docs.columns and len({c.lower() for c in got.columns}) == len(got.columns)
+        assert {r.doc_id: [r[n] for n in names] for r in got.collect()} == {i: [f"{n}{i}" for n in names] for i in range(4)}
+
+
+def test_very_many_matches_in_one_text(spark, scratch):
+    text = " a@b.org " * 3_000 + "end"
+    docs = spark.createDataFrame([(1, text), (2, "é😀 a@b.org, x"), (3, " ".join(f"n{100000 + i}" for i in range(100_000)))], "doc_id long, text string")
+    spans = {r.pii_key: r.pii_base for r in pii.find_pii(docs, scratch)[0].collect()}
+    assert [(s.start, s.end) for s in spans[1]] == [m.span() for m in re.finditer(r"a@b\.org", text)] and len(spans[2]) == 1
+    clear = {r.doc_id: r.text for r in pii.redact(docs.filter("doc_id < 3")).collect()}
+    assert clear == {1: text.replace("a@b.org", "[EMAIL]"), 2: "é😀 [EMAIL], x"}
+
+
+def test_context_reaches_over_white_space_of_any_length(spark, scratch):
+    rows = [(i, f"my number is +1 (499) 555-{1000 + i} thanks") for i in range(20)] + [(100, "my number is" + " " * 90 + "0499-555-777 ok")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.pii_key for r in pii.find_pii(docs, scratch)[1].collect()] == [100]
