@@ -48,23 +48,23 @@ ABBREVIATIONS = tuple("e.g. i.e. etc. vs. cf. dr. mr. mrs. ms. prof. fig. eq. no
 # Words that grading leaves out before it compares.
 GRADING_FILLERS = tuple("the a an is are of to and".split())
 
-# What opens and closes a sentence, bullets and page furniture.
+# What opens and closes a sentence.
 OPENS_SENTENCE = r"^[\p{Lu}\p{N}\"'“(\[]"
 CLOSES_SENTENCE = r"[.!?][\")\]”']?$"
-BULLET = r"^\s*[•▪●◦‣·\-–—*o]\s+"
-PAGE_FURNITURE = r"^\s*(\d{1,4}|[\p{Punct}\s]+)\s*$"
 
 # Definition verbs.
 DEFINITION_VERBS = ("is", "are", "refers to", "is defined as", "is called", "means", "consists of", "describes")
 
 # Labels of front matter, before a colon or a dash.
 FRONT_MATTER_LABELS = (
-    "instructor professor lecturer teacher ta teaching_assistant office_hours? office email e-mail phone tel telephone "
-    "course course_code course_title class room building campus semester term quarter year credits? units? prerequisites? "
-    "pre-requisites? textbook required_text readings? grading assessment evaluation attendance syllabus schedule contact "
-    "website url department faculty university college school section lecture week unit module chapter page date time "
-    "location venue due deadline objectives? outcomes? agenda outline"
-).replace(" ", "|").replace("_", " ")
+    "instructor", "professor", "lecturer", "teacher", "ta", "teaching assistant", "office hours?", "office", "email",
+    "e-mail", "phone", "tel", "telephone", "course", "course code", "course title", "class", "room", "building",
+    "campus", "semester", "term", "quarter", "year", "credits?", "units?", "prerequisites?", "pre-requisites?",
+    "textbook", "required text", "readings?", "grading", "assessment", "evaluation", "attendance", "syllabus",
+    "schedule", "contact", "website", "url", "department", "faculty", "university", "college", "school", "section",
+    "lecture", "week", "unit", "module", "chapter", "page", "date", "time", "location", "venue", "due", "deadline",
+    "objectives?", "outcomes?", "agenda", "outline",
+)
 
 # Contact details.
 CONTACT = r"[\w.+-]+@[\w-]+\.[\w.]+|https?://\S+|www\.\S+|\+?\d[\d\s().-]{7,}\d"

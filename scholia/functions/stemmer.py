@@ -6,10 +6,17 @@ import re
 
 _VOWELS = "aeiou"
 # The suffix tables of steps 2, 3 and 4 of the paper.
-_STEP2 = "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
-_STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
-_STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
-_TABLES = [sorted(((a, b) for a, _, b in (x.partition(":") for x in table.split())), key=lambda x: -len(x[0])) for table in (_STEP2, _STEP3, _STEP4)]
+_STEP2 = (
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"),
+    ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"),
+    ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"),
+    ("iviti", "ive"), ("biliti", "ble"),
+)
+_STEP3 = (
+    ("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""),
+)
+_STEP4 = tuple((x, "") for x in "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split())
+_TABLES = [sorted(table, key=lambda x: -len(x[0])) for table in (_STEP2, _STEP3, _STEP4)]
 
 
 def _shape(word: str) -> str:

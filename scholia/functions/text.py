@@ -86,7 +86,7 @@ def content_flags(text: Column) -> dict[str, Column]:
         return "|".join(items)
 
     return {
-        "front_matter": text.rlike(rf"(?i)^\s*({L.FRONT_MATTER_LABELS})\s*[:\-–—]"),
+        "front_matter": text.rlike(rf"(?i)^\s*({phrases(*L.FRONT_MATTER_LABELS)})\s*[:\-–—]"),
         "contact": text.rlike(f"(?i){L.CONTACT}"),
         "administrative": text.rlike(f"(?i){EDGE}({phrases(*L.ADMINISTRATION)}){EDGE}"),
         "course_talk": text.rlike("(?i)" + phrases(*[f"{EDGE}({p}){EDGE}" for p in L.COURSE_TALK])),
@@ -124,7 +124,7 @@ def grade(reference: Column, student: Column) -> Column:
 
 
 def feedback(verdict: Column, reference: Column) -> Column:
-    """What a student is told."""
+    """What a student is told. The five texts are fixed values."""
     return (
         F.when(verdict == "blank", F.concat(F.lit("No answer was given. The expected answer was: "), reference, F.lit(".")))
         .when(verdict == "match", F.lit("Correct - that matches the material."))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholia.functions.text import normalised_timestamp
+from scholia.functions.text import feedback, grade, normalised_timestamp
 
 
 def newest_first(rows: DataFrame, project: str | None = None) -> DataFrame:
@@ -43,8 +45,45 @@ def latest(events: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def upsert(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
-    """Fresh rows replace stored ones of the same key; one row per key."""
-    return stored.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh.dropDuplicates([key]))
+    """Fresh rows replace stored ones of the same key; of fresh rows that share a key, the greatest by their other columns stays."""
+    rest = [c for c in fresh.columns if c != key]
+    single = fresh.groupBy(key).agg(F.max(F.struct(*rest)).alias("row")).select(key, "row.*") if rest else fresh.distinct()
+    return stored.join(single.select(key), key, "left_anti").unionByName(single)
+
+
+def vectors_of(vectors: DataFrame, project: str, model: str) -> DataFrame:
+    """The stored vectors of a project under one model."""
+    return vectors.filter((F.col("project_id") == project) & (F.col("model") == model))
+
+
+def vector_counts(vectors: DataFrame) -> DataFrame:
+    """(project_id, model, n): how many vectors each project has under each model."""
+    return vectors.groupBy("project_id", "model").agg(F.count("*").alias("n"))
+
+
+def upserted_vectors(stored: DataFrame, chunks: DataFrame, embed: Callable[..., DataFrame], model: str, dims: int) -> DataFrame:
+    """stored (chunk_id, project_id, model, dims, vector) with a vector of the model for each of chunks.
+
+    embed gives sparse rows (chunk_id, dim, weight); a chunk without features
+    has the zero vector. Backfill passes chunks_without_vector as chunks.
+    """
+    parts = embed(chunks, "chunk_id", "content").groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("dim", F.col("weight").cast("float")))).alias("parts"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("parts", i), F.lit(0.0).cast("float")))
+    fresh = chunks.select("chunk_id", "project_id").join(parts, "chunk_id", "left").select("chunk_id", "project_id", F.lit(model).alias("model"), F.lit(dims).alias("dims"), dense.alias("vector"))
+    kept = stored.join(fresh.select("chunk_id", "model"), ["chunk_id", "model"], "left_anti")
+    return kept.select(*fresh.columns).unionByName(fresh)
+
+
+def summary_citations(citations: DataFrame, documents: DataFrame) -> DataFrame:
+    """Citations of summaries with the name of their document, null where that is gone."""
+    return citations.join(documents.select("document_id", "filename"), "document_id", "left").orderBy("summary_id", "citation_id")
+
+
+def graded_question(questions: DataFrame, quiz: str, question: str, answer: Column) -> DataFrame:
+    """(question_id, correct, verdict, feedback) of an answer to a stored question; no row if the quiz has none of that id."""
+    own = questions.filter((F.col("quiz_id") == quiz) & (F.col("question_id") == question))
+    judged = own.select("question_id", "answer", grade(F.col("answer"), answer).alias("g"))
+    return judged.select("question_id", "g.correct", "g.verdict", feedback(F.col("g.verdict"), F.col("answer")).alias("feedback"))
 
 
 def messages_with_citations(messages: DataFrame, citations: DataFrame, documents: DataFrame) -> DataFrame:
@@ -74,6 +113,7 @@ CASCADE = (
     ("documents", "document_id", "projects", "project_id"),
     ("chunks", "chunk_id", "documents", "document_id"),
     ("chunk_embeddings", "chunk_id", "chunks", "chunk_id"),
+    ("postings", "chunk_id", "chunks", "chunk_id"),
     ("chat_sessions", "session_id", "projects", "project_id"),
     ("chat_messages", "message_id", "chat_sessions", "session_id"),
     ("message_citations", "citation_id", "chat_messages", "message_id"),

@@ -42,13 +42,19 @@ def fixed_chunks(pages: DataFrame, target: int = TARGET, overlap: int = OVERLAP)
     reach = F.transform(F.arrays_zip("words", "gaps"), lambda x: F.coalesce(F.length(x["words"]), F.lit(0)) + F.length(x["gaps"]))
     cut = cut.select("document_id", "project_id", "page", "text", "gaps", n.alias("n"), reach.alias("reach"))
 
-    def before(count: Column) -> Column:
-        return F.aggregate(F.slice("reach", 1, count), F.lit(0), lambda a, x: a + x)
+    def reached(parts: Column) -> Column:
+        """The sum of the first 0, step, 2 step, ... lengths: one pass, and an append per window."""
+        sums = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x))
+        return F.aggregate(sums, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
 
     last = F.greatest(F.lit(0), F.ceil((F.col("n") - target) / step)).cast("int")
-    windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("index"), (i * step).alias("s"), F.least(F.col("n"), i * step + target).alias("e")))
-    rows = cut.withColumn("windows", windows)
-    placed = F.transform("windows", lambda w: F.struct(w["index"].alias("index"), (w["e"] - w["s"]).alias("n_words"), (before(w["s"]) + F.length(F.get("gaps", w["s"]))).alias("char_start"), before(w["e"]).alias("char_end")))
+    steps = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("reach", i * step + 1, step))
+    rows = cut.withColumn("starts", reached(steps)).withColumn("windows", F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("index"), (i * step).alias("s"), F.least(F.col("n"), i * step + target).alias("e"))))
+
+    def within(w: Column) -> Column:
+        return F.aggregate(F.slice("reach", w["s"] + 1, w["e"] - w["s"]), F.lit(0), lambda a, x: a + x)
+
+    placed = F.transform("windows", lambda w: F.struct(w["index"].alias("index"), (w["e"] - w["s"]).alias("n_words"), (F.get("starts", w["index"]) + F.length(F.get("gaps", w["s"]))).alias("char_start"), (F.get("starts", w["index"]) + within(w)).alias("char_end")))
     out = rows.select("document_id", "project_id", "page", "text", F.explode(placed).alias("w")).select("document_id", "project_id", "page", "w.*", "text")
     return out.withColumn("content", F.substring(F.col("text"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))).drop("text")
 

@@ -15,7 +15,7 @@ from scholia.functions.text import matching_tokens
 
 DIMENSIONS = 1024
 FLOOR = {"hashing": 0.08, "minilm": 0.25}
-#: 512 kB of query vectors of 1024 dimensions are 64 queries; beyond it the query side is shuffled.
+#: A query vector of 1024 doubles is 8 kB, so at most 8 MB are broadcast; beyond it the query side is shuffled.
 BROADCAST_QUERIES = 1_000
 _MASK = 4294967295
 # The two multipliers and three shifts of the 32-bit finaliser.

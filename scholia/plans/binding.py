@@ -36,4 +36,4 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents as sentences: (request_id = project, document_id, position, text)."""
     rows = documents(spark, sf_dir).select(F.col("project_id").alias("request_id"), "document_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).filter(F.trim("text") != "")
-    return rows.select("request_id", "document_id", (F.col("document_id") * 100_000 + F.col("line")).alias("position"), "text")
+    return rows.select("request_id", "document_id", (F.col("document_id") * 2**31 + F.col("line")).alias("position"), "text")

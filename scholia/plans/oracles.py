@@ -44,7 +44,7 @@ lines AS (
 )"""
 
 _FLAGS = {
-    "front_matter": rf"(?i)^\s*({L.FRONT_MATTER_LABELS})\s*[:\-–—]",
+    "front_matter": rf"(?i)^\s*({'|'.join(L.FRONT_MATTER_LABELS)})\s*[:\-–—]",
     "contact": f"(?i){L.CONTACT}",
     "administrative": rf"(?i)\b({'|'.join(L.ADMINISTRATION)})\b",
     "course_talk": "(?i)" + "|".join(rf"\b({p})\b" for p in L.COURSE_TALK),
@@ -61,6 +61,41 @@ flagged AS (
   SELECT *, CASE WHEN {' + '.join(_FLAGS)} + numbers = 0 THEN 1 ELSE 0 END AS testable FROM flagged
 )"""
 
+# Terms of lines, as quizzes see them: t (one row per term of a line), salient, candidates. Only ASCII letters match in either case.
+SALIENT = rf"""
+spoken AS (
+  SELECT source, doc_id, doc_id * 2147483648 + line AS position, text, list_transform(regexp_extract_all(text, '\b\p{{L}}[\p{{L}}\-]{{4,}}\b'), lambda w: lower(w)) AS tokens FROM lines
+), totals AS (SELECT source, count(*) AS total FROM spoken GROUP BY source),
+terms AS (
+  SELECT source, position, text, len(tokens) AS length, unnest(tokens) AS term, unnest(range(0, len(tokens))) AS place FROM spoken
+), t AS (SELECT source, position, text, length, term, count(*) AS tf, min(place) AS first_at FROM terms GROUP BY ALL),
+dfs AS (SELECT source, term, count(*) AS df FROM t GROUP BY ALL),
+salient AS (
+  SELECT source, position, term, tf, df, CAST(first_at AS INT) AS first_at, round(
+    tf * ln(total / df) * CASE WHEN length(term) >= 6 THEN 1.2::DOUBLE ELSE 1.0 END
+    * CASE WHEN length <= 1 THEN 1.0 ELSE 1.0 + 1.2::DOUBLE * (1.0 - first_at / (length - 1)) END
+    * CASE WHEN regexp_matches(text, '[^.!?]\s\b' || upper(term[1]) || regexp_replace(term[2:], '([a-z])', '(?i:\1)', 'g') || '\b') THEN 1.35::DOUBLE ELSE 1.0 END
+    * CASE WHEN regexp_matches(term, '({'|'.join(L.DESCRIBING_SUFFIXES)})$') THEN 0.5::DOUBLE ELSE 1.0 END, 9) AS salience
+  FROM t JOIN dfs USING (source, term) JOIN totals USING (source)
+  WHERE NOT list_contains({_list((*L.STOPWORDS, *L.WEAK_BLANKS))}, term) AND df <= greatest(2, total // 4)
+)"""
+CANDIDATES = rf"""
+best AS (SELECT *, row_number() OVER (PARTITION BY source, position ORDER BY salience DESC, first_at) AS n FROM salient WHERE salience > 0),
+candidates AS (
+  SELECT s.source, s.doc_id, s.position, s.text, coalesce(nullif(regexp_extract(s.text, '\b' || regexp_replace(b.term, '([a-z])', '(?i:\1)', 'g') || '\b'), ''), b.term) AS term,
+    round(b.salience + CASE WHEN regexp_matches(s.text, '(?i)\b({'|'.join(L.DEFINITION_VERBS)})\b') THEN 2.0 ELSE 0.0 END, 9) AS score
+  FROM spoken s JOIN best b ON b.source = s.source AND b.position = s.position AND b.n = 1
+  WHERE len(regexp_extract_all(s.text, '\S+')) BETWEEN 8 AND 45
+    AND NOT list_contains({_list(L.DANGLING_ENDINGS)}, regexp_replace(lower(list_last(regexp_split_to_array(trim(s.text, ' '), '\s+'))), '[^\p{{L}}]', '', 'g'))
+)"""
+
+#: The 32-bit finaliser over column h, as nested steps.
+def _mixed(h: str) -> str:
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = f"CAST(CAST(xor({h}, ({h}) >> {shift}) AS HUGEINT) * {factor} % 4294967296 AS BIGINT)"
+    return f"xor({h}, ({h}) >> 16)"
+
+
 _FILLERS = "|".join(L.GRADING_FILLERS)
 
 
@@ -143,5 +178,35 @@ SELECT doc_id AS document_id, CAST(len(list_intersect(terms, first_terms)) AS IN
 SELECT 'documents' AS table_name, count(*) AS n_left FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM gone)
 UNION ALL SELECT 'chunks', count(*) FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM gone)
 UNION ALL SELECT 'chunk_embeddings', count(*) FROM chunks c JOIN embeddings e ON e.vec_id = c.doc_id WHERE ordinal = 0 AND doc_id NOT IN (SELECT doc_id FROM gone)""",
+    "filename_rules": r"""WITH bare AS (
+  SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(url, ''), '^.*[/\\]', ''), '[\x00-\x1F\x7F\x{2028}\x{2029}]', '', 'g'), '[\\/:*?"<>|]', '_', 'g'), ' ') AS base FROM pages
+), named AS (SELECT page_id, substring(CASE WHEN regexp_full_match(base, '\.*') THEN 'upload' ELSE base END, 1, 120) AS filename FROM bare)
+SELECT page_id, filename, CASE WHEN suffix(lower(filename), '.pdf') THEN 'application/pdf' WHEN suffix(lower(filename), '.md') OR suffix(lower(filename), '.markdown') THEN 'text/markdown' ELSE 'text/plain' END AS content_type FROM named""",
+    "vector_codec_roundtrip": "SELECT vec_id, CAST(4 * len(embedding) AS INT) AS n_bytes, CASE WHEN embedding IS NOT NULL THEN true END AS same FROM embeddings",
+    "hash_embed_sparse": f"""WITH worded AS (
+  SELECT item_id, list_filter({TOKENS}, lambda t: NOT list_contains({_list(L.STOPWORDS)}, t)) AS tokens FROM benchmark
+), features AS (
+  SELECT item_id, unnest(tokens) AS feature, 1.0::DOUBLE AS w FROM worded
+  UNION ALL SELECT item_id, unnest([tokens[i] || ' ' || tokens[i + 1] FOR i IN range(1, len(tokens))]), 0.5::DOUBLE FROM worded
+), counted AS (SELECT item_id, feature, sum(w) AS w FROM features GROUP BY ALL),
+named AS (SELECT DISTINCT feature FROM counted),
+summed AS (SELECT feature, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(feature, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda a, c: (a * 31 + c) & 4294967295) AS g FROM named),
+hashed AS (SELECT feature, {_mixed('g')} AS h FROM summed),
+signed AS (SELECT feature, (((h + 2147483648) % 4294967296) - 2147483648) AS s, CASE WHEN {_mixed('h')} & 1 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign FROM hashed),
+dims AS (SELECT item_id, CAST(((s % 1024) + 1024) % 1024 AS INT) AS dim, sum(w * sign) AS w FROM counted JOIN signed USING (feature) GROUP BY ALL)
+SELECT item_id AS query_id, dim, round(w / sqrt(sum(w * w) OVER (PARTITION BY item_id)), 6) AS weight FROM dims WHERE w <> 0""",
+    "term_salience": f"WITH {LINES}, {SALIENT} SELECT source AS request_id, position, term, tf, df, first_at, salience FROM salient",
+    "cloze_candidates": f"WITH {LINES}, {SALIENT}, {CANDIDATES} SELECT source AS request_id, doc_id AS document_id, position, text, term, score FROM candidates",
+    "distractors": f"""WITH {LINES}, {SALIENT}, {CANDIDATES}, turns AS (
+  SELECT *, row_number() OVER (PARTITION BY source, doc_id ORDER BY score DESC, position) AS round, min(position) OVER (PARTITION BY source, doc_id) AS seen FROM candidates
+), unused AS (SELECT *, row_number() OVER (PARTITION BY source, lower(term) ORDER BY round, seen) AS use FROM turns),
+picked AS (SELECT source, term AS answer, row_number() OVER (PARTITION BY source ORDER BY round, seen) - 1 AS ordinal FROM unused WHERE use = 1),
+firsts AS (SELECT source, position, term, row_number() OVER (PARTITION BY source, lower(term) ORDER BY position) AS n FROM candidates),
+few AS (SELECT source, position, term, row_number() OVER (PARTITION BY source, length(term) ORDER BY position) AS n FROM firsts WHERE n = 1),
+chosen AS (
+  SELECT p.source, p.ordinal, f.term, row_number() OVER (PARTITION BY p.source, p.ordinal ORDER BY abs(length(f.term) - length(p.answer)), f.position) AS n
+  FROM picked p JOIN few f ON f.source = p.source AND f.n <= 4 AND lower(f.term) <> lower(p.answer) WHERE p.ordinal < 20
+)
+SELECT source AS request_id, CAST(ordinal AS INT) AS ordinal, list(term ORDER BY n) AS distractors FROM chosen WHERE n <= 3 GROUP BY source, ordinal""",
     "foreign_document_ids": "SELECT item_id AS request_id, item_id * 37 AS document_id, CASE WHEN d.doc_id IS NULL THEN 'unknown' ELSE 'foreign' END AS problem FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id * 37 WHERE d.source IS DISTINCT FROM 'src1'",
 }

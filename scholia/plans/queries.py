@@ -142,8 +142,11 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def content_filter_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = B.line_sentences(spark, sf_dir).select("document_id", F.trim("text").alias("text"))
-    flags = lines.select("document_id", *[f.cast("int").alias(n) for n, f in T.content_flags(F.col("text")).items()], T.is_testable(F.col("text")).cast("int").alias("testable"))
-    return flags.groupBy("document_id").agg(*[F.sum(c).alias(c) for c in flags.columns[1:]], F.count("*").alias("n_lines"))
+    names = list(T.content_flags(F.col("text")))
+    # One array holds the flags, so that no expression runs again for `testable`.
+    flags = lines.select("document_id", F.array(*[f.cast("int") for f in T.content_flags(F.col("text")).values()]).alias("flags"))
+    flags = flags.groupBy("document_id", "flags").agg(F.count("*").alias("n")).select("document_id", "n", *[(F.col("flags")[i] * F.col("n")).alias(c) for i, c in enumerate(names)], F.when(F.array_max("flags") == 0, F.col("n")).otherwise(0).alias("testable"))
+    return flags.groupBy("document_id").agg(*[F.sum(c).alias(c) for c in (*names, "testable")], F.sum("n").alias("n_lines"))
 
 
 def filter_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
