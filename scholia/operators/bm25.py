@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from scholia.functions import lexicons as L
 from scholia.functions.stemmer import stem
 from scholia.functions.text import tokenize
+from scholia.session import checkpointed
 
 K1, B = 1.2, 0.75
 ANALYZER_VERSION = "english-v1"
@@ -49,9 +50,10 @@ def build_index(chunks: DataFrame, terms: Callable[..., DataFrame] = plain_terms
     """(postings, statistics) of chunks (project_id, chunk_id, content).
 
     postings: project_id, term, chunk_id, tf, dl. statistics: project_id, n,
-    avgdl, analyzer_version. Both are per project.
+    avgdl, analyzer_version. Both are per project. Term counts are the index:
+    they are written once, and all that follows reads them.
     """
-    counted = terms(chunks, "project_id", "chunk_id").groupBy("project_id", "chunk_id", "term").agg(F.count("*").alias("tf"))
+    counted = checkpointed(terms(chunks, "project_id", "chunk_id").groupBy("project_id", "chunk_id", "term").agg(F.count("*").alias("tf")))
     lengths = counted.groupBy("project_id", "chunk_id").agg(F.sum("tf").alias("dl"))
     statistics = chunks.select("project_id", "chunk_id").join(lengths, ["project_id", "chunk_id"], "left").groupBy("project_id").agg(F.count("*").alias("n"), (F.sum(F.coalesce("dl", F.lit(0))) / F.count("*")).alias("avgdl"))
     return counted.join(lengths, ["project_id", "chunk_id"]), statistics.withColumn("analyzer_version", F.lit(version))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scholia.functions import lexicons as L
 from scholia.functions.text import EDGE, ends_mid_phrase, is_definition, quiz_tokens, word_total
+from scholia.session import checkpointed
 
 MIN_WORDS, MAX_WORDS, CANDIDATES, DISTRACTORS, QUIZ_CHUNKS = 8, 45, 800, 3, 40
 TYPES = ("MULTIPLE_CHOICE", "SHORT_ANSWER", "FLASHCARD")
@@ -95,7 +96,7 @@ def blanked(text: Column, term: str = "term") -> Column:
 def quiz(sentences: DataFrame, count: int, types: tuple[str, ...] = TYPES) -> DataFrame:
     """(request_id, ordinal, type, prompt, choices, answer, explanation, document_id) of each request's quiz."""
     types = types or TYPES
-    pool = cloze_candidates(sentences)
+    pool = checkpointed(cloze_candidates(sentences))
     picked = round_robin(pool, count)
     kind = F.element_at(F.array(*[F.lit(t) for t in types]), (F.col("ordinal") % len(types) + 1).cast("int"))
     rows = picked.join(distractors(picked, pool), ["request_id", "ordinal"], "left").withColumn("type", kind)

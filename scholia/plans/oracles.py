@@ -178,6 +178,19 @@ SELECT doc_id AS document_id, CAST(len(list_intersect(terms, first_terms)) AS IN
 SELECT 'documents' AS table_name, count(*) AS n_left FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM gone)
 UNION ALL SELECT 'chunks', count(*) FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM gone)
 UNION ALL SELECT 'chunk_embeddings', count(*) FROM chunks c JOIN embeddings e ON e.vec_id = c.doc_id WHERE ordinal = 0 AND doc_id NOT IN (SELECT doc_id FROM gone)""",
+    "vector_counts": "SELECT label AS project_id, 'stored' AS model, count(*) AS n FROM embeddings GROUP BY label",
+    "vector_backfill": f"""WITH {CHUNKS}, worded AS (
+  SELECT source, chunk_id, l.quality = 1 AS ready, ordinal = 0 AND EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = c.doc_id) AS held,
+    len(list_filter({TOKENS.replace('text', 'substring(c.text, char_start + 1, char_end - char_start)')}, lambda t: NOT list_contains({_list(L.STOPWORDS)}, t))) AS n_tokens
+  FROM chunks c LEFT JOIN labels l ON l.doc_id = c.doc_id
+) SELECT source AS project_id, count(*) AS n, CAST(sum(CASE WHEN NOT held AND n_tokens > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_embedded FROM worded WHERE held OR ready GROUP BY source""",
+    "postings_after_delete": rf"""WITH {CHUNKS}, tokens AS (
+  SELECT source, chunk_id, unnest(regexp_extract_all(lower(substring(text, char_start + 1, char_end - char_start)), '[\p{{L}}\p{{N}}]+')) AS term
+  FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)
+), postings AS (SELECT source, chunk_id, term, count(*) AS tf FROM tokens GROUP BY ALL)
+SELECT source AS project_id, count(*) AS n_postings, CAST(sum(tf) AS BIGINT) AS n_terms FROM postings GROUP BY source""",
+    "documents_by_ids": "SELECT doc_id AS document_id, source AS project_id, 'doc-' || doc_id AS filename FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark)",
+    "summary_citations": "SELECT c.conv_id AS summary_id, c.turn AS citation_id, c.conv_id * 10 + c.turn AS document_id, 'doc-' || d.doc_id AS filename FROM conversations c LEFT JOIN documents d ON d.doc_id = c.conv_id * 10 + c.turn",
     "filename_rules": r"""WITH bare AS (
   SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(url, ''), '^.*[/\\]', ''), '[\x00-\x1F\x7F\x{2028}\x{2029}]', '', 'g'), '[\\/:*?"<>|]', '_', 'g'), ' ') AS base FROM pages
 ), named AS (SELECT page_id, substring(CASE WHEN regexp_full_match(base, '\.*') THEN 'upload' ELSE base END, 1, 120) AS filename FROM bare)

@@ -197,12 +197,12 @@ def cloze_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cloze_quiz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = sentences.sentence_corpus(_project_sources(spark, sf_dir, quiz.QUIZ_CHUNKS), quiz.CANDIDATES)
+    corpus = checkpointed(sentences.sentence_corpus(_project_sources(spark, sf_dir, quiz.QUIZ_CHUNKS), quiz.CANDIDATES))
     return quiz.quiz(sentences.with_fallback(corpus, "request_id", T.is_testable(F.col("text"))), 10)
 
 
 def distractors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = quiz.cloze_candidates(B.line_sentences(spark, sf_dir))
+    pool = checkpointed(quiz.cloze_candidates(B.line_sentences(spark, sf_dir)))
     return quiz.distractors(quiz.round_robin(pool, 20), pool)
 
 
@@ -243,6 +243,43 @@ def cascade_delete_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
+def vector_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.vector_counts(_labelled_vectors(spark, sf_dir).withColumn("model", F.lit("stored")))
+
+
+def vector_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors per project after every READY chunk without one got its hashing vector; of those, how many are of unit length."""
+    chunks = B.chunks(spark, sf_dir)
+    stored = _stored_vectors(spark, sf_dir, chunks)
+    missing = catalog.chunks_without_vector(chunks, B.statuses(spark, sf_dir), stored, "stored")
+    empty = F.array().cast("array<float>")
+    held = stored.join(chunks.select("chunk_id", "project_id"), "chunk_id").select("chunk_id", "project_id", "model", F.lit(0).alias("dims"), empty.alias("vector"))
+    every = catalog.upserted_vectors(held, missing, vectors.hashed_features, "stored", vectors.DIMENSIONS)
+    unit = F.abs(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x) - 1) < 1e-5
+    return every.groupBy("project_id").agg(F.count("*").alias("n"), F.sum(unit.cast("long")).alias("n_embedded"))
+
+
+def postings_after_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings per project once the FAILED documents, their chunks and index rows are deleted."""
+    chunks = B.chunks(spark, sf_dir).select("project_id", "document_id", "chunk_id", "content")
+    docs = B.statuses(spark, sf_dir)
+    postings, _ = bm25.build_index(chunks)
+    left = catalog.cascade_delete({"documents": docs, "chunks": chunks, "postings": postings}, "documents", docs.filter("status = 'FAILED'").select("document_id"))
+    return left["postings"].groupBy("project_id").agg(F.count("*").alias("n_postings"), F.sum("tf").alias("n_terms"))
+
+
+def documents_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that share their id with a question."""
+    ids = B.questions(spark, sf_dir).select(F.col("query_id").alias("document_id"))
+    return catalog.by_ids(B.documents(spark, sf_dir), ids, "document_id").select("document_id", "project_id", "filename")
+
+
+def summary_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as citations of their conversation; turn t of conversation c cites document 10 c + t, which may be missing."""
+    turns = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("summary_id"), F.col("turn").alias("citation_id"), (F.col("conv_id") * 10 + F.col("turn")).alias("document_id"))
+    return catalog.summary_citations(turns, B.documents(spark, sf_dir)).select("summary_id", "citation_id", "document_id", "filename")
+
+
 def foreign_document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each question asks the project src1 for the document of 37 times its own id."""
     asked = B.questions(spark, sf_dir).select(F.col("query_id").alias("request_id"), (F.col("query_id") * 37).alias("document_id"), F.lit("src1").alias("project_id"))

@@ -11,7 +11,8 @@ docs_newest_first session_messages_nested latest_sessions upsert_latest bm25_top
 centroid_by_label cosine_topk hash_embed_sparse vector_codec_roundtrip rrf_fusion hybrid_topk content_filter_flags
 filter_with_fallback even_stride_sample sentence_corpus extractive_answers mmr_summary term_df term_salience
 cloze_candidates cloze_quiz distractors lexical_grade term_overlap timestamp_normalise json_list_roundtrip
-cascade_delete_counts foreign_document_ids filename_rules
+cascade_delete_counts foreign_document_ids filename_rules vector_counts vector_backfill postings_after_delete
+documents_by_ids summary_citations
 """.split()
 
 QUERIES = {name: getattr(Q, name) for name in _NAMES}

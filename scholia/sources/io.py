@@ -44,7 +44,7 @@ def rejection(path: Column, length: Column) -> Column:
 
 
 def read_uploads(spark: SparkSession, folder: str, streaming: bool = False) -> DataFrame:
-    """Files of <folder>/<project>/: (path, project_id, filename, content_type, size_bytes, content, rejected).
+    """Files of <folder>/<project>/: (path, project_id, filename, content_type, size_bytes, uploaded_at, content, rejected).
 
     Spark's file source gives no row for a file without bytes.
     """
@@ -52,7 +52,7 @@ def read_uploads(spark: SparkSession, folder: str, streaming: bool = False) -> D
     reader = spark.readStream if streaming else spark.read
     files = reader.format("binaryFile").schema(schema).option("pathGlobFilter", "*").option("recursiveFileLookup", "true").load(folder)
     name = filename_of(F.col("path"))
-    return files.select("path", F.regexp_extract("path", r"([^/]*)/[^/]*$", 1).alias("project_id"), safe_filename(name).alias("filename"), content_type_of(name).alias("content_type"), F.col("length").alias("size_bytes"), "content", rejection(F.col("path"), F.col("length")).alias("rejected"))
+    return files.select("path", F.regexp_extract("path", r"([^/]*)/[^/]*$", 1).alias("project_id"), safe_filename(name).alias("filename"), content_type_of(name).alias("content_type"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("uploaded_at"), "content", rejection(F.col("path"), F.col("length")).alias("rejected"))
 
 
 def extract_pages(files: DataFrame) -> DataFrame:

@@ -13,14 +13,17 @@ from scholia.sources.io import EXTRACTORS, extract_pages, read_uploads
 
 
 def prepare(files: DataFrame, target: int = TARGET, overlap: int = OVERLAP) -> tuple[DataFrame, DataFrame]:
-    """(documents, chunks) of a batch of uploads. A document without a chunk, or rejected, is FAILED with its reason."""
+    """(documents, chunks) of a batch of uploads. A document without a chunk, or rejected, is FAILED with its reason.
+
+    created_at is the time of the file, so a batch that runs again gives the same rows.
+    """
     kept = files.withColumn("document_id", F.sha2("path", 256))
     good = kept.filter(F.col("rejected").isNull() & F.col("content_type").isin(*EXTRACTORS))
     pages = extract_pages(good).withColumn("document_id", F.sha2("path", 256)).join(kept.select("document_id", "project_id"), "document_id")
     chunks = number_chunks(chunk_pages(pages.select("document_id", "project_id", "page", "text"), target, overlap))
     found = chunks.groupBy("document_id").agg(F.count("*").alias("n_chunks"), F.countDistinct("page").alias("page_count"))
     reason = F.coalesce("rejected", F.when(~F.col("content_type").isin(*EXTRACTORS), F.concat(F.lit("No text extractor available for "), "content_type")), F.when(F.col("n_chunks").isNull(), "No readable text"))
-    documents = kept.join(found, "document_id", "left").select("document_id", "project_id", "filename", "content_type", "size_bytes", "page_count", F.col("path").alias("stored_path"), F.when(reason.isNull(), "READY").otherwise("FAILED").alias("status"), safe_message(reason, F.lit(None).cast("string")).alias("error_message"), F.current_timestamp().alias("created_at"))
+    documents = kept.join(found, "document_id", "left").select("document_id", "project_id", "filename", "content_type", "size_bytes", "page_count", F.col("path").alias("stored_path"), F.when(reason.isNull(), "READY").otherwise("FAILED").alias("status"), safe_message(reason, F.lit(None).cast("string")).alias("error_message"), F.col("uploaded_at").alias("created_at"))
     return documents, chunks
 
 
