@@ -117,8 +117,10 @@ def asked_counts(blocks: DataFrame, orders: list[int], ranges: int) -> DataFrame
                 words, counts = unpacked_block(row["vocabulary"], row["places"], row["counts"])
                 for n in orders:
                     own, times = np.unique(ngrams(words, counts, n)[0], return_counts=True)
+                    if not len(own):
+                        continue
                     place = _range_of(own, ranges)
-                    cut = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(own) else np.zeros(0, np.int64)
+                    cut = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
                     ends = np.append(cut[1:], len(own))
                     yield pa.RecordBatch.from_arrays(
                         [

@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -149,6 +150,32 @@ def test_registered_scores_use_three_words(spark, scratch, tmp_path):
     assert got[3] == pytest.approx(math.log(4 / 14) + math.log(4 / 4) + math.log(0.4 * 2 / 5))
 
 
+def test_scores_equal_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.execute(f"SELECT doc_id, n_words, log_score, mean_log_score FROM ({lmscore.OP5_SQL}) ORDER BY doc_id").fetchall()
+    assert [tuple(r) for r in lmscore.op5_lmscore(spark, SF).orderBy("doc_id").collect()] == want
+
+
+def test_counts_and_ids_of_other_types(spark, scratch):
+    docs = spark.createDataFrame([("x", "a b a b"), ("y", "a b c"), (None, None)], "doc_id string, text string")
+    assert {r.doc_id: r.n_words for r in lmscore.backoff_scores(docs, scratch).collect()} == {"x": 4, "y": 3, None: 0}
+    assert sorted((r.n, r["count"]) for r in lmscore.count_table(docs, scratch, order=2).collect()) == [(1, 1), (1, 3), (1, 3), (2, 1), (2, 1), (2, 3)]
+
+
+def test_open_bands_are_sent_once(spark, scratch):
+    """Rows that meet the texts grow with the group, not with its square."""
+    made = []
+    for n in (60, 120):
+        rng = random.Random(n)
+        members = [(1, 0, bytes([k >> 8, k & 255]), bytes([k >> 8, k & 255]), [1] * neardup.BANDS, 50) for k in range(n)]
+        texts = spark.createDataFrame([(m[2], " ".join(rng.choices("abcdefgh", k=40))) for m in members], "t binary, text string")
+        rows = spark.createDataFrame(members, "band long, place int, t binary, component binary, bands array<long>, size int")
+        neardup.remaining_links(rows, texts, scratch).collect()
+        made.append(spark.read.parquet(f"{scratch.root}/plan").select((F.col("blocks") + F.col("top_blocks")).alias("b")).first().b * n)
+    assert made == [60, 120]
+
+
 def test_packed_numbers_come_back():
     for values in ([], [0], [1, 1, 2], [0, 5, 2**63, 2**64 - 1]):
         values = np.array(values, dtype=np.uint64)
