@@ -64,21 +64,30 @@ def stale_projects(statistics: DataFrame, version: str = ANALYZER_VERSION) -> Da
     return statistics.filter(~F.col("analyzer_version").eqNullSafe(version)).select("project_id")
 
 
+def rebuilt_index(postings: DataFrame, statistics: DataFrame, chunks: DataFrame, terms: Callable[..., DataFrame] = english_terms, version: str = ANALYZER_VERSION) -> tuple[DataFrame, DataFrame]:
+    """The index with the projects that another analyzer wrote indexed anew from their chunks; the rest stays."""
+    stale = checkpointed(stale_projects(statistics, version))
+    fresh, counts = build_index(chunks.join(stale, "project_id", "left_semi"), terms, version)
+    return postings.join(stale, "project_id", "left_anti").unionByName(fresh), statistics.join(stale, "project_id", "left_anti").unionByName(counts)
+
+
 def search(queries: DataFrame, postings: DataFrame, statistics: DataFrame, k: int, terms: Callable[..., DataFrame] = plain_terms) -> DataFrame:
     """(query_id, project_id, chunk_id, score, rank): the k best chunks per query and project.
 
-    queries: (query_id, content). Terms are joined by OR; a term that a query
-    repeats counts again. Query terms are broadcast when counted to be few.
+    queries: (query_id, content), and project_id where a query is for one project
+    only. Terms are joined by OR; a term that a query repeats counts again. Query
+    terms are broadcast when counted to be few.
     """
-    asked = terms(queries, "query_id").groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    own = [c for c in ("project_id",) if c in queries.columns]
+    asked = terms(queries, "query_id", *own).groupBy("query_id", *own, "term").agg(F.count("*").alias("qtf"))
     frequency = postings.groupBy("project_id", "term").agg(F.count("*").alias("df"))
     side = F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked
-    wanted = side.select("term").distinct()
-    weights = frequency.join(F.broadcast(wanted) if side is not asked else wanted, "term", "left_semi").join(statistics.select("project_id", "n", "avgdl"), "project_id")
+    wanted = side.select("term", *own).distinct()
+    weights = frequency.join(F.broadcast(wanted) if side is not asked else wanted, ["term", *own], "left_semi").join(statistics.select("project_id", "n", "avgdl"), "project_id")
     weights = weights.select("project_id", "term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     hits = postings.join(weights, ["project_id", "term"])
     gain = F.col("idf") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.select("project_id", "chunk_id", "term", gain.alias("gain")).join(side, "term").groupBy("query_id", "project_id", "chunk_id").agg(F.sum(F.col("gain") * F.col("qtf")).alias("score"))
+    scored = hits.select("project_id", "chunk_id", "term", gain.alias("gain")).join(side, ["term", *own]).groupBy("query_id", "project_id", "chunk_id").agg(F.sum(F.col("gain") * F.col("qtf")).alias("score"))
     # Ranking by the rounded score keeps equal sums equal, whatever the order of addition.
     scored = scored.withColumn("score", F.round("score", 9))
     order = Window.partitionBy("query_id", "project_id").orderBy(F.desc("score"), "chunk_id")

@@ -67,13 +67,18 @@ def upserted_vectors(stored: DataFrame, chunks: DataFrame, embed: Callable[...,
     embed gives sparse rows (chunk_id, dim, weight); a chunk without features
     has the zero vector. Backfill passes chunks_without_vector as chunks.
     """
-    parts = embed(chunks, "chunk_id", "content").groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("dim", F.col("weight").cast("float")))).alias("parts"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("parts", i), F.lit(0.0).cast("float")))
-    fresh = chunks.select("chunk_id", "project_id").join(parts, "chunk_id", "left").select("chunk_id", "project_id", F.lit(model).alias("model"), F.lit(dims).alias("dims"), dense.alias("vector"))
+    fresh = dense_vectors(chunks, embed, model, dims)
     kept = stored.join(fresh.select("chunk_id", "model"), ["chunk_id", "model"], "left_anti")
     return kept.select(*fresh.columns).unionByName(fresh)
 
 
+def dense_vectors(chunks: DataFrame, embed: Callable[..., DataFrame], model: str, dims: int) -> DataFrame:
+    """(chunk_id, project_id, model, dims, vector) of chunks."""
+    parts = embed(chunks, "chunk_id", "content").groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("dim", F.col("weight").cast("float")))).alias("parts"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("parts", i), F.lit(0.0).cast("float")))
+    return chunks.select("chunk_id", "project_id").join(parts, "chunk_id", "left").select("chunk_id", "project_id", F.lit(model).alias("model"), F.lit(dims).alias("dims"), dense.alias("vector"))
+
+
 def summary_citations(citations: DataFrame, documents: DataFrame) -> DataFrame:
     """Citations of summaries with the name of their document, null where that is gone."""
     return citations.join(documents.select("document_id", "filename"), "document_id", "left").orderBy("summary_id", "citation_id")
@@ -141,6 +146,12 @@ def cascade_delete(tables: dict[str, DataFrame], table: str, ids: DataFrame) ->
     return out
 
 
+def deleted_counts(chunks: DataFrame, ids: DataFrame) -> DataFrame:
+    """(document_id, n_deleted): how many chunks go with each document that is deleted."""
+    gone = ids.select("document_id").distinct().join(chunks.select("document_id", F.lit(1).alias("one")), "document_id", "left")
+    return gone.groupBy("document_id").agg(F.count("one").alias("n_deleted"))
+
+
 def missing_ids(requested: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return requested.select(key).distinct().join(found.select(key), key, "left_anti")
 
@@ -162,8 +173,12 @@ def write_list(items: Column) -> Column:
     return F.to_json(F.coalesce(items, F.array().cast("array<string>")))
 
 
+#: Questions of a quiz where none are asked for, and at most.
+USUAL_QUESTIONS, MOST_QUESTIONS = 5, 20
+
+
 def question_count(asked: Column) -> Column:
-    return F.when(asked.isNull() | (asked < 1), 5).otherwise(F.least(asked, F.lit(20)))
+    return F.when(asked.isNull() | (asked < 1), USUAL_QUESTIONS).otherwise(F.least(asked, F.lit(MOST_QUESTIONS)))
 
 
 def safe_message(text: Column, kind: Column) -> Column:

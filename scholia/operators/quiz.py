@@ -94,7 +94,7 @@ def blanked(text: Column, term: str = "term") -> Column:
 
 
 def quiz(sentences: DataFrame, count: int, types: tuple[str, ...] = TYPES) -> DataFrame:
-    """(request_id, ordinal, type, prompt, choices, answer, explanation, document_id) of each request's quiz."""
+    """(request_id, ordinal, type, prompt, choices, answer, explanation, document_id, position) of each request's quiz."""
     types = types or TYPES
     pool = checkpointed(cloze_candidates(sentences))
     picked = round_robin(pool, count)
@@ -106,4 +106,4 @@ def quiz(sentences: DataFrame, count: int, types: tuple[str, ...] = TYPES) -> Da
     every = F.concat(F.coalesce("distractors", F.array().cast("array<string>")), F.array("term"))
     shuffled = F.transform(F.array_sort(F.transform(every, lambda c: F.struct(F.xxhash64(F.col("text"), c).alias("h"), c.alias("c")))), lambda x: x["c"])
     choices = F.when(F.col("type") == "MULTIPLE_CHOICE", shuffled).otherwise(F.array().cast("array<string>"))
-    return rows.select("request_id", "ordinal", "type", prompt.alias("prompt"), choices.alias("choices"), F.col("term").alias("answer"), F.concat(F.lit("From the material: “"), F.col("text"), F.lit("”")).alias("explanation"), "document_id")
+    return rows.select("request_id", "ordinal", "type", prompt.alias("prompt"), choices.alias("choices"), F.col("term").alias("answer"), F.concat(F.lit("From the material: “"), F.col("text"), F.lit("”")).alias("explanation"), "document_id", "position")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholia.operators import bm25, vectors
+
 RRF_K = 60
 TOP_K = 8
 
@@ -27,6 +29,31 @@ def fuse(lists: list[DataFrame], k: int, group: list[str], key: str = "chunk_id"
     return fused.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("place")
 
 
+def hashed_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """(query_id, project_id, chunk_id, score, rank): the k chunks of greatest cosine of hashed vectors, per query and project."""
+    keys = ["dim", *[c for c in ("project_id",) if c in queries.columns]]
+    own = vectors.hashed_features(chunks, "chunk_id", "content").join(chunks.select("chunk_id", "project_id"), "chunk_id")
+    asked = vectors.hashed_features(queries, "query_id", "content").select("query_id", "dim", F.col("weight").alias("qweight"))
+    asked = asked.join(queries.select("query_id", "project_id"), "query_id") if "project_id" in keys else asked
+    side = F.broadcast(asked) if queries.count() <= vectors.BROADCAST_QUERIES else asked
+    scored = own.join(side, keys).groupBy("query_id", "project_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("qweight")), 6).alias("score"))
+    order = Window.partitionBy("query_id", "project_id").orderBy(F.desc("score"), "chunk_id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, embeddings: bool = True) -> DataFrame:
+    """(query_id, project_id, chunk_id, score, rank) of queries (query_id, content, and project_id where one is meant).
+
+    BM25 and hashed vectors over the same chunks, over-fetched and fused; BM25
+    alone where embeddings are off.
+    """
+    postings, statistics = bm25.build_index(chunks.select("project_id", "chunk_id", "content"), bm25.english_terms, bm25.ANALYZER_VERSION)
+    lists = [bm25.search(queries, postings, statistics, overfetch(k), bm25.english_terms)]
+    if embeddings:
+        lists.append(hashed_topk(queries, chunks, overfetch(k)))
+    return fuse(lists, k, ["query_id", "project_id"])
+
+
 def hydrate(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Hits with their chunks, by rank; hits whose chunk is gone are dropped."""
     return hits.join(chunks, ["project_id", "chunk_id"])

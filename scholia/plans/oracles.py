@@ -222,4 +222,24 @@ chosen AS (
 )
 SELECT source AS request_id, CAST(ordinal AS INT) AS ordinal, list(term ORDER BY n) AS distractors FROM chosen WHERE n <= 3 GROUP BY source, ordinal""",
     "foreign_document_ids": "SELECT item_id AS request_id, item_id * 37 AS document_id, CASE WHEN d.doc_id IS NULL THEN 'unknown' ELSE 'foreign' END AS problem FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id * 37 WHERE d.source IS DISTINCT FROM 'src1'",
+    "stale_rebuild": rf"""WITH {CHUNKS}, tokens AS (
+  SELECT source, chunk_id, unnest(regexp_extract_all(lower(substring(text, char_start + 1, char_end - char_start)), '[\p{{L}}\p{{N}}]+')) AS term FROM chunks
+), postings AS (SELECT source, chunk_id, term, count(*) AS tf FROM tokens GROUP BY ALL), totals AS (SELECT source, count(*) AS n FROM chunks GROUP BY source)
+SELECT source AS project_id, 'plain-v1' AS analyzer_version, n, count(*) AS n_postings, CAST(sum(tf) AS BIGINT) AS n_terms FROM postings JOIN totals USING (source) GROUP BY source, n""",
+    "message_citations": """WITH turns AS (SELECT conv_id, turn, conv_id || '-' || turn AS message_id FROM conversations),
+cited AS (SELECT message_id, 0 AS place, conv_id * 10 + turn AS doc_id FROM turns WHERE turn % 2 = 1 UNION ALL SELECT message_id, 1, conv_id FROM turns WHERE turn % 2 = 1),
+lists AS (SELECT message_id, count(*) AS n, string_agg(coalesce('doc-' || d.doc_id, '?'), ',' ORDER BY place) AS names FROM cited c LEFT JOIN documents d USING (doc_id) GROUP BY message_id)
+SELECT conv_id AS session_id, message_id, coalesce(n, 0) AS n_citations, coalesce(names, '') AS filenames FROM turns LEFT JOIN lists USING (message_id)""",
+    "chunks_of_documents": f"WITH {CHUNKS} SELECT doc_id AS document_id, count(*) AS chunks, max(ordinal) AS last FROM chunks WHERE source = 'src1' AND doc_id IN (SELECT item_id FROM benchmark) GROUP BY doc_id",
+    "deleted_chunk_counts": f"WITH {CHUNKS} SELECT d.doc_id AS document_id, count(c.doc_id) AS n_deleted FROM documents d JOIN labels l ON d.doc_id = l.doc_id AND l.quality = 0 LEFT JOIN chunks c ON c.doc_id = d.doc_id GROUP BY d.doc_id",
+    "joined_names": "SELECT conv_id, string_agg(role, ', ' ORDER BY first, role) AS names FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY conv_id, role) GROUP BY conv_id",
+    "request_defaults": """SELECT conv_id, turn, turn % 3 = 0 AS refused, CASE WHEN turn % 3 = 0 THEN 'New chat' ELSE role END AS title,
+  CAST(CASE WHEN turn * 7 - 1 < 1 THEN 5 ELSE least(turn * 7 - 1, 20) END AS BIGINT) AS questions,
+  CASE conv_id % 4 WHEN 0 THEN 'MULTIPLE_CHOICE' WHEN 1 THEN 'MULTIPLE_CHOICE' WHEN 2 THEN 'FLASHCARD' ELSE 'SHORT_ANSWER' END AS type,
+  role || CASE WHEN turn % 2 = 1 THEN ' — p. ' || turn ELSE '' END AS source FROM conversations""",
+    "upload_rules": r"""SELECT page_id, CASE WHEN coalesce(length(html), 0) = 0 THEN 'The file is empty' WHEN length(html) > 41943040 THEN 'The file is larger than 40 MB'
+  WHEN lower(regexp_extract(CASE WHEN page_id % 3 = 0 THEN url || '.TXT' ELSE url END, '\.([^./]+)$', 1)) NOT IN ('pdf', 'txt', 'md', 'markdown') THEN 'Only PDF, text and Markdown files are taken' END AS rejected FROM pages""",
+    "error_messages": "SELECT doc_id AS document_id, CAST(length(substring(coalesce(text, 'IOError'), 1, 500)) AS INT) AS n_chars, md5(substring(coalesce(text, 'IOError'), 1, 500)) AS message_md5 FROM documents",
+    "vectors_of_project": "SELECT vec_id AS chunk_id, CAST(len(embedding) AS INT) AS dims FROM embeddings WHERE label = 3 AND vec_id % 5 <> 0",
+    "graded_question": "SELECT turn AS question_id, true AS correct, 'match' AS verdict FROM conversations WHERE conv_id = 1 AND turn = 0",
 }

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from scholia.functions import text as T
 from scholia.operators import answers as A
-from scholia.operators import bm25, catalog, quiz, retrieval, sentences, vectors
+from scholia.operators import bm25, catalog, quiz, retrieval, sentences, services, vectors
 from scholia.plans import binding as B
 from scholia.session import checkpointed, read_table
+from scholia.sources import io
 
 
 def chunk_fixed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,23 +122,8 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.fuse([by_size, by_name], retrieval.TOP_K, ["project_id"])
 
 
-def _hybrid(spark: SparkSession, sf_dir: str, chunks: DataFrame) -> DataFrame:
-    """BM25 and hashing embeddings over the same chunks, over-fetched and fused."""
-    k = retrieval.overfetch(retrieval.TOP_K)
-    asked = B.questions(spark, sf_dir)
-    postings, statistics = bm25.build_index(chunks.select("project_id", "chunk_id", "content"), bm25.english_terms)
-    keyword = bm25.search(asked, postings, statistics, k, bm25.english_terms)
-    own = vectors.hashed_features(chunks, "chunk_id", "content")
-    query = vectors.hashed_features(asked, "query_id", "content").select("query_id", "dim", F.col("weight").alias("qweight"))
-    scored = own.join(F.broadcast(query) if asked.count() <= vectors.BROADCAST_QUERIES else query, "dim").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("qweight")), 6).alias("score"))
-    scored = scored.join(chunks.select("chunk_id", "project_id"), "chunk_id")
-    order = Window.partitionBy("query_id", "project_id").orderBy(F.desc("score"), "chunk_id")
-    semantic = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return retrieval.fuse([keyword, semantic], retrieval.TOP_K, ["query_id", "project_id"])
-
-
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hybrid(spark, sf_dir, B.chunks(spark, sf_dir))
+    return retrieval.hybrid_search(B.questions(spark, sf_dir), B.chunks(spark, sf_dir))
 
 
 def content_filter_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +159,7 @@ def sentence_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every question to every project, from the hybrid top 8 chunks."""
     chunks = B.chunks(spark, sf_dir)
-    hits = checkpointed(_hybrid(spark, sf_dir, chunks))
+    hits = checkpointed(retrieval.hybrid_search(B.questions(spark, sf_dir), chunks))
     request = F.concat_ws("|", F.col("query_id").cast("string"), "project_id")
     sources = retrieval.hydrate(hits, chunks).select(request.alias("request_id"), F.col("rank").alias("source_order"), "chunk_id", "document_id", "page", "content")
     asked = hits.select("query_id", "project_id").distinct().join(B.questions(spark, sf_dir), "query_id").select(request.alias("request_id"), F.col("content").alias("question"))
@@ -290,3 +276,89 @@ def filename_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page urls as upload names: sanitised, with the guessed content type."""
     rows = read_table(spark, sf_dir, "pages").select("page_id", T.safe_filename(F.col("url")).alias("filename"))
     return rows.select("page_id", "filename", T.content_type_of(F.col("filename")).alias("content_type"))
+
+
+def stale_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects whose name ends in an even digit hold an index of content terms; it is rebuilt of plain tokens."""
+    chunks = B.chunks(spark, sf_dir).select("project_id", "chunk_id", "content")
+    even = F.col("project_id").rlike("[02468]$")
+
+    def old_terms(rows: DataFrame, *keep: str) -> DataFrame:
+        return rows.select(*keep, F.explode(T.content_terms(F.col("content"))).alias("term"))
+
+    old, old_counts = bm25.build_index(chunks.filter(even), old_terms, "terms-v0")
+    new, new_counts = bm25.build_index(chunks.filter(~F.coalesce(even, F.lit(False))), bm25.plain_terms, "plain-v1")
+    postings, statistics = bm25.rebuilt_index(old.unionByName(new), old_counts.unionByName(new_counts), chunks, bm25.plain_terms, "plain-v1")
+    sizes = postings.groupBy("project_id").agg(F.count("*").alias("n_postings"), F.sum("tf").alias("n_terms"))
+    return statistics.join(sizes, "project_id").select("project_id", "analyzer_version", "n", "n_postings", "n_terms")
+
+
+def message_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as messages; turn t of conversation c cites the documents 10 c + t and c, either of which may be missing."""
+    turns = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("created_at"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("message_id"))
+    cited = F.array(F.col("session_id") * 10 + F.col("created_at"), F.col("session_id"))
+    rows = turns.filter("created_at % 2 = 1").select("message_id", F.posexplode(cited).alias("citation_order", "document_id")).withColumns({"page": F.lit(None).cast("int"), "quoted_text": F.lit("")})
+    nested = catalog.messages_with_citations(turns, rows, B.documents(spark, sf_dir))
+    names = F.transform("citations", lambda c: F.coalesce(c["filename"], F.lit("?")))
+    return nested.select("session_id", "message_id", F.size("citations").cast("long").alias("n_citations"), F.array_join(names, ",").alias("filenames"))
+
+
+def chunks_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document of the project src1 that shares its id with a question: its chunks, whatever its status."""
+    ids = B.questions(spark, sf_dir).select(F.col("query_id").alias("document_id"))
+    return catalog.chunks_of_documents(B.chunks(spark, sf_dir), "src1", ids).groupBy("document_id").agg(F.count("*").alias("chunks"), F.max("ordinal").cast("long").alias("last"))
+
+
+def deleted_chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = B.statuses(spark, sf_dir).filter("status = 'FAILED'").select("document_id")
+    return catalog.deleted_counts(B.chunks(spark, sf_dir), gone)
+
+
+def joined_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The roles of each conversation, in first-seen order."""
+    return A.joined_names(read_table(spark, sf_dir, "conversations").select("conv_id", "role", "turn"), "conv_id", "role", "turn")
+
+
+def request_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as requests: title, number of questions, question type and source title after defaults; some are blank or out of range."""
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.when(F.col("turn") % 3 == 0, F.lit(" \t ")).otherwise(F.concat(F.lit("  "), "role", F.lit(" "))).alias("name"))
+    kinds = F.array(*[F.lit(x) for x in (" MCQ", "Multiple-Choice", "flash card", "essay")])
+    return turns.select(
+        "conv_id", "turn", services.is_blank(F.col("name")).alias("refused"), services.session_title(F.col("name")).alias("title"),
+        catalog.question_count(F.col("turn") * 7 - 1).cast("long").alias("questions"),
+        T.question_type(F.element_at(kinds, (F.col("conv_id") % 4 + 1).cast("int"))).alias("type"),
+        services.source_title(F.col("role"), F.when(F.col("turn") % 2 == 1, F.col("turn"))).alias("source"),
+    )
+
+
+def upload_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as uploads of their url, of which every third gets an extension that is taken."""
+    rows = read_table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit(".TXT"))).otherwise(F.col("url")).alias("path"), F.coalesce(F.length("html"), F.lit(0)).alias("length"))
+    return rows.select("page_id", io.rejection(F.col("path"), F.col("length")).alias("rejected"))
+
+
+def error_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as error messages; null texts give the kind of error."""
+    rows = B.documents(spark, sf_dir).select("document_id", catalog.safe_message(F.col("text"), F.lit("IOError")).alias("message"))
+    return rows.select("document_id", F.length("message").alias("n_chars"), F.md5("message").alias("message_md5"))
+
+
+def vectors_of_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of the project 3, of which every fifth is another model's."""
+    rows = _labelled_vectors(spark, sf_dir).withColumn("model", F.when(F.col("chunk_id") % 5 == 0, "other").otherwise("stored"))
+    return catalog.vectors_of(rows, 3, "stored").select("chunk_id", F.size("vector").alias("dims"))
+
+
+def graded_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first turn of conversation 1 as a stored question, answered by itself."""
+    stored = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("quiz_id"), F.col("turn").alias("question_id"), F.col("text").alias("answer"))
+    return catalog.graded_question(stored, 1, 0, F.col("answer")).select("question_id", "correct", "verdict")
+
+
+def stored_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One summary of each project's READY documents as it is stored."""
+    docs = B.statuses(spark, sf_dir)
+    requests = docs.select("project_id").distinct().filter("project_id IS NOT NULL").select(F.col("project_id").alias("request_id"), "project_id", F.lit(None).cast("timestamp").alias("created_at"))
+    wanted = docs.filter("status = 'READY'").select(F.col("project_id").alias("request_id"), "document_id")
+    rows, cited, _ = services.summarise(requests, wanted, B.chunks(spark, sf_dir), docs)
+    return rows.join(cited.groupBy("summary_id").agg(F.count("*").alias("n_citations")), "summary_id", "left").select("project_id", "title", "content", "n_citations")

@@ -12,7 +12,8 @@ centroid_by_label cosine_topk hash_embed_sparse vector_codec_roundtrip rrf_fusio
 filter_with_fallback even_stride_sample sentence_corpus extractive_answers mmr_summary term_df term_salience
 cloze_candidates cloze_quiz distractors lexical_grade term_overlap timestamp_normalise json_list_roundtrip
 cascade_delete_counts foreign_document_ids filename_rules vector_counts vector_backfill postings_after_delete
-documents_by_ids summary_citations
+documents_by_ids summary_citations stale_rebuild message_citations chunks_of_documents deleted_chunk_counts
+joined_names request_defaults upload_rules error_messages vectors_of_project graded_question stored_summaries
 """.split()
 
 QUERIES = {name: getattr(Q, name) for name in _NAMES}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ MAX_BYTES = 40 * 1024 * 1024
 # Extensions that may be uploaded.
 EXTENSIONS = ("pdf", "txt", "md", "markdown")
 
-#: Extractors by content type: functions of files (path, content) that give (path, page, text).
+#: Extractors by content type: functions of files (path, content) that give (path, page, text), and error where a file can't be read.
 EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 
@@ -56,14 +57,30 @@ def read_uploads(spark: SparkSession, folder: str, streaming: bool = False) -> D
 
 
 def extract_pages(files: DataFrame) -> DataFrame:
-    """(path, page, text) of accepted files of all registered content types."""
+    """(path, page, text, error) of accepted files of all registered content types; error is null where all went well."""
     parts = [run(files.filter(F.col("content_type") == kind)) for kind, run in EXTRACTORS.items()]
+    parts = [x if "error" in x.columns else x.withColumn("error", F.lit(None).cast("string")) for x in parts]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
+def put_upload(spark: SparkSession, folder: str, project: str, name: str, content: bytes) -> str:
+    """Store one upload where read_uploads finds it, under a name of its own; ValueError where the rules refuse it."""
+    row = spark.range(1).select(safe_filename(F.lit(name)).alias("name"), rejection(F.lit(name), F.lit(len(content))).alias("why")).first()
+    if row["why"]:
+        raise ValueError(row["why"])
+    path = f"{folder}/{project}/{uuid.uuid4().hex}-{row['name']}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    try:
+        stream.write(bytearray(content))
+    finally:
+        stream.close()
+    return path
+
+
 def append(df: DataFrame, path: str) -> None:
     """Append to a stored table; tables with a project are laid out by it."""
     writer = df.write.mode("append")

@@ -6,44 +6,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from scholia.functions.text import tokenize
-from scholia.operators.catalog import safe_message
+from scholia.operators.bm25 import ANALYZER_VERSION, english_terms
+from scholia.operators.catalog import dense_vectors, safe_message
 from scholia.operators.chunking import OVERLAP, TARGET, chunk_pages, number_chunks
+from scholia.operators.vectors import DIMENSIONS, hashed_features
+from scholia.session import checkpointed
 from scholia.sources.io import EXTRACTORS, extract_pages, read_uploads
 
+#: The model that ingestion embeds with.
+MODEL = "hashing"
+
 
 def prepare(files: DataFrame, target: int = TARGET, overlap: int = OVERLAP) -> tuple[DataFrame, DataFrame]:
-    """(documents, chunks) of a batch of uploads. A document without a chunk, or rejected, is FAILED with its reason.
+    """(documents, chunks) of a batch of uploads. A document without a chunk, rejected, or with an error on any page, is FAILED with its reason.
+
+    What fails leaves no chunks, and none of the other documents of the batch with it.
 
     created_at is the time of the file, so a batch that runs again gives the same rows.
     """
     kept = files.withColumn("document_id", F.sha2("path", 256))
     good = kept.filter(F.col("rejected").isNull() & F.col("content_type").isin(*EXTRACTORS))
-    pages = extract_pages(good).withColumn("document_id", F.sha2("path", 256)).join(kept.select("document_id", "project_id"), "document_id")
-    chunks = number_chunks(chunk_pages(pages.select("document_id", "project_id", "page", "text"), target, overlap))
+    pages = checkpointed(extract_pages(good).withColumn("document_id", F.sha2("path", 256)).join(kept.select("document_id", "project_id"), "document_id"))
+    errors = pages.filter("error IS NOT NULL").groupBy("document_id").agg(F.min("error").alias("error"))
+    whole = pages.join(errors.select("document_id"), "document_id", "left_anti")
+    chunks = number_chunks(chunk_pages(whole.select("document_id", "project_id", "page", "text"), target, overlap))
     found = chunks.groupBy("document_id").agg(F.count("*").alias("n_chunks"), F.countDistinct("page").alias("page_count"))
-    reason = F.coalesce("rejected", F.when(~F.col("content_type").isin(*EXTRACTORS), F.concat(F.lit("No text extractor available for "), "content_type")), F.when(F.col("n_chunks").isNull(), "No readable text"))
-    documents = kept.join(found, "document_id", "left").select("document_id", "project_id", "filename", "content_type", "size_bytes", "page_count", F.col("path").alias("stored_path"), F.when(reason.isNull(), "READY").otherwise("FAILED").alias("status"), safe_message(reason, F.lit(None).cast("string")).alias("error_message"), F.col("uploaded_at").alias("created_at"))
+    reason = F.coalesce("rejected", F.when(~F.col("content_type").isin(*EXTRACTORS), F.concat(F.lit("No text extractor available for "), "content_type")), "error", F.when(F.col("n_chunks").isNull(), "No readable text"))
+    documents = kept.join(found, "document_id", "left").join(errors, "document_id", "left").select("document_id", "project_id", "filename", "content_type", "size_bytes", "page_count", F.col("path").alias("stored_path"), F.when(reason.isNull(), "READY").otherwise("FAILED").alias("status"), safe_message(reason, F.lit(None).cast("string")).alias("error_message"), F.col("uploaded_at").alias("created_at"))
     return documents, chunks
 
 
 def postings_of(chunks: DataFrame) -> DataFrame:
-    terms = chunks.select("project_id", "document_id", "chunk_id", F.explode(tokenize(F.col("content"))).alias("term"))
-    return terms.groupBy("project_id", "document_id", "chunk_id", "term").agg(F.count("*").alias("tf"))
+    """(project_id, document_id, chunk_id, term, tf, analyzer_version) as the search analyses text."""
+    terms = english_terms(chunks, "project_id", "document_id", "chunk_id")
+    return terms.groupBy("project_id", "document_id", "chunk_id", "term").agg(F.count("*").alias("tf")).withColumn("analyzer_version", F.lit(ANALYZER_VERSION))
 
 
 def publish(batch: DataFrame, batch_id: int, store: str, target: int, overlap: int) -> None:
     """Write a batch's tables under its id; writing a batch again replaces it, so a restart repeats nothing."""
     documents, chunks = prepare(batch, target, overlap)
-    for name, table in (("chunks", chunks), ("postings", postings_of(chunks)), ("documents", documents)):
+    chunks = checkpointed(chunks)
+    vectors = dense_vectors(chunks, hashed_features, MODEL, DIMENSIONS)
+    for name, table in (("chunks", chunks), ("chunk_embeddings", vectors), ("postings", postings_of(chunks)), ("documents", documents)):
         table.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "project_id").parquet(f"{store}/{name}")
 
 
 def ingest(spark: SparkSession, folder: str, store: str, checkpoint: str, target: int = TARGET, overlap: int = OVERLAP) -> StreamingQuery:
     """Take in what is new in a folder of <project>/<file>, then stop; progress is kept in checkpoint.
 
-    A document is READY only once its chunks and postings are written, since
-    its row is published last.
+    A document is READY only once its chunks, vectors and postings are written,
+    since its row is published last.
     """
     files = read_uploads(spark, folder, streaming=True)
     return files.writeStream.foreachBatch(lambda df, n: publish(df, n, store, target, overlap)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
