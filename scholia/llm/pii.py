@@ -8,6 +8,10 @@ its kind becomes a seed of the next round, until nothing new is found. The
 patterns that are confident then mark further tokens with digits or '@', and
 runs of digit groups, as identifiers of their kind.
 
+A fifth kind, secret, has no base pattern: long hexadecimal tokens are its
+seeds, which alone say nothing (a checksum is one), and are marked, as other
+tokens are, only where a pattern that they induced is confident.
+
 Defined results: a null text is empty; a null doc_id keeps its row; repeated
 rows each get the same spans; empty tables give empty results. Offsets are
 code points, ends exclusive. Other columns of the input are kept or ignored,
@@ -27,6 +31,8 @@ from pyspark.sql import functions as F
 from scholia.session import Scratch, as_row, checkpointed, read_table
 
 KINDS = ("email", "ip", "card", "phone")
+#: All kinds that a pattern can mark; the last one is found by context alone.
+MARKED = (*KINDS, "secret")
 LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
     "email": rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -42,6 +48,10 @@ CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 GROUPS = r"(?<![^\s(])[(+]?[0-9][0-9().+/-]*+(?:\x20[0-9(][0-9().+/-]*+)++"
 #: Matches before one over which its two words of context may reach; a word glued together of more counts from there.
 REACH = 3
+#: Signs around a secret that are none of it, and what it looks like between them: as a seed, and in general.
+AROUND = r"[^\p{L}0-9_+/-]*+"
+HEXADECIMAL = r"(?=[0-9A-Fa-f]*[A-Fa-f])(?=[0-9A-Fa-f]*[0-9])[0-9A-Fa-f]{32,}+"
+SECRET = r"(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9_+/.-]{16,}+"
 MIN_DIGITS = 6
 MIN_SUPPORT = 5
 MIN_CONFIDENCE = 0.9
@@ -179,6 +189,8 @@ def shaped(kind: str, found: Column) -> Column:
         return found.rlike(r"\A[^\s@]+@[^\s@]+\z")
     if kind == "ip":
         return found.rlike(r"\A[^\p{L}0-9]*[0-9A-Fa-f]+(?:[.:-][0-9A-Fa-f]*){3,7}[^\p{L}0-9]*\z")
+    if kind == "secret":
+        return found.rlike(rf"\A{AROUND}{SECRET}{AROUND}\z")
     return digits.between(*((13, 19) if kind == "card" else (MIN_DIGITS, 15))) & ~letters & ~found.contains("@")
 
 
@@ -195,16 +207,16 @@ def confident_patterns(edges: DataFrame) -> DataFrame:
     """
     graph = edges.filter("pattern IS NOT NULL").groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
     many = graph.groupBy("pattern").count().filter(F.col("count") >= MIN_SUPPORT).select("pattern")
-    graph = checkpointed(graph.join(many, "pattern").select("pattern", "instance", "kind", F.array(*[shaped(k, F.col("instance")) for k in KINDS]).alias("shapes")))
+    graph = checkpointed(graph.join(many, "pattern").select("pattern", "instance", "kind", F.array(*[shaped(k, F.col("instance")) for k in MARKED]).alias("shapes")))
     seeds = checkpointed(graph.filter("kind IS NOT NULL").groupBy("instance").agg(F.max("kind").alias("kind")))
     graph = graph.drop("kind")
     while True:
         known = graph.join(seeds, "instance", "left")
-        votes = [F.struct(F.lit(k).alias("kind"), F.count(F.when(F.col("kind") == k, 1)).alias("support"), F.count(F.when(F.coalesce(F.col("kind") != k, ~F.col("shapes")[i]), 1)).alias("against")) for i, k in enumerate(KINDS)]
+        votes = [F.struct(F.lit(k).alias("kind"), F.count(F.when(F.col("kind") == k, 1)).alias("support"), F.count(F.when(F.coalesce(F.col("kind") != k, ~F.col("shapes")[i]), 1)).alias("against")) for i, k in enumerate(MARKED)]
         scored = known.groupBy("pattern").agg(F.array(*votes).alias("votes")).select("pattern", F.explode("votes").alias("v")).select("pattern", "v.*")
         scored = scored.withColumn("confidence", F.col("support") / F.greatest(F.col("support") + F.col("against"), F.lit(1)))
         patterns = checkpointed(scored.filter((F.col("support") >= MIN_SUPPORT) & (F.col("confidence") >= MIN_CONFIDENCE)).select("pattern", "kind", "confidence"))
-        fits = F.element_at("shapes", F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int"))
+        fits = F.element_at("shapes", F.array_position(F.array(*[F.lit(k) for k in MARKED]), F.col("kind")).cast("int"))
         found = graph.join(patterns, "pattern").filter(fits).join(seeds, "instance", "left_anti").groupBy("instance").agg(F.max(F.struct("confidence", "kind")).alias("best")).select("instance", "best.kind")
         found = checkpointed(found)
         if found.isEmpty():
@@ -223,9 +235,15 @@ def find_pii(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
     per = scratch.write(per.select("pii_key", F.xxhash64("pii_text").alias("pii_hash"), "pii_base", "pii_more"), "per")
     seeds = per.select(F.explode("pii_base").alias("s")).select(context(F.col("s.left")).alias("pattern"), F.col("s.found").alias("instance"), F.col("s.kind").alias("kind"))
     free = per.select("pii_key", "pii_hash", F.explode("pii_more").alias("s")).select("pii_key", "pii_hash", context(F.col("s.left")).alias("pattern"), F.col("s.found").alias("instance"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
-    patterns = confident_patterns(seeds.unionByName(free.select("pattern", "instance", F.lit(None).cast("string").alias("kind"))))
-    fits = F.coalesce(*[F.when(F.col("kind") == k, shaped(k, F.col("instance"))) for k in KINDS])
-    marked = free.join(scratch.write(patterns, "patterns"), "pattern").filter(~F.col("instance").rlike(r"[\s@]") | fits).groupBy("pii_key", "pii_hash").agg(F.collect_set(F.struct("kind", "start", "end")).alias("spans"))
+    secret = F.when(F.col("instance").rlike(rf"\A{AROUND}{HEXADECIMAL}{AROUND}\z"), "secret")
+    patterns = confident_patterns(seeds.unionByName(free.select("pattern", "instance", secret.alias("kind"))))
+    fits = F.coalesce(*[F.when(F.col("kind") == k, shaped(k, F.col("instance"))) for k in MARKED])
+    marked = free.join(scratch.write(patterns, "patterns"), "pattern").filter((~F.col("instance").rlike(r"[\s@]") & (F.col("kind") != "secret")) | fits)
+    ahead = F.length(F.regexp_extract("instance", rf"\A{AROUND}", 0))
+    core = F.rtrim(F.regexp_extract("instance", rf"\A{AROUND}([A-Za-z0-9_+/.-]*+)", 1), F.lit("."))
+    begin = F.col("start") + F.when(F.col("kind") == "secret", ahead).otherwise(0)
+    marked = marked.withColumn("start", begin).withColumn("end", F.when(F.col("kind") == "secret", F.col("start") + F.length(core)).otherwise(F.col("end")))
+    marked = marked.groupBy("pii_key", "pii_hash").agg(F.collect_set(F.struct("kind", "start", "end")).alias("spans"))
     # of a token and the run of groups that it lies in, only the run counts
     outer = F.filter("spans", lambda s: ~F.exists("spans", lambda o: (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])))
     marked = marked.select("pii_key", "pii_hash", outer.alias("pii_extra"))
@@ -240,7 +258,7 @@ def _all_spans() -> Column:
     """Base and further spans by kind as listed, then start."""
     narrow = F.transform("pii_base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     both = F.concat(narrow, F.coalesce("pii_extra", F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")))
-    order = F.array(*[F.lit(k) for k in KINDS])
+    order = F.array(*[F.lit(k) for k in MARKED])
     ranked = F.transform(both, lambda s: F.struct(F.array_position(order, s["kind"]).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     return F.array_sort(ranked)
 
@@ -251,7 +269,7 @@ def _with_extra(per: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with every span of its texts replaced by [EMAIL], [IP], [CARD] or [PHONE].
+    """docs with every span of its texts replaced by [EMAIL], [IP], [CARD], [PHONE] or [SECRET].
 
     Overlapping spans become one placeholder, named after the first of them.
     A null text stays null. n_chars, where there is one, follows the new text.

@@ -191,6 +191,19 @@ def test_very_many_matches_in_one_text(spark, scratch):
     assert clear == {1: text.replace("a@b.org", "[EMAIL]"), 2: "é😀 [EMAIL], x"}
 
 
+def test_secrets_need_a_context(spark, scratch):
+    digest = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(30)]
+    rows = [(i, f'we set token = "{digest[i]}"### here') for i in range(20)] + [(100, "we set token = sk_live_90817263abcdef, too"), (101, "we set token = 20240607 today"), (102, "we set token = " + "=" * 60_000 + "ab12cd34ef56ab78." + " x")]
+    rows += [(200 + i, f"word{i} other{i} {digest[20 + i]} end") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    found = {r.pii_key: [(s.kind, texts[r.pii_key][s.start : s.end]) for s in r.pii_extra] for r in pii.find_pii(docs, scratch)[1].collect()}
+    # one misshapen date speaks against 20 seeds; digests without a shared context stay
+    assert found == {i: [("secret", digest[i])] for i in range(20)} | {100: [("secret", "sk_live_90817263abcdef")], 102: [("secret", "ab12cd34ef56ab78")]}
+    clear = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert clear[3] == 'we set token = "[SECRET]"### here' and clear[100] == "we set token = [SECRET], too" and clear[200] == texts[200]
+
+
 def test_context_reaches_over_white_space_of_any_length(spark, scratch):
     rows = [(i, f"my number is +1 (499) 555-{1000 + i} thanks") for i in range(20)] + [(100, "my number is" + " " * 90 + "0499-555-777 ok")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
