@@ -105,8 +105,13 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _holds(token: Column) -> Column:
+    """Whether a token is or begins with a placeholder."""
+    return F.substring(token, 1, 1).between(NAME, UNIT)
+
+
 def _is_slot(x: Column) -> Column:
-    return (x["a"] == x["c"]) & x["a"].rlike(f"^[{NAME}-{UNIT}]")
+    return (x["a"] == x["c"]) & _holds(x["a"])
 
 
 def _covered(starts: Column, w: Column) -> Column:
@@ -124,13 +129,23 @@ def _covered(starts: Column, w: Column) -> Column:
 def _stands(s: Column, w: Column, every: Column) -> Column:
     """Whether the agreeing window from s has the same values (code 2) throughout, or consistent slots and literals enough, by itself or in all that agrees."""
     verbatim = ~F.substring(w["codes"], s, w["need"]).contains("1")
+    n_slots = F.length(F.translate(F.substring(w["flags"], s, w["need"]), "0", ""))
+    literal = (n_slots <= (1 - LITERAL) * w["need"]) | (every["n_slots"] <= (1 - LITERAL) * every["n_matched"])
     slots = F.filter(F.slice(w["pairs"], s, w["need"]), _is_slot)
-    literal = (F.size(slots) <= (1 - LITERAL) * w["need"]) | (every["n_slots"] <= (1 - LITERAL) * every["n_matched"])
     distinct = F.array_distinct(F.transform(slots, lambda x: F.struct(x["b"].alias("item"), x["d"].alias("text"))))
     one_to_one = _let(distinct, lambda p: (F.size(F.array_distinct(F.transform(p, lambda x: x["item"]))) == F.size(p)) & (F.size(F.array_distinct(F.transform(p, lambda x: x["text"]))) == F.size(p)))
     return verbatim | (literal & one_to_one)
 
 
+def _possible(w: Column) -> Column:
+    """Whether a window of w can count: one has the same values throughout, or all that agrees holds the literals that one needs.
+
+    Without this, a text of very many numbers would have every window of every shift judged.
+    """
+    literals = F.length(F.translate(w["codes"], "0", "")) - F.length(F.translate(w["flags"], "0", ""))
+    return w["codes"].contains(F.repeat(F.lit("2"), w["need"])) | (literals >= LITERAL * w["need"])
+
+
 def _judged(w: Column) -> Column:
     """_covered of the windows of w that count; w has need, pairs, and per pair codes (0 differs, 1 agrees, 2 has the same value) and flags (1 slot)."""
     last = F.length(w["codes"]) - w["need"] + 1
@@ -151,10 +166,12 @@ def _compare(aligned: DataFrame, window: int) -> DataFrame:
     own, other = F.col("skip") + 1, F.col("skip") + F.col("shift") + 1
     zipped = F.arrays_zip(F.slice("item_tokens", own, F.col("count")).alias("a"), F.slice("item_slots", own, F.col("count")).alias("b"), F.slice("tokens", other, F.col("count")).alias("c"), F.slice("slots", other, F.col("count")).alias("d"))
     df = df.select("t", "item_id", "need", zipped.alias("pairs"))
-    codes = F.array_join(F.transform("pairs", lambda x: F.when((x["b"] == x["d"]) | (_value(x["b"]) == _value(x["d"])), "2").when(x["a"] == x["c"], "1").otherwise("0")), "")
+    # of equal placeholders only equal slots have equal values; without placeholders, so do only equal tokens
+    bare = lambda x: (_holds(x["a"]) | _holds(x["c"])) & (_value(x["b"]) == _value(x["d"]))
+    codes = F.array_join(F.transform("pairs", lambda x: F.when(x["b"] == x["d"], "2").when(x["a"] == x["c"], "1").when(bare(x), "2").otherwise("0")), "")
     flags = F.array_join(F.transform("pairs", lambda x: F.when(_is_slot(x), "1").otherwise("0")), "")
     df = df.select("t", "item_id", F.struct("need", "pairs", codes.alias("codes"), flags.alias("flags")).alias("w"))
-    return df.select("t", "item_id", _let(F.col("w"), _judged).alias("j")).select("t", "item_id", "j.n_windows", "j.n_matched", "j.n_slots")
+    return df.select("t", "item_id", _let(F.col("w"), lambda w: F.when(_possible(w), _judged(w))).alias("j")).select("t", "item_id", "j.n_windows", "j.n_matched", "j.n_slots")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, text: str = "text", item: str = "item_id", window: int = WINDOW, least: int = LEAST) -> DataFrame:

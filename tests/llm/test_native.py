@@ -160,6 +160,13 @@ def test_verbatim_passages_need_no_literals(spark, scratch):
     assert set(got) == {(0, 0)}
 
 
+def test_very_many_slots_in_one_text(spark, scratch):
+    item = " ".join(str(100 + i % 50) for i in range(200))
+    apart = " ".join(str(500 + i) for i in range(200))
+    got = hits_of(spark, scratch, [" ".join(str(100 + i % 50) for i in range(1500)), " ".join(str(900 + i) for i in range(1500))], [item, apart])
+    assert set(got) == {(0, 0)} and (got[0, 0].n_windows, got[0, 0].n_slots) == (188, 200)
+
+
 def test_case_and_wrapping_hide_no_passage(spark, scratch):
     long = "then Anna and Bruno met Clara near Dover while Edgar took Frida and Georg to see Hanna in Ipswich"
     short = "Copper kettles whistle loudly on cold mornings"
