@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scholia.llm import ann, clusters, decontam, lmscore, merkle, mixing, neardup, pii, quality, substrings, tokencount, toxicity
+from scholia.llm import ann, clusters, decontam, lmscore, maintext, merkle, mixing, neardup, pii, quality, substrings, tokencount, toxicity
 
-MODULES = (mixing, tokencount, substrings, toxicity, lmscore, ann, pii, neardup, quality, decontam, merkle, clusters)
+MODULES = (mixing, tokencount, substrings, toxicity, lmscore, ann, pii, neardup, quality, decontam, merkle, clusters, maintext)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
