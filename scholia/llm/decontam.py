@@ -1,11 +1,14 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
-Numbers, names and units become typed placeholders, so a question whose
-parameters were changed keeps its template. Tokens agree if their placeholders
-or their lower-case values are equal, so a name that only one side shows as one
-(at the start of a sentence, in upper or lower case) agrees with itself. Windows
-of a text at every probe's length are hash-joined to all windows of the items, in
-three forms: with placeholders, with names as values, with all as values. An
+Numbers (in digits or in words), names and units become typed placeholders, so a
+question whose parameters were changed keeps its template. A capitalised word
+that opens a sentence may be a name or not, so it agrees with a name, with
+another such word, and with itself as a plain word. Tokens agree if their
+placeholders or their lower-case values are equal, so a name that only one side
+shows as one (in upper or lower case) agrees with itself. Windows of a text are
+hash-joined to all windows of the items, in four forms: with placeholders, with
+opening words as values, with names as values too, with all as values. Each item
+has probes of half its needed run, and a text has probes of each such length. An
 alignment that this finds is compared token by token, and counts where WINDOW
 consecutive tokens agree and the slots are consistent: one item value stands for one text value
 throughout the window, and the other way round. Each window is judged alone, so
@@ -35,36 +38,68 @@ LITERAL = 0.5
 BROADCAST_PROBES = 200_000
 BROADCAST_ITEMS = 5_000
 
-NAME, NUMBER, UNIT, JOINT = "\ue001", "\ue002", "\ue003", "\ue004"
-UNITS = "kg|mg|g|km|cm|mm|m|mi|miles?|ft|feet|inch(?:es)?|lbs?|oz|ml|l|lit(?:er|re)s?|hours?|hrs?|h|minutes?|min|seconds?|sec|s|days?|weeks?|months?|years?|dollars?|euros?|cents?|usd|eur|mph|kmh|percent|degrees?"
+NAME, NUMBER, UNIT, JOINT, OPEN = "\ue001", "\ue002", "\ue003", "\ue004", "\ue005"
+# Units and numerals of the four languages of the tables; articles (un, ein) and words of several senses (once) are left out.
+UNITS = """
+kg mg g km cm mm m mi mile miles ft foot feet inch inches yd yard yards lb lbs pound pounds oz ounce ounces ton tons tonne tonnes ml l liter liters litre litres gallon gallons
+hour hours hr hrs h minute minutes min second seconds sec s day days week weeks month months year years
+dollar dollars euro euros cent cents usd eur mph kmh percent degree degrees meter meters metre metres kilometer kilometers gram grams kilo kilos
+stunde stunden minuten sekunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren gramm kilogramm tonnen pfund grad prozent meile meilen
+heure heures jour jours semaine semaines mois an ans année années mètre mètres kilomètre kilomètres gramme grammes livre livres degré degrés
+hora horas minutos segundos día días semana semanas mes meses año años metro metros kilómetro kilómetros gramo gramos litro litros libra libras tonelada toneladas grado grados dólar dólares peso pesos
+""".split()
+NUMERALS = """
+zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million
+null zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend
+deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante cent mille
+dos tres cuatro cinco siete ocho nueve diez doce trece catorce quince dieciséis veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento mil
+""".split()
 SIGNS = "%|€|\\$|£|°[CF]?"
 
 
+def _any_of(words: list[str]) -> str:
+    """A pattern of the words, by first letter, the longest first."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(set(words), key=lambda w: (-len(w), w)):
+        heads.setdefault(w[0], []).append(w[1:])
+    return "(?:" + "|".join(f"{head}(?:{'|'.join(rest)})" for head, rest in sorted(heads.items())) + ")"
+
+
+_UNIT = _any_of(UNITS)
+#: A numeral, or a German one of two parts.
+_NUMERAL = rf"(?:(?:(?:ein|zwei|drei|vier|fünf|sechs|sieben|acht|neun)und)?{_any_of(NUMERALS)})"
+_SPELT = rf"(?<![\p{{L}}\p{{N}}])({_NUMERAL})" + rf"(?:[ -](?:and |et |y )?({_NUMERAL}))?" * 3 + r"(?![\p{L}\p{N}])"
+
+
 def surface(text: Column) -> Column:
     """Lower-case tokens joined by single spaces; slots carry a placeholder before their value.
 
-    Texts without a digit skip the expressions for numbers and units.
+    Texts without a number skip the expressions for numbers and units.
     """
+    spelt = text.rlike(f"(?iu){_SPELT}")
     digits = text.rlike("[0-9]")  # of the text as it comes, so that nothing is evaluated twice
-    text = F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + UNIT + JOINT, "    ")
+    text = F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + UNIT + JOINT + OPEN, "     ")
     text = F.regexp_replace(text, r"[\s\p{Z}]{2,}+|[\s\p{Z}&&[^ ]]", " ")  # so that wrapping hides no name
     text = F.regexp_replace(text, r"(?=\p{Lu})(?<=[\p{L}\p{N},;] )(\p{Lu}\p{Ll}+)", NAME + "$1")
+    text = F.regexp_replace(text, rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}{NAME}])(\p{{Lu}}\p{{Ll}}+)(?!\p{{L}})", OPEN + "$1")
     number = rf"(?<![\p{{L}}0-9{JOINT}{NUMBER}])([0-9][0-9{JOINT}]*+)"
-    counted = F.regexp_replace(text, r"(?<=[0-9])[.,:/](?=[0-9])", JOINT)
-    counted = F.regexp_replace(counted, rf"(?i){number}[ ]?(?:({UNITS})(?![\p{{L}}0-9])|({SIGNS}))", f" {NUMBER}$1 {UNIT}$2$3 ")
+    worded = F.regexp_replace(text, f"(?iu)[{NAME}{OPEN}]?+{_SPELT}", f"{NUMBER}$1$2$3$4")
+    worded = F.regexp_replace(worded, rf"(?iu)({NUMBER}\p{{L}}++) ({_UNIT})(?![\p{{L}}0-9])", f"$1 {UNIT}$2 ")
+    counted = F.regexp_replace(F.when(spelt, worded).otherwise(text), r"(?<=[0-9])[.,:/](?=[0-9])", JOINT)
+    counted = F.regexp_replace(counted, rf"(?iu){number}[ ]?(?:({_UNIT})(?![\p{{L}}0-9])|({SIGNS}))", f" {NUMBER}$1 {UNIT}$2$3 ")
     counted = F.regexp_replace(counted, rf"{number}(?!\p{{L}})", f" {NUMBER}$1 ")
     counted = F.regexp_replace(counted, rf"(?<!{UNIT})[%€$£°]", " ")
-    counted = F.regexp_replace(F.lower(counted), rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}-{JOINT}%€$£°]+", " ")
-    plain = F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}]+", " ")
-    return F.trim(F.when(digits, counted).otherwise(plain))
+    counted = F.regexp_replace(F.lower(counted), rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}-{OPEN}%€$£°]+", " ")
+    plain = F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}{OPEN}]+", " ")
+    return F.trim(F.when(digits | spelt, counted).otherwise(plain))
 
 
 def template(surfaces: Column) -> Column:
-    return F.regexp_replace(surfaces, rf"([{NAME}-{UNIT}])\S*", "$1")
+    return F.regexp_replace(surfaces, rf"([{NAME}-{UNIT}{OPEN}])\S*", "$1")
 
 
 def _value(token: Column) -> Column:
-    return F.translate(token, NAME + NUMBER + UNIT, "")
+    return F.translate(token, NAME + NUMBER + UNIT + OPEN, "")
 
 
 def _tokens(df: DataFrame, text: Column, *keep: str) -> DataFrame:
@@ -76,28 +111,32 @@ def _tokens(df: DataFrame, text: Column, *keep: str) -> DataFrame:
     return df.select(*keep, F.split("surface", " ").alias("slots"), F.split(template(F.col("surface")), " ").alias("tokens"))
 
 
-def _probes(tokens: DataFrame, size: int, step: int, *keep: str) -> DataFrame:
-    """keep, place and probe: the hashes of `size` tokens from place, at every `step`-th place.
+def _probes(tokens: DataFrame, sizes: list[int], every_place: bool, *keep: str) -> DataFrame:
+    """keep, size, place and probe: the hashes of `size` tokens from place, at every place or at every size-th.
 
-    A window is hashed in each form that differs: as `tokens`, with names by
-    value, with all by value. explode_outer keeps the planner from evaluating
-    the hashes once more in a filter of its own.
+    A window is hashed in each form that differs: with placeholders, with
+    opening words by value, with names by value, with all by value. explode_outer
+    keeps the planner from evaluating the hashes once more in a filter of its own.
     """
-    places = F.sequence(F.lit(0), F.size("tokens") - size, F.lit(step))
 
-    def forms(i: Column) -> Column:
-        own = F.xxhash64(F.slice("tokens", i + 1, size))
+    def forms(size: int):
+        def of(i: Column) -> Column:
+            def others(window: Column) -> Column:
+                whole = F.transform(window, lambda x: F.when(x.startswith(NAME) | x.startswith(OPEN), NAME).when(x.startswith(NUMBER), NUMBER).when(x.startswith(UNIT), UNIT).otherwise(x))
+                opened = F.transform(window, lambda x: F.when(x.startswith(NAME), NAME).when(x.startswith(NUMBER), NUMBER).when(x.startswith(UNIT), UNIT).otherwise(_value(x)))
+                named = F.transform(window, lambda x: F.when(x.startswith(NUMBER), NUMBER).when(x.startswith(UNIT), UNIT).otherwise(_value(x)))
+                return F.array(F.xxhash64(whole), F.xxhash64(opened), F.xxhash64(named), F.xxhash64(F.transform(window, _value)))
 
-        def others(window: Column) -> Column:
-            named = F.transform(window, lambda x: F.when(x.startswith(NUMBER), NUMBER).when(x.startswith(UNIT), UNIT).otherwise(_value(x)))
-            return F.array(F.xxhash64(named), F.xxhash64(F.transform(window, _value)))
+            plain = F.slice("slots", i + 1, size) == F.slice("tokens", i + 1, size)
+            every = F.when(plain, F.array(F.xxhash64(F.slice("slots", i + 1, size)))).otherwise(F.array_distinct(_let(F.slice("slots", i + 1, size), others)))
+            return F.transform(every, lambda h: F.struct(F.lit(size).alias("size"), i.alias("place"), h.alias("probe")))
 
-        plain = F.slice("slots", i + 1, size) == F.slice("tokens", i + 1, size)
-        every = F.when(plain, F.array(own)).otherwise(F.array_distinct(F.concat(F.array(own), _let(F.slice("slots", i + 1, size), others))))
-        return F.transform(every, lambda h: F.struct(i.alias("place"), h.alias("probe")))
+        places = F.sequence(F.lit(0), F.size("tokens") - size, F.lit(1 if every_place else size))
+        return F.when(F.size("tokens") >= size, F.flatten(F.transform(places, of)))
 
-    hashed = F.when(F.size("tokens") >= size, F.flatten(F.transform(places, forms)))
-    return tokens.select(*keep, F.explode_outer(hashed).alias("p")).select(*keep, "p.place", "p.probe")
+    none = F.array().cast("array<struct<size:int,place:int,probe:bigint>>")
+    hashed = F.concat(*[F.coalesce(forms(size), none) for size in sizes]) if sizes else none
+    return tokens.select(*keep, F.explode_outer(hashed).alias("p")).select(*keep, "p.size", "p.place", "p.probe")
 
 
 def _let(value: Column, body) -> Column:
@@ -107,11 +146,17 @@ def _let(value: Column, body) -> Column:
 
 def _holds(token: Column) -> Column:
     """Whether a token is or begins with a placeholder."""
-    return F.substring(token, 1, 1).between(NAME, UNIT)
+    return F.substring(token, 1, 1).isin(NAME, NUMBER, UNIT, OPEN)
+
+
+def _alike(x: Column) -> Column:
+    """Whether both tokens have the same placeholder, or may both be names."""
+    return (x["a"] == x["c"]) | (x["a"].isin(NAME, OPEN) & x["c"].isin(NAME, OPEN))
 
 
 def _is_slot(x: Column) -> Column:
-    return (x["a"] == x["c"]) & _holds(x["a"])
+    """Both are values of one kind; the same opening word on both sides is a word like others."""
+    return _holds(x["a"]) & _alike(x) & ~((x["a"] == OPEN) & (x["c"] == OPEN) & (x["b"] == x["d"]))
 
 
 def _covered(starts: Column, w: Column) -> Column:
@@ -168,7 +213,7 @@ def _compare(aligned: DataFrame, window: int) -> DataFrame:
     df = df.select("t", "item_id", "need", zipped.alias("pairs"))
     # of equal placeholders only equal slots have equal values; without placeholders, so do only equal tokens
     bare = lambda x: (_holds(x["a"]) | _holds(x["c"])) & (_value(x["b"]) == _value(x["d"]))
-    codes = F.array_join(F.transform("pairs", lambda x: F.when(x["b"] == x["d"], "2").when(x["a"] == x["c"], "1").when(bare(x), "2").otherwise("0")), "")
+    codes = F.array_join(F.transform("pairs", lambda x: F.when((x["b"] == x["d"]) | bare(x), "2").when(_alike(x), "1").otherwise("0")), "")
     flags = F.array_join(F.transform("pairs", lambda x: F.when(_is_slot(x), "1").otherwise("0")), "")
     df = df.select("t", "item_id", F.struct("need", "pairs", codes.alias("codes"), flags.alias("flags")).alias("w"))
     return df.select("t", "item_id", _let(F.col("w"), lambda w: F.when(_possible(w), _judged(w))).alias("j")).select("t", "item_id", "j.n_windows", "j.n_matched", "j.n_slots")
@@ -180,16 +225,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, text:
     Tokens and slots are those under windows that count.
     """
     items = scratch.write(_tokens(benchmark, F.col(text), item).filter(F.size("tokens") >= least).select(F.col(item).alias("item_id"), F.col("tokens").alias("item_tokens"), F.col("slots").alias("item_slots")), "items")
-    facts = items.agg(F.count("*").alias("n"), F.min(F.size("item_tokens")).alias("shortest"), F.sum(F.size("item_tokens")).alias("places")).first()
-    size = (min(window, facts["shortest"] or window) + 1) // 2
-    item_probes = _probes(items.withColumnsRenamed({"item_tokens": "tokens", "item_slots": "slots"}), size, 1, "item_id").select("item_id", F.col("place").alias("item_place"), "probe").distinct()
+    # An item needs a run of WINDOW tokens, or all of a shorter one; half of that is its probe. At most (window + 1) // 2 lengths differ.
+    half = ((F.least(F.size("item_tokens"), F.lit(window)) + 1) / 2).cast("int")
+    facts = items.select(half.alias("half"), F.size("item_tokens").alias("places")).groupBy("half").agg(F.count("*").alias("n"), F.sum("places").alias("places")).collect()
+    sizes = sorted(r["half"] for r in facts)
+    listed = items.withColumnsRenamed({"item_tokens": "tokens", "item_slots": "slots"})
+    own = F.col("half") == F.col("size")
+    item_probes = _probes(listed.withColumn("half", ((F.least(F.size("tokens"), F.lit(window)) + 1) / 2).cast("int")), sizes, True, "item_id", "half").filter(own).select("item_id", "size", F.col("place").alias("item_place"), "probe").distinct()
     keyed = docs.select(text_key(F.col(text)).alias("t"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    probes = _probes(_tokens(keyed, F.col("text"), "t"), size, size, "t")
-    side = F.broadcast(item_probes) if 3 * (facts["places"] or 0) <= BROADCAST_PROBES else item_probes
-    found = probes.join(side, "probe").select("t", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
+    probes = _probes(_tokens(keyed, F.col("text"), "t"), sizes, False, "t")
+    side = F.broadcast(item_probes) if 4 * sum(r["places"] for r in facts) <= BROADCAST_PROBES else item_probes
+    found = probes.join(side, ["size", "probe"]).select("t", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
     found = scratch.write(found, "found")
     texts = _tokens(texts_of(keyed, found.select("t").distinct()), F.col("text"), "t")
-    by_item = F.broadcast(items) if facts["n"] <= BROADCAST_ITEMS else items
+    by_item = F.broadcast(items) if sum(r["n"] for r in facts) <= BROADCAST_ITEMS else items
     aligned = _compare(found.join(texts, "t").join(by_item, "item_id"), window)
     best = F.max(F.struct("n_windows", "n_matched", "n_slots")).alias("best")
     return scratch.write(aligned.groupBy("t", "item_id").agg(best).filter("best.n_windows > 0").select("t", "item_id", "best.*"), "hits")
