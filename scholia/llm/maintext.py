@@ -253,8 +253,10 @@ class MainText:
 
 def fit(pages: DataFrame, key: str = "page_id", html: str = "html", rows: int = FIT_PAGES) -> MainText:
     """A model from at most `rows` pages of at most LONG_PAGE characters, and pages laid out from their texts."""
-    own = pages.select(F.col(key).alias("id"), F.col(html).alias("html")).filter(F.length("html") <= LONG_PAGE)
-    sample = own.orderBy(F.xxhash64("id"), "id", "html").limit(rows).collect()
+    own = pages.select(F.col(key).alias("id"), F.col(html).alias("html")).filter((F.length("html") <= LONG_PAGE) & F.col("id").isNotNull())
+    # The ids are chosen first, so that no task sends pages that another one's ids supersede.
+    chosen = own.select("id").orderBy(F.xxhash64("id"), "id").limit(rows).distinct()
+    sample = own.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("html").alias("html")).orderBy("id").collect()
     return MainText().fit([r["html"] for r in sample])
 
 
