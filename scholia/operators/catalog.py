@@ -64,12 +64,26 @@ def vector_counts(vectors: DataFrame) -> DataFrame:
 def upserted_vectors(stored: DataFrame, chunks: DataFrame, embed: Callable[..., DataFrame], model: str, dims: int) -> DataFrame:
     """stored (chunk_id, project_id, model, dims, vector) with a vector of the model for each of chunks.
 
-    embed gives sparse rows (chunk_id, dim, weight); a chunk without features
-    has the zero vector. Backfill passes chunks_without_vector as chunks.
+    A chunk has one vector: a new one replaces that of any model. embed gives
+    sparse rows (chunk_id, dim, weight); a chunk without features has the zero
+    vector. Backfill passes chunks_without_vector or stale_chunks as chunks.
     """
     fresh = dense_vectors(chunks, embed, model, dims)
-    kept = stored.join(fresh.select("chunk_id", "model"), ["chunk_id", "model"], "left_anti")
-    return kept.select(*fresh.columns).unionByName(fresh)
+    kept = stored.join(fresh.select("chunk_id"), "chunk_id", "left_anti")
+    return kept.select(*fresh.columns).unionByName(fresh, allowMissingColumns=True)
+
+
+def content_hash(content: Column) -> Column:
+    return F.sha2(F.coalesce(content, F.lit("")).cast("binary"), 256)
+
+
+def stale_chunks(chunks: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
+    """Chunks without a vector of the model made from the text that they have now: new ones, changed ones, and those of another model.
+
+    vectors: (chunk_id, model, content_sha256).
+    """
+    held = vectors.filter(F.col("model") == model).select("chunk_id", F.col("content_sha256").alias("held_sha256"))
+    return chunks.withColumn("held_sha256", content_hash(F.col("content"))).join(held, ["chunk_id", "held_sha256"], "left_anti").select(*chunks.columns)
 
 
 def dense_vectors(chunks: DataFrame, embed: Callable[..., DataFrame], model: str, dims: int) -> DataFrame:
@@ -119,6 +133,8 @@ CASCADE = (
     ("chunks", "chunk_id", "documents", "document_id"),
     ("chunk_embeddings", "chunk_id", "chunks", "chunk_id"),
     ("postings", "chunk_id", "chunks", "chunk_id"),
+    ("features", "chunk_id", "chunks", "chunk_id"),
+    ("document_status", "document_id", "documents", "document_id"),
     ("chat_sessions", "session_id", "projects", "project_id"),
     ("chat_messages", "message_id", "chat_sessions", "session_id"),
     ("message_citations", "citation_id", "chat_messages", "message_id"),

@@ -29,18 +29,33 @@ def fuse(lists: list[DataFrame], k: int, group: list[str], key: str = "chunk_id"
     return fused.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("place")
 
 
-def hashed_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """(query_id, project_id, chunk_id, score, rank): the k chunks of greatest cosine of hashed vectors, per query and project."""
-    keys = ["dim", *[c for c in ("project_id",) if c in queries.columns]]
-    own = vectors.hashed_features(chunks, "chunk_id", "content").join(chunks.select("chunk_id", "project_id"), "chunk_id")
+def feature_rows(chunks: DataFrame, *keep: str) -> DataFrame:
+    """(keep, dim, weight): sparse hashed vectors of chunks (chunk_id, content and what is kept)."""
+    return vectors.hashed_features(chunks, "chunk_id", "content").join(chunks.select("chunk_id", *[c for c in keep if c != "chunk_id"]), "chunk_id").select(*keep, "dim", "weight")
+
+
+def query_features(queries: DataFrame) -> DataFrame:
+    """(query_id, dim, qweight, and project_id where queries have one)."""
     asked = vectors.hashed_features(queries, "query_id", "content").select("query_id", "dim", F.col("weight").alias("qweight"))
-    asked = asked.join(queries.select("query_id", "project_id"), "query_id") if "project_id" in keys else asked
-    side = F.broadcast(asked) if queries.count() <= vectors.BROADCAST_QUERIES else asked
-    scored = own.join(side, keys).groupBy("query_id", "project_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("qweight")), 6).alias("score"))
+    return asked.join(queries.select("query_id", "project_id"), "query_id") if "project_id" in queries.columns else asked
+
+
+def features_topk(asked: DataFrame, features: DataFrame, k: int, few: bool) -> DataFrame:
+    """(query_id, project_id, chunk_id, score, rank): the k chunks of greatest cosine; asked is query_features, features is feature_rows of (project_id, chunk_id).
+
+    few: whether the queries were counted to be at most vectors.BROADCAST_QUERIES.
+    """
+    keys = ["dim", *[c for c in ("project_id",) if c in asked.columns]]
+    scored = features.join(F.broadcast(asked) if few else asked, keys).groupBy("query_id", "project_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("qweight")), 6).alias("score"))
     order = Window.partitionBy("query_id", "project_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def hashed_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """(query_id, project_id, chunk_id, score, rank): the k chunks of greatest cosine of hashed vectors, per query and project."""
+    return features_topk(query_features(queries), feature_rows(chunks, "project_id", "chunk_id"), k, queries.count() <= vectors.BROADCAST_QUERIES)
+
+
 def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, embeddings: bool = True) -> DataFrame:
     """(query_id, project_id, chunk_id, score, rank) of queries (query_id, content, and project_id where one is meant).
 

@@ -44,15 +44,31 @@ def ask(asked: DataFrame, sessions: DataFrame, chunks: DataFrame, documents: Dat
     message, from the chunks of the session's project. Questions to unknown
     sessions give no rows, nor do blank ones.
     """
-    own = asked.join(sessions.select("session_id", "project_id"), "session_id").filter(~is_blank(F.col("question")))
-    own = checkpointed(own.select(F.col("request_id").cast("string").alias("request_id"), "session_id", "project_id", "question", "created_at"))
-    queries = own.select(F.col("request_id").alias("query_id"), "project_id", F.col("question").alias("content"))
-    hits = retrieval.hybrid_search(queries, chunks, k, embeddings)
+    own = asked_questions(asked, sessions)
+    hits = retrieval.hybrid_search(as_queries(own), chunks, k, embeddings)
     held = retrieval.hydrate(hits, chunks).join(documents.select("document_id"), "document_id", "left_semi")
-    sources = checkpointed(held.select(F.col("query_id").alias("request_id"), F.col("rank").alias("source_order"), "chunk_id", "document_id", "page", "content"))
+    return replies(own, checkpointed(as_sources(held)))
+
+
+def asked_questions(asked: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Questions that are not blank, of sessions that there are, with the session's project."""
+    own = asked.join(sessions.select("session_id", "project_id"), "session_id").filter(~is_blank(F.col("question")))
+    return checkpointed(own.select(F.col("request_id").cast("string").alias("request_id"), "session_id", "project_id", "question", "created_at"))
+
+
+def as_queries(own: DataFrame) -> DataFrame:
+    return own.select(F.col("request_id").alias("query_id"), "project_id", F.col("question").alias("content"))
+
+
+def as_sources(hits: DataFrame) -> DataFrame:
+    return hits.select(F.col("query_id").alias("request_id"), F.col("rank").alias("source_order"), "chunk_id", "document_id", "page", "content")
+
+
+def replies(own: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(messages, citations) of asked_questions, from the chunks that were found for them."""
     found = sources.select("request_id").distinct()
-    replies = A.answers(own.join(found, "request_id", "left_semi").select("request_id", "question"), sources)
-    told = own.join(replies, "request_id", "left").withColumn("message_id", _id("session_id", "request_id", F.lit("ASSISTANT")))
+    said = A.answers(own.join(found, "request_id", "left_semi").select("request_id", "question"), sources)
+    told = own.join(said, "request_id", "left").withColumn("message_id", _id("session_id", "request_id", F.lit("ASSISTANT")))
     told = checkpointed(told.select("message_id", "session_id", F.lit("ASSISTANT").alias("role"), F.coalesce("text", F.lit(NO_HITS)).alias("content"), (F.col("created_at") + F.expr("INTERVAL 1 MICROSECOND")).alias("created_at"), "citations"))
     users = own.select(_id("session_id", "request_id", F.lit("USER")).alias("message_id"), "session_id", F.lit("USER").alias("role"), F.col("question").alias("content"), "created_at")
     cited = told.select("message_id", F.explode("citations").alias("c")).select(_id("message_id", F.col("c.citation_order").cast("string")).alias("citation_id"), "message_id", "c.*")

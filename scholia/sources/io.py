@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 from scholia.functions.text import content_type_of, safe_filename
 
 MAX_BYTES = 40 * 1024 * 1024
+#: Files that a stream takes in as one batch, and so the paths that a driver holds at once.
+MOST_FILES = 10_000
+_FILES = "path string, modificationTime timestamp, length long, content binary"
 # Extensions that may be uploaded.
 EXTENSIONS = ("pdf", "txt", "md", "markdown")
 
@@ -47,13 +51,25 @@ def rejection(path: Column, length: Column) -> Column:
 def read_uploads(spark: SparkSession, folder: str, streaming: bool = False) -> DataFrame:
     """Files of <folder>/<project>/: (path, project_id, filename, content_type, size_bytes, uploaded_at, content, rejected).
 
-    Spark's file source gives no row for a file without bytes.
+    A stream has no content: what a batch of a stream selects or filters does
+    not reach its file source, which would open every file, large ones too. See
+    with_content. Spark's file source gives no row for a file without bytes.
     """
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    reader = spark.readStream if streaming else spark.read
-    files = reader.format("binaryFile").schema(schema).option("pathGlobFilter", "*").option("recursiveFileLookup", "true").load(folder)
+    reader = spark.readStream.option("maxFilesPerTrigger", MOST_FILES) if streaming else spark.read
+    files = reader.format("binaryFile").schema(_FILES).option("pathGlobFilter", "*").option("recursiveFileLookup", "true").load(folder)
     name = filename_of(F.col("path"))
-    return files.select("path", F.regexp_extract("path", r"([^/]*)/[^/]*$", 1).alias("project_id"), safe_filename(name).alias("filename"), content_type_of(name).alias("content_type"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("uploaded_at"), "content", rejection(F.col("path"), F.col("length")).alias("rejected"))
+    facts = files.select("path", F.regexp_extract("path", r"([^/]*)/[^/]*$", 1).alias("project_id"), safe_filename(name).alias("filename"), content_type_of(name).alias("content_type"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("uploaded_at"), "content", rejection(F.col("path"), F.col("length")).alias("rejected"))
+    return facts.drop("content") if streaming else facts
+
+
+def with_content(files: DataFrame) -> DataFrame:
+    """Rows of a streaming batch (at most MOST_FILES) with their content; longer files than MAX_BYTES are not opened."""
+    paths = [r["path"] for r in files.select("path").distinct().collect()]
+    if not paths:
+        return files.withColumn("content", F.lit(None).cast("binary"))
+    plain = [re.sub(r"([*?\[\]{}\\])", r"\\\1", p) for p in paths]  # names, not patterns
+    opened = files.sparkSession.read.format("binaryFile").schema(_FILES).load(plain).filter(F.col("length") <= MAX_BYTES)
+    return files.join(opened.select("path", "content"), "path")
 
 
 def extract_pages(files: DataFrame) -> DataFrame:
