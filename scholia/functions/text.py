@@ -76,7 +76,7 @@ def is_numbers_and_times(text: Column) -> Column:
     lower = F.lower(text)
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
     digits = F.length(F.regexp_replace(text, r"[^\p{Nd}]", ""))
-    clock = lower.rlike(rf"{EDGE}\d{{1,2}}[:.]\d{{2}}{EDGE}") | lower.rlike(rf"{EDGE}\d{{1,2}} ?(am|pm){EDGE}")
+    clock = lower.rlike(rf"{EDGE}\d{{1,2}}[:.]\d{{2}}{EDGE}") | lower.rlike(rf"{EDGE}\d{{1,2}}\s*(am|pm){EDGE}")
     return clock | ((letters > 0) & (digits > F.floor(letters / 2)))
 
 

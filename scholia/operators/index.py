@@ -23,8 +23,8 @@ from scholia.sources.store import Snapshot, slice_of
 MOST_NAMED = 2_000
 
 
-def index_rows(chunks: DataFrame, terms: Callable[..., DataFrame] = bm25.english_terms, version: str = bm25.ANALYZER_VERSION) -> dict[str, DataFrame]:
-    """The tables postings, features and index_statistics of chunks (project_id, document_id, chunk_id, content)."""
+def index_rows(chunks: DataFrame, terms: Callable[..., DataFrame] = bm25.english_terms, version: str = bm25.ANALYZER_VERSION, embeddings: bool = True) -> dict[str, DataFrame]:
+    """The tables postings, features (where embeddings are on) and index_statistics of chunks (project_id, document_id, chunk_id, content)."""
     keys = ("project_id", "document_id", "chunk_id")
     counted = checkpointed(terms(chunks, *keys).groupBy(*keys, "term").agg(F.count("*").alias("tf")))
     lengths = counted.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))
@@ -32,7 +32,7 @@ def index_rows(chunks: DataFrame, terms: Callable[..., DataFrame] = bm25.english
     sums = chunks.groupBy("project_id").agg(F.count("*").alias("n")).join(words, F.col("project_id").eqNullSafe(F.col("own")), "left")
     return {
         "postings": counted.join(lengths, "chunk_id").select(*keys, "term", "tf", "dl"),
-        "features": retrieval.feature_rows(chunks, *keys),
+        **({"features": retrieval.feature_rows(chunks, *keys)} if embeddings else {}),
         "index_statistics": sums.select("project_id", "n", F.coalesce("words", F.lit(0)).cast("long").alias("words"), F.lit(version).alias("analyzer_version")),
     }
 

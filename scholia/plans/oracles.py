@@ -51,7 +51,7 @@ _FLAGS = {
     "personal": rf"^\s*I\b|\bI ({L.PERSONAL_VERBS})\b",
     "course_code": rf"\b{L.COURSE_CODE}\b",
 }
-_NUMBERS = r"""(regexp_matches(lower(t), '\b\d{1,2}[:.]\d{2}\b') OR regexp_matches(lower(t), '\b\d{1,2} ?(am|pm)\b')
+_NUMBERS = r"""(regexp_matches(lower(t), '\b\d{1,2}[:.]\d{2}\b') OR regexp_matches(lower(t), '\b\d{1,2}\s*(am|pm)\b')
   OR (length(regexp_replace(t, '[^\p{L}]', '', 'g')) > 0 AND length(regexp_replace(t, '[^\p{Nd}]', '', 'g')) > length(regexp_replace(t, '[^\p{L}]', '', 'g')) // 2))"""
 FLAGGED = f"""
 flagged AS (
@@ -174,6 +174,27 @@ SELECT source AS request_id, term, count(*) AS df, any_value(total) AS total FRO
 SELECT doc_id AS document_id, CAST(len(list_intersect(terms, first_terms)) AS INT) AS shared FROM t JOIN f USING (source)""",
     "timestamp_normalise": "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'junk ' || CAST(event_id AS VARCHAR) ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.000000000Z' END AS stamp FROM events",
     "json_list_roundtrip": f"SELECT doc_id AS document_id, CAST(len({TERMS}) AS INT) AS n, md5(array_to_string(list_sort({TERMS}), ' ')) AS terms_md5 FROM documents",
+    "search_stored": rf"""WITH {CHUNKS}, kept AS (SELECT * FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)), tokens AS (
+  SELECT source, chunk_id, unnest(regexp_extract_all(lower(substring(text, char_start + 1, char_end - char_start)), '[\p{{L}}\p{{N}}]+')) AS term FROM kept
+), postings AS (SELECT source, chunk_id, term, count(*) AS tf FROM tokens GROUP BY ALL),
+lengths AS (SELECT source, chunk_id, sum(tf) AS dl FROM postings GROUP BY ALL),
+stats AS (SELECT c.source, count(*) AS n, sum(coalesce(dl, 0)) / count(*) AS avgdl FROM kept c LEFT JOIN lengths USING (chunk_id) GROUP BY c.source),
+df AS (SELECT source, term, count(*) AS df FROM postings GROUP BY ALL),
+asked AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({TOKENS}) AS term FROM benchmark) GROUP BY ALL),
+scored AS (
+  SELECT item_id, p.source, p.chunk_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) AS score
+  FROM postings p JOIN asked USING (term) JOIN df ON df.source = p.source AND df.term = p.term JOIN stats s ON s.source = p.source JOIN lengths l ON l.chunk_id = p.chunk_id
+  GROUP BY ALL
+), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id, source ORDER BY score DESC, chunk_id) AS INT) AS rank FROM scored)
+SELECT r.item_id AS query_id, r.source AS project_id, r.chunk_id, c.doc_id AS document_id, r.score, r.rank, md5(substring(c.text, char_start + 1, char_end - char_start)) AS content_md5 FROM ranked r JOIN kept c ON c.chunk_id = r.chunk_id WHERE rank <= 8""",
+    "stored_delete_counts": rf"""WITH {CHUNKS}, tokens AS (
+  SELECT doc_id, chunk_id, unnest(regexp_extract_all(lower(substring(text, char_start + 1, char_end - char_start)), '[\p{{L}}\p{{N}}]+')) AS term FROM chunks
+), postings AS (SELECT doc_id, chunk_id, term, count(*) AS tf FROM tokens GROUP BY ALL),
+every AS (
+  SELECT 'documents' AS table_name, doc_id, 1 AS n FROM documents UNION ALL SELECT 'chunks', doc_id, 1 FROM chunks
+  UNION ALL SELECT 'postings', doc_id, 1 FROM postings UNION ALL SELECT 'statistics_chunks', doc_id, 1 FROM chunks UNION ALL SELECT 'statistics_words', doc_id, tf FROM postings
+)
+SELECT table_name, CAST(sum(CASE WHEN l.quality = 0 THEN n ELSE 0 END) AS BIGINT) AS n_deleted, CAST(sum(CASE WHEN l.quality = 0 THEN 0 ELSE n END) AS BIGINT) AS n_left FROM every e LEFT JOIN labels l ON l.doc_id = e.doc_id GROUP BY table_name""",
     "cascade_delete_counts": f"""WITH {CHUNKS}, gone AS (SELECT d.doc_id FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality = 0)
 SELECT 'documents' AS table_name, count(*) AS n_left FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM gone)
 UNION ALL SELECT 'chunks', count(*) FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM gone)

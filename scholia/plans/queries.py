@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from scholia.functions import text as T
 from scholia.operators import answers as A
-from scholia.operators import bm25, catalog, quiz, retrieval, sentences, services, vectors
+from scholia.operators import bm25, catalog, index, quiz, retrieval, sentences, services, vectors
 from scholia.plans import binding as B
-from scholia.session import checkpointed, read_table
+from scholia.session import Scratch, checkpointed, read_table
 from scholia.sources import io
+from scholia.sources.store import Snapshot, Store
 
 
 def chunk_fixed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +89,46 @@ def bm25_topk_english(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bm25(spark, sf_dir, retrieval.TOP_K, bm25.english_terms)
 
 
+def _stored_corpus(spark: SparkSession, sf_dir: str, scratch: Scratch) -> tuple[Snapshot, Snapshot, dict[str, int]]:
+    """(before, after, deleted): documents and chunks stored in two batches, by even and odd id, then the FAILED documents deleted."""
+    store = Store(spark, f"{scratch.root}/store", slices=4)
+    docs = B.statuses(spark, sf_dir).select("document_id", "project_id", "filename", "status")
+    chunks = scratch.write(B.chunks(spark, sf_dir).select("project_id", "document_id", "chunk_id", "ordinal", "content"), "chunks")
+    now = store.snapshot()
+    for batch in (0, 1):
+        own = F.pmod("document_id", F.lit(2)) == batch
+        part = chunks.filter(own)
+        now = store.commit(now, {"chunks": part, **index.index_rows(part, bm25.plain_terms, "plain-v1", embeddings=False), "documents": docs.filter(own)}, marks={"batch": batch})
+    after, deleted, _ = store.delete(now, "documents", docs.filter("status = 'FAILED'").select("document_id"))
+    return now, after, deleted
+
+
+def search_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 top 8 per question and project from the stored index, after two batches and a delete, with the hits' chunks."""
+    scratch = Scratch(spark, "stored")
+    _, snapshot, _ = _stored_corpus(spark, sf_dir, scratch)
+    hits = checkpointed(index.search_stored(snapshot, B.questions(spark, sf_dir), retrieval.TOP_K, bm25.plain_terms, embeddings=False))
+    found = checkpointed(index.stored_hits(snapshot, hits).select("query_id", "project_id", "chunk_id", "document_id", "score", "rank", F.md5("content").alias("content_md5")))
+    scratch.drop()
+    return found
+
+
+def stored_delete_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the stored tables that the delete of all FAILED documents took and left, and what the index statistics lost and hold."""
+    scratch = Scratch(spark, "stored")
+    before, after, deleted = _stored_corpus(spark, sf_dir, scratch)
+    rows = [after.read(name).agg(F.lit(name).alias("table_name"), F.lit(deleted[name]).cast("long").alias("n_deleted"), F.count("*").alias("n_left")) for name in ("documents", "chunks", "postings")]
+    for column in ("n", "words"):
+        sums = [s.read("index_statistics").agg(F.sum(column).alias(x)) for s, x in ((before, "held"), (after, "n_left"))]
+        rows.append(sums[0].crossJoin(sums[1]).select(F.lit(f"statistics_{'chunks' if column == 'n' else column}").alias("table_name"), (F.col("held") - F.col("n_left")).alias("n_deleted"), "n_left"))
+    out = rows[0]
+    for row in rows[1:]:
+        out = out.unionByName(row)
+    out = checkpointed(out)
+    scratch.drop()
+    return out
+
+
 def _labelled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "embeddings").select(F.col("label").alias("project_id"), F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
 

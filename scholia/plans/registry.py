@@ -13,7 +13,7 @@ filter_with_fallback even_stride_sample sentence_corpus extractive_answers mmr_s
 cloze_candidates cloze_quiz distractors lexical_grade term_overlap timestamp_normalise json_list_roundtrip
 cascade_delete_counts foreign_document_ids filename_rules vector_counts vector_backfill postings_after_delete
 documents_by_ids summary_citations stale_rebuild message_citations chunks_of_documents deleted_chunk_counts
-joined_names request_defaults upload_rules error_messages vectors_of_project graded_question stored_summaries
+joined_names request_defaults upload_rules error_messages vectors_of_project graded_question stored_summaries search_stored stored_delete_counts
 """.split()
 
 QUERIES = {name: getattr(Q, name) for name in _NAMES}

@@ -67,3 +67,9 @@ def test_even_stride(spark):
         rows = even_stride(spark.range(n).withColumn("g", F.lit(1)), "g", 40, "id").orderBy("id").collect()
         want = list(range(n)) if n <= 40 else sorted({int(i * (n - 1) / 39 + 0.5) for i in range(40)})
         assert [r.id for r in rows] == want
+
+
+def test_clock_times_take_any_white_space(spark):
+    cases = {"Meet at 10  am in hall": True, "at 9\tpm": True, "at 9pm": True, "room 10:30": True, "at 9.15 sharp": True, "10 ample rooms": False, "he is 9 pmx": False, "alpha1am said nothing": False, "no times here": False}
+    rows = spark.createDataFrame([(t,) for t in cases], "text string")
+    assert {r.text: r.n for r in rows.select("text", T.is_numbers_and_times(F.col("text")).alias("n")).collect()} == cases
