@@ -2,11 +2,13 @@
 
 DataFrame functions only. The base patterns find e-mail addresses, IP
 addresses, payment cards and phone numbers. Those seeds induce lexical
-patterns (the two words before them in the text); a pattern-instance graph over all
+patterns: the two words before them, the two after them, and the one on either
+side, in lower case and without the signs at a word's edges. A pattern-instance graph over all
 documents is scored in rounds: what a confident pattern finds in the shape of
 its kind becomes a seed of the next round, until nothing new is found. The
 patterns that are confident then mark further tokens with digits or '@', and
-runs of digit groups, as identifiers of their kind.
+runs of digit groups, as identifiers of their kind, without the quotes and signs
+around them.
 
 A fifth kind, secret, has no base pattern: long hexadecimal tokens are its
 seeds, which alone say nothing (a checksum is one), and are marked, as other
@@ -52,6 +54,9 @@ REACH = 3
 AROUND = r"[^\p{L}0-9_+/-]*+"
 HEXADECIMAL = r"(?=[0-9A-Fa-f]*[A-Fa-f])(?=[0-9A-Fa-f]*[0-9])[0-9A-Fa-f]{32,}+"
 SECRET = r"(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9_+/.-]{16,}+"
+#: Signs before and behind any other token that are none of it.
+EDGES = r"[^\p{L}0-9_+/(<-]*+<?"
+EDGES_BEHIND = r"[^\p{L}0-9_+/)=-]+"
 MIN_DIGITS = 6
 MIN_SUPPORT = 5
 MIN_CONFIDENCE = 0.9
@@ -111,20 +116,26 @@ def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
 
 
 def last_words(text: Column) -> Column:
-    """The end of text from the third last white space on at the most, with single blanks."""
-    return let(F.split(text, r"\s+", -1), lambda w: F.array_join(F.slice(w, F.greatest(F.size(w) - 2, F.lit(1)), 3), " "))
+    """The end of text from the fifth last white space on at the most, with single blanks: two words, and signs that stand alone between them."""
+    return let(F.split(text, r"\s+", -1), lambda w: F.array_join(F.slice(w, F.greatest(F.size(w) - 4, F.lit(1)), 5), " "))
+
+
+def first_words(text: Column) -> Column:
+    """The start of text up to the fifth white space at the most, with single blanks."""
+    return F.array_join(F.slice(F.split(text, r"\s+", 6), 1, 5), " ")
 
 
 def _located(df: DataFrame, name: str, pattern: str, when: Column) -> DataFrame:
-    """Add column name: array of struct(start, end, found, left), leftmost non-overlapping.
+    """Add column name: array of struct(start, end, found, left, right), leftmost non-overlapping.
 
     The pieces between matches carry the offsets: a match starts where the
     pieces and matches before it end. left holds the last words before the
     match, with single blanks: those of its own piece and of the REACH matches
-    and pieces before it, so nothing is rescanned however long a text is.
+    and pieces before it, so nothing is rescanned however long a text is; right
+    holds the first words behind it in the same way.
     """
     none = F.array().cast("array<string>")
-    nothing = F.array().cast("array<struct<start:bigint,end:bigint,found:string,left:string>>")
+    nothing = F.array().cast("array<struct<start:bigint,end:bigint,found:string,left:string,right:string>>")
     df = df.withColumn("pii_found", F.when(when, F.regexp_extract_all("pii_text", F.lit(pattern), F.lit(0))).otherwise(none))
     df = df.withColumn("pii_pieces", F.when(F.size("pii_found") > 0, F.split("pii_text", pattern, -1)).otherwise(none))
 
@@ -132,14 +143,17 @@ def _located(df: DataFrame, name: str, pattern: str, when: Column) -> DataFrame:
         lengths = F.flatten(F.transform(parts, lambda x: F.array(F.length(x["pii_pieces"]).cast("bigint"), F.coalesce(F.length(x["pii_found"]), F.lit(0)).cast("bigint"))))
         tails = F.transform(parts, lambda x, i: last_words(F.concat(F.coalesce(F.get(parts, i - 1)["pii_found"], F.lit("")), x["pii_pieces"])))
 
+        heads = F.transform(parts, lambda x: first_words(F.concat(x["pii_pieces"], F.coalesce(x["pii_found"], F.lit("")))))
+
         def located(w: Column) -> Column:
             def one(x: Column, i: Column) -> Column:
+                right = F.concat(*[F.coalesce(F.get(w["heads"], i + k), F.lit("")) for k in range(1, REACH)])
                 left = F.concat(*[F.coalesce(F.get(w["tails"], i - k), F.lit("")) for k in range(REACH, -1, -1)])
-                return F.struct(F.get(w["edges"], 2 * i + 1).alias("start"), F.get(w["edges"], 2 * i + 2).alias("end"), x["pii_found"].alias("found"), left.alias("left"))
+                return F.struct(F.get(w["edges"], 2 * i + 1).alias("start"), F.get(w["edges"], 2 * i + 2).alias("end"), x["pii_found"].alias("found"), left.alias("left"), right.alias("right"))
 
             return F.filter(F.transform(parts, one), lambda s: s["found"].isNotNull())
 
-        return let(F.struct(running(lengths, lambda a, b: a + b).alias("edges"), tails.alias("tails")), located)
+        return let(F.struct(running(lengths, lambda a, b: a + b).alias("edges"), tails.alias("tails"), heads.alias("heads")), located)
 
     return df.withColumn(name, F.when(F.size("pii_found") > 0, let(F.arrays_zip("pii_pieces", "pii_found"), spans)).otherwise(nothing)).drop("pii_found", "pii_pieces")
 
@@ -147,7 +161,7 @@ def _located(df: DataFrame, name: str, pattern: str, when: Column) -> DataFrame:
 def _kept(kind: str, located: Column) -> Column:
     """The valid ones of located, with their kind."""
     good = F.filter(located, lambda x: valid(kind, x["found"]))
-    return F.transform(good, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["found"].alias("found"), x["left"].alias("left")))
+    return F.transform(good, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["found"].alias("found"), x["left"].alias("left"), x["right"].alias("right")))
 
 
 def _count(kind: str) -> Column:
@@ -155,7 +169,7 @@ def _count(kind: str) -> Column:
 
 
 def base_spans(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with pii_base: array of struct(kind, start, end, found, left), by kind then start."""
+    """df with pii_base: array of struct(kind, start, end, found, left, right), by kind then start."""
     df = df.withColumn("pii_text", F.coalesce(F.col(text), F.lit("")))
     df = df.withColumn("pii_digit", F.col("pii_text").rlike("[0-9]"))
     for kind in KINDS:
@@ -177,9 +191,20 @@ def candidates(df: DataFrame) -> DataFrame:
     return df.withColumn("pii_more", F.filter(F.concat("pii_tokens", "pii_groups"), free)).drop("pii_tokens", "pii_groups")
 
 
-def context(left: Column) -> Column:
-    """The two words on the left, in lower case; null where there are fewer."""
-    return let(F.filter(F.split(F.lower(left), r"\s+"), lambda w: w != ""), lambda w: F.when(F.size(w) >= 2, F.array_join(F.slice(w, -2, 2), " ")))
+def contexts(left: Column, right: Column) -> Column:
+    """The patterns of a place: the two words before it, the two after it, the one on either side; those that there are."""
+    def bare(text: Column) -> Column:
+        """The words without signs at their edges; signs that stand alone are words too."""
+        words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+        return F.transform(words, lambda w: F.coalesce(F.nullif(F.regexp_replace(w, r"\A[^\p{L}\p{N}]++|[^\p{L}\p{N}]+\z", ""), F.lit("")), w))
+
+    def named(w: Column) -> Column:
+        before = F.when(F.size(w["l"]) >= 2, F.concat(F.array_join(F.slice(w["l"], -2, 2), " "), F.lit(" _")))
+        after = F.when(F.size(w["r"]) >= 2, F.concat(F.lit("_ "), F.array_join(F.slice(w["r"], 1, 2), " ")))
+        around = F.concat(F.get(w["l"], F.size(w["l"]) - 1), F.lit(" _ "), F.get(w["r"], F.lit(0)))
+        return F.filter(F.array(before, after, around), lambda p: p.isNotNull())
+
+    return let(F.struct(bare(left).alias("l"), bare(right).alias("r")), named)
 
 
 def shaped(kind: str, found: Column) -> Column:
@@ -233,16 +258,23 @@ def find_pii(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
     """
     per = candidates(base_spans(docs.select(F.col(key).alias("pii_key"), F.col(text).alias("pii_body")), "pii_body"))
     per = scratch.write(per.select("pii_key", F.xxhash64("pii_text").alias("pii_hash"), "pii_base", "pii_more"), "per")
-    seeds = per.select(F.explode("pii_base").alias("s")).select(context(F.col("s.left")).alias("pattern"), F.col("s.found").alias("instance"), F.col("s.kind").alias("kind"))
-    free = per.select("pii_key", "pii_hash", F.explode("pii_more").alias("s")).select("pii_key", "pii_hash", context(F.col("s.left")).alias("pattern"), F.col("s.found").alias("instance"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    seeds = per.select(F.explode("pii_base").alias("s")).select(contexts(F.col("s.left"), F.col("s.right")).alias("patterns"), F.col("s.found").alias("instance"), F.col("s.kind").alias("kind"))
+    free = per.select("pii_key", "pii_hash", F.explode("pii_more").alias("s")).select("pii_key", "pii_hash", contexts(F.col("s.left"), F.col("s.right")).alias("patterns"), "s.found", "s.start")
+    # Quotes, brackets and stops around a token are none of it.
+    ahead = F.length(F.regexp_extract("found", rf"\A{EDGES}", 0))
+    free = free.select("pii_key", "pii_hash", "patterns", F.regexp_replace("found", rf"\A{EDGES}|{EDGES_BEHIND}\z", "").alias("instance"), (F.col("start") + ahead).alias("start"))
+    free = free.filter("instance <> ''").withColumn("end", F.col("start") + F.length("instance"))
     secret = F.when(F.col("instance").rlike(rf"\A{AROUND}{HEXADECIMAL}{AROUND}\z"), "secret")
-    patterns = confident_patterns(seeds.unionByName(free.select("pattern", "instance", secret.alias("kind"))))
+    edges = seeds.unionByName(free.select("patterns", "instance", secret.alias("kind"))).select(F.explode("patterns").alias("pattern"), "instance", "kind")
+    patterns = scratch.write(confident_patterns(edges), "patterns")
     fits = F.coalesce(*[F.when(F.col("kind") == k, shaped(k, F.col("instance"))) for k in MARKED])
-    marked = free.join(scratch.write(patterns, "patterns"), "pattern").filter((~F.col("instance").rlike(r"[\s@]") & (F.col("kind") != "secret")) | fits)
+    marked = free.select("pii_key", "pii_hash", F.explode("patterns").alias("pattern"), "instance", "start", "end").join(patterns, "pattern").filter((~F.col("instance").rlike(r"[\s@]") & (F.col("kind") != "secret")) | fits)
     ahead = F.length(F.regexp_extract("instance", rf"\A{AROUND}", 0))
     core = F.rtrim(F.regexp_extract("instance", rf"\A{AROUND}([A-Za-z0-9_+/.-]*+)", 1), F.lit("."))
     begin = F.col("start") + F.when(F.col("kind") == "secret", ahead).otherwise(0)
     marked = marked.withColumn("start", begin).withColumn("end", F.when(F.col("kind") == "secret", F.col("start") + F.length(core)).otherwise(F.col("end")))
+    # A place has one kind: that of its most confident pattern.
+    marked = marked.groupBy("pii_key", "pii_hash", "start", "end").agg(F.max(F.struct("confidence", "kind")).alias("best")).select("pii_key", "pii_hash", "start", "end", "best.kind")
     marked = marked.groupBy("pii_key", "pii_hash").agg(F.collect_set(F.struct("kind", "start", "end")).alias("spans"))
     # of a token and the run of groups that it lies in, only the run counts
     outer = F.filter("spans", lambda s: ~F.exists("spans", lambda o: (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])))

@@ -215,3 +215,24 @@ def test_context_reaches_over_white_space_of_any_length(spark, scratch):
     rows = [(i, f"my number is +1 (499) 555-{1000 + i} thanks") for i in range(20)] + [(100, "my number is" + " " * 90 + "0499-555-777 ok")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert [r.pii_key for r in pii.find_pii(docs, scratch)[1].collect()] == [100]
+
+
+def spans_of(spark, scratch, rows):
+    texts = dict(rows)
+    found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"), scratch)[1].collect()
+    return {r.pii_key: sorted((s.kind, texts[r.pii_key][s.start : s.end]) for s in r.pii_extra) for r in found}
+
+
+def test_context_words_stand_without_signs(spark, scratch):
+    rows = [(i, f"well my number is +1 (499) 555-{1000 + i} thanks") for i in range(60)]
+    rows += [(100, "my number is: 0499-555-777"), (101, 'My number is "0499-555-778", ok'), (102, "my (number) is <0499-555-779>."), (103, "a number here 0499-555-770")]
+    assert spans_of(spark, scratch, rows) == {100: [("phone", "0499-555-777")], 101: [("phone", "0499-555-778")], 102: [("phone", "0499-555-779")]}
+
+
+def test_words_behind_and_around_are_contexts(spark, scratch):
+    rows = [(i, f"{'abcdefgh'[i % 8]}{i} w{i} +1 (499) 555-{1000 + i} after six pm") for i in range(40)]
+    rows += [(100, "x1 x2 0499-555-777 after six"), (101, "x3 x4 0499-555-778 after seven")]
+    rows += [(200 + i, f"v{i} fax +1 (498) 555-{1000 + i} or v{i}") for i in range(40)] + [(300, "new fax 0499-555-779 or none"), (301, "new fax 0499-555-776 and none")]
+    assert spans_of(spark, scratch, rows) == {100: [("phone", "0499-555-777")], 300: [("phone", "0499-555-779")]}
+    clean = pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id IN (100, 300)").orderBy("doc_id").collect()
+    assert [r.text for r in clean] == ["x1 x2 [PHONE] after six", "new fax [PHONE] or none"]
