@@ -262,5 +262,7 @@ SELECT conv_id AS session_id, message_id, coalesce(n, 0) AS n_citations, coalesc
   WHEN lower(regexp_extract(CASE WHEN page_id % 3 = 0 THEN url || '.TXT' ELSE url END, '\.([^./]+)$', 1)) NOT IN ('pdf', 'txt', 'md', 'markdown') THEN 'Only PDF, text and Markdown files are taken' END AS rejected FROM pages""",
     "error_messages": "SELECT doc_id AS document_id, CAST(length(substring(coalesce(text, 'IOError'), 1, 500)) AS INT) AS n_chars, md5(substring(coalesce(text, 'IOError'), 1, 500)) AS message_md5 FROM documents",
     "vectors_of_project": "SELECT vec_id AS chunk_id, CAST(len(embedding) AS INT) AS dims FROM embeddings WHERE label = 3 AND vec_id % 5 <> 0",
-    "graded_question": "SELECT turn AS question_id, true AS correct, 'match' AS verdict FROM conversations WHERE conv_id = 1 AND turn = 0",
 }
+
+#: The second turn of conversation 1 graded against the first.
+ORACLES["graded_question"] = f"SELECT CAST(0 AS BIGINT) AS question_id, correct, verdict FROM ({ORACLES['lexical_grade']}) WHERE conv_id = 1 AND turn = 1"

@@ -391,9 +391,10 @@ def vectors_of_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graded_question(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first turn of conversation 1 as a stored question, answered by itself."""
-    stored = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("quiz_id"), F.col("turn").alias("question_id"), F.col("text").alias("answer"))
-    return catalog.graded_question(stored, 1, 0, F.col("answer")).select("question_id", "correct", "verdict")
+    """The first turn of conversation 1 as a stored question, answered by the turn after it."""
+    after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn", "text"))
+    stored = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("quiz_id"), F.col("turn").alias("question_id"), F.col("text").alias("answer"), after.alias("reply"))
+    return catalog.graded_question(stored, 1, 0, F.col("reply")).select("question_id", "correct", "verdict")
 
 
 def stored_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
