@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from scholia.functions import lexicons as L
 from scholia.functions.text import ends_like_sentence, identity_key, searchable_text, starts_like_sentence
+from scholia.operators.places import numbered
+from scholia.session import checkpointed
 
 MIN_WORDS = 4
 _SPACE = "[ \\t\\n\\x0b\\f\\r]"
@@ -101,18 +103,29 @@ def sentence_corpus(sources: DataFrame, limit: int, request: str = "request_id")
 
 
 def even_stride(rows: DataFrame, group: str, most: int, *order: str) -> DataFrame:
-    """At most `most` rows of each group, evenly spread over its order, ends included."""
-    w = Window.partitionBy(group)
-    numbered = rows.withColumn("stride_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("stride_n", F.count("*").over(w))
+    """At most `most` rows of each group, evenly spread over its order, ends included.
+
+    Places are given to the keys alone, without a window over a group, and the
+    picked keys (at most `most` a group) then fetch their rows. Of rows that
+    share a key as many stay as were picked.
+    """
+    keys = [group, *order]
+    placed = numbered(rows.select(*keys), group, *order)
     if most == 1:
-        return numbered.filter("stride_i = 0").drop("stride_i", "stride_n")
-    # Row r is picked if some i has floor(i * (n - 1) / (most - 1) + 0.5) = r; only i near r's share can.
-    near = F.floor(F.col("stride_i") * (most - 1) / (F.col("stride_n") - 1)).cast("int")
-    picked = F.lit(False)
-    for step in (0, 1):
-        i = near + step
-        picked = picked | ((i <= most - 1) & (F.floor(i * (F.col("stride_n") - 1) / (most - 1) + 0.5) == F.col("stride_i")))
-    return numbered.filter((F.col("stride_n") <= most) | picked).drop("stride_i", "stride_n")
+        chosen = placed.filter("place = 0")
+    else:
+        # Row r is picked if some i has floor(i * (n - 1) / (most - 1) + 0.5) = r; only i near r's share can.
+        near = F.floor(F.col("place") * (most - 1) / F.greatest(F.col("size") - 1, F.lit(1))).cast("int")
+        picked = F.lit(False)
+        for step in (0, 1):
+            i = near + step
+            picked = picked | ((i <= most - 1) & (F.floor(i * (F.col("size") - 1) / (most - 1) + 0.5) == F.col("place")))
+        chosen = placed.filter((F.col("size") <= most) | picked)
+    picks = checkpointed(chosen.groupBy(*keys).agg(F.count("*").alias("stride_n"))).withColumnsRenamed({k: f"stride_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"stride_{k}")) for k in keys]
+    found = rows.join(picks, same)
+    nth = Window.partitionBy(*keys).orderBy(*order)
+    return found.withColumn("stride_i", F.row_number().over(nth)).filter("stride_i <= stride_n").select(*rows.columns)
 
 
 def with_fallback(rows: DataFrame, request: str, keep: Column) -> DataFrame:

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from scholia.functions import text as T
 from scholia.functions.stemmer import stem
+from scholia.operators.places import numbered
 from scholia.operators.sentences import even_stride, sentence_corpus, split_sentences
 
 
@@ -69,6 +70,23 @@ def test_even_stride(spark):
         assert [r.id for r in rows] == want
 
 
+def test_even_stride_of_many_groups_nulls_and_ties(spark):
+    rows = [(g, i // 2, i) for g, n in (("a", 7), ("b", 50), (None, 30), ("c", 1)) for i in range(n)]
+    table = spark.createDataFrame(rows, "g string, k long, id long").repartition(4)
+    got = even_stride(table, "g", 9, "k").collect()
+    for g, n in (("a", 7), ("b", 50), (None, 30), ("c", 1)):
+        picks = range(n) if n <= 9 else [int(i * (n - 1) / 8 + 0.5) for i in range(9)]
+        assert sorted(r.k for r in got if r.g == g) == sorted(p // 2 for p in picks)
+    assert len({(r.g, r.id) for r in got}) == len(got) and got[0].asDict().keys() == {"g", "k", "id"}
+
+
+def test_places_split_one_key(spark):
+    same = spark.createDataFrame([("g", 1)] * 500 + [(None, 2)] * 3, "g string, k long").repartition(4)
+    got = numbered(same, "g", "k")
+    assert sorted(r.place for r in got.filter("g = 'g'").collect()) == list(range(500)) and {r.size for r in got.filter("g IS NULL").collect()} == {3}
+    assert numbered(same.limit(0), "g", "k").count() == 0
+
+
 def test_clock_times_take_any_white_space(spark):
     cases = {"Meet at 10  am in hall": True, "at 9\tpm": True, "at 9pm": True, "room 10:30": True, "at 9.15 sharp": True, "10 ample rooms": False, "he is 9 pmx": False, "alpha1am said nothing": False, "no times here": False}
     rows = spark.createDataFrame([(t,) for t in cases], "text string")
