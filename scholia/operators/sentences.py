@@ -19,7 +19,6 @@ _SPACE = "[ \\t\\n\\x0b\\f\\r]"
 _LINES = regex.compile("\r\n|[\n\x0b\x0c\r\x85\u2028\u2029]")
 _BULLET = regex.compile(rf"^{_SPACE}*[•▪●◦‣·\-–—*o]{_SPACE}+")
 _FURNITURE = regex.compile(rf"^{_SPACE}*([0-9]{{1,4}}|[!-/:-@\[-`{{-~ \t\n\x0b\f\r]+){_SPACE}*$")
-_BOUNDARY = regex.compile(rf"(?<=[.!?]){_SPACE}+(?=[\"'(\[A-Z0-9])")
 _TOKEN = regex.compile(r"[\p{L}\p{N}]+")
 _ASCII_TRIM = "".join(map(chr, range(33)))
 
@@ -31,37 +30,28 @@ def matching_words(text: str) -> list[str]:
 _STOP = frozenset(L.STOPWORDS)
 
 
-def _lines(text: str) -> list[str]:
-    """Lines that carry meaning: bullets off, furniture out, wrapped lines joined again."""
-    out: list[str] = []
-    for raw in _LINES.split(text):
-        raw = raw.strip(_ASCII_TRIM)
-        line = _BULLET.sub("", raw, count=1).strip(_ASCII_TRIM)
-        if not line or _FURNITURE.match(line):
-            continue
-        goes_on = out and not _BULLET.match(raw) and out[-1][-1] not in ".!?:;" and (line[0].islower() or line[0] in ")]")
-        if goes_on:
-            out[-1] += " " + line
-        else:
-            out.append(line)
-    return out
+#: A bulleted line, in the text between lines and sentences.
+_ITEM = "\0"
+#: A line break within a sentence: nothing ended before it, and what follows starts in lower case or closes a bracket.
+_WRAPPED = regex.compile(r"(?<![.!?:;])\n(?=[\p{Lowercase})\]])")
+#: The start of a word: of a line, after a blank, or after the gap behind a sentence.
+_WORD_START = rf"(?:^|[\n{_ITEM} ]|[.!?]{_SPACE}+(?=[A-Z]))"
+_SHORT = "|".join(regex.escape(w) for w in sorted(L.ABBREVIATIONS))
+#: Where a sentence ends: a line break, or a gap after a stop that closes neither an abbreviation nor an initial.
+_GAP = regex.compile(rf"\n{_ITEM}?|(?<=[.!?])(?<!{_WORD_START}(?:(?i:{_SHORT})|\p{{L}}\.)){_SPACE}+(?=[\"'(\[A-Z0-9])")
+
+
+def _running_text(text: str) -> str:
+    """Lines without bullets and page furniture, wrapped ones joined; what was a bullet starts with _ITEM."""
+    raw = (line.strip(_ASCII_TRIM).replace(_ITEM, "") for line in _LINES.split(text))
+    bare = ((bool(_BULLET.match(line)), _BULLET.sub("", line, count=1).strip(_ASCII_TRIM)) for line in raw)
+    return _WRAPPED.sub(" ", "\n".join(_ITEM * item + line for item, line in bare if line and not _FURNITURE.match(line)))
 
 
 def split_sentences(text: str | None) -> list[str]:
     """Sentences of MIN_WORDS words or more, in order."""
-    out = []
-    for line in _lines(text or ""):
-        start = 0
-        pieces = []
-        for gap in _BOUNDARY.finditer(line):
-            last = line[start : gap.start()].rpartition(" ")[2].lower()
-            if last in L.ABBREVIATIONS or len(last) == 2 and last[0].isalpha() and last[1] == ".":
-                continue
-            pieces.append(line[start : gap.start()])
-            start = gap.end()
-        pieces.append(line[start:])
-        out += [p for p in (x.strip(_ASCII_TRIM) for x in pieces) if len(regex.findall(r"[^ \t\n\x0b\f\r]+", p)) >= MIN_WORDS]
-    return out
+    pieces = (p.strip(_ASCII_TRIM) for p in _GAP.split(_running_text(text or "")))
+    return [p for p in pieces if len(regex.findall(r"[^ \t\n\x0b\f\r]+", p)) >= MIN_WORDS]
 
 
 def chunk_sentences(chunks: DataFrame, *keep: str) -> DataFrame:
