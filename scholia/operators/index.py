@@ -31,7 +31,7 @@ def index_rows(chunks: DataFrame, terms: Callable[..., DataFrame] = bm25.english
     words = counted.groupBy("project_id").agg(F.sum("tf").alias("words")).withColumnRenamed("project_id", "own")
     sums = chunks.groupBy("project_id").agg(F.count("*").alias("n")).join(words, F.col("project_id").eqNullSafe(F.col("own")), "left")
     return {
-        "postings": counted.join(lengths, "chunk_id").select(*keys, "term", "tf", "dl"),
+        "postings": counted.join(lengths, "chunk_id").select(*keys, "term", "tf", "dl", F.lit(version).alias("analyzer_version")),
         **({"features": retrieval.feature_rows(chunks, *keys)} if embeddings else {}),
         "index_statistics": sums.select("project_id", "n", F.coalesce("words", F.lit(0)).cast("long").alias("words"), F.lit(version).alias("analyzer_version")),
     }
