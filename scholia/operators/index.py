@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from scholia.operators import bm25, retrieval, services
 from scholia.operators.vectors import BROADCAST_QUERIES
-from scholia.session import checkpointed
+from scholia.session import checkpointed, stored
 from scholia.sources.store import Snapshot, slice_of
 
 #: So many terms, dimensions or projects of a batch of questions are named in its filters; beyond that the joins alone pick.
@@ -26,12 +26,10 @@ MOST_NAMED = 2_000
 def index_rows(chunks: DataFrame, terms: Callable[..., DataFrame] = bm25.english_terms, version: str = bm25.ANALYZER_VERSION, embeddings: bool = True) -> dict[str, DataFrame]:
     """The tables postings, features (where embeddings are on) and index_statistics of chunks (project_id, document_id, chunk_id, content)."""
     keys = ("project_id", "document_id", "chunk_id")
-    counted = checkpointed(terms(chunks, *keys).groupBy(*keys, "term").agg(F.count("*").alias("tf")))
-    lengths = counted.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))
-    words = counted.groupBy("project_id").agg(F.sum("tf").alias("words")).withColumnRenamed("project_id", "own")
-    sums = chunks.groupBy("project_id").agg(F.count("*").alias("n")).join(words, F.col("project_id").eqNullSafe(F.col("own")), "left")
+    counted = stored(bm25.counted_terms(terms(chunks, *keys), *keys))
+    sums = counted.groupBy("project_id").agg(F.count("*").alias("n"), F.sum("dl").alias("words"))
     return {
-        "postings": counted.join(lengths, "chunk_id").select(*keys, "term", "tf", "dl", F.lit(version).alias("analyzer_version")),
+        "postings": bm25.postings_of(counted, *keys).select(*keys, "term", "tf", "dl", F.lit(version).alias("analyzer_version")),
         **({"features": retrieval.feature_rows(chunks, *keys)} if embeddings else {}),
         "index_statistics": sums.select("project_id", "n", F.coalesce("words", F.lit(0)).cast("long").alias("words"), F.lit(version).alias("analyzer_version")),
     }
@@ -65,8 +63,8 @@ def search_stored(snapshot: Snapshot, queries: DataFrame, k: int = retrieval.TOP
     """
     queries = checkpointed(queries)
     projects = _named(queries, "project_id") if "project_id" in queries.columns else None
-    asked = checkpointed(terms(queries, "query_id"))
-    postings = checkpointed(_keyed(snapshot, "postings", asked, "term", projects))
+    asked = checkpointed(terms(queries, "query_id").select(F.explode("terms").alias("term")).distinct())
+    postings = stored(_keyed(snapshot, "postings", asked, "term", projects))
     deep = retrieval.overfetch(k) if embeddings else k
     lists = [bm25.search(queries, postings, statistics(snapshot, projects), deep, terms)]
     homes = postings.select("project_id", "chunk_id", "document_id")
