@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions.text import feedback, grade, normalised_timestamp
+from scholia.operators.vectors import LISTS, dense_form
 
 
 def newest_first(rows: DataFrame, project: str | None = None) -> DataFrame:
@@ -69,7 +70,7 @@ def upserted_vectors(stored: DataFrame, chunks: DataFrame, embed: Callable[...,
     vector. Backfill passes chunks_without_vector or stale_chunks as chunks.
     """
     fresh = dense_vectors(chunks, embed, model, dims)
-    kept = stored.join(fresh.select("chunk_id"), "chunk_id", "left_anti")
+    kept = stored.join(chunks.select("chunk_id"), "chunk_id", "left_anti")
     return kept.select(*fresh.columns).unionByName(fresh, allowMissingColumns=True)
 
 
@@ -88,6 +89,8 @@ def stale_chunks(chunks: DataFrame, vectors: DataFrame, model: str) -> DataFrame
 
 def dense_vectors(chunks: DataFrame, embed: Callable[..., DataFrame], model: str, dims: int) -> DataFrame:
     """(chunk_id, project_id, model, dims, vector) of chunks."""
+    if embed in LISTS:
+        return LISTS[embed](chunks, "chunk_id", "content", dims, ("project_id",)).select("chunk_id", "project_id", F.lit(model).alias("model"), F.lit(dims).alias("dims"), dense_form(dims)(F.col("features")).alias("vector"))
     parts = embed(chunks, "chunk_id", "content").groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("dim", F.col("weight").cast("float")))).alias("parts"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("parts", i), F.lit(0.0).cast("float")))
     return chunks.select("chunk_id", "project_id").join(parts, "chunk_id", "left").select("chunk_id", "project_id", F.lit(model).alias("model"), F.lit(dims).alias("dims"), dense.alias("vector"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.operators import bm25, vectors
+from scholia.operators.best import best_rows
+from scholia.session import checkpointed, stored
 
 RRF_K = 60
 TOP_K = 8
@@ -31,7 +36,8 @@ def fuse(lists: list[DataFrame], k: int, group: list[str], key: str = "chunk_id"
 
 def feature_rows(chunks: DataFrame, *keep: str) -> DataFrame:
     """(keep, dim, weight): sparse hashed vectors of chunks (chunk_id, content and what is kept)."""
-    return vectors.hashed_features(chunks, "chunk_id", "content").join(chunks.select("chunk_id", *[c for c in keep if c != "chunk_id"]), "chunk_id").select(*keep, "dim", "weight")
+    others = tuple(c for c in keep if c != "chunk_id")
+    return vectors.feature_lists(chunks, "chunk_id", "content", keep=others).select(*others, "chunk_id", F.inline("features")).select(*keep, "dim", "weight")
 
 
 def query_features(queries: DataFrame) -> DataFrame:
@@ -52,8 +58,30 @@ def features_topk(asked: DataFrame, features: DataFrame, k: int, few: bool) -> D
 
 
 def hashed_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """(query_id, project_id, chunk_id, score, rank): the k chunks of greatest cosine of hashed vectors, per query and project."""
-    return features_topk(query_features(queries), feature_rows(chunks, "project_id", "chunk_id"), k, queries.count() <= vectors.BROADCAST_QUERIES)
+    """(query_id, project_id, chunk_id, score, rank): the k chunks of greatest cosine of hashed vectors, per query and project.
+
+    Chunks are scored where they lie; where queries are too many for a matrix
+    of bm25.DENSE numbers, or projects for a grid with them, rows are joined.
+    """
+    asked = checkpointed(query_features(queries))
+    own = [c for c in ("project_id",) if c in queries.columns]
+    n_queries = asked.select("query_id", *own).distinct().count()
+    homes = chunks.select("project_id").filter("project_id IS NOT NULL").distinct().limit(bm25.DENSE + 1)
+    n_projects = homes.count()
+    if n_queries * max(vectors.DIMENSIONS, n_projects) > bm25.DENSE or n_projects > bm25.DENSE:
+        return features_topk(asked, feature_rows(chunks, "project_id", "chunk_id"), k, queries.count() <= vectors.BROADCAST_QUERIES)
+    questions = asked.collect()  # at most DENSE numbers
+    keys = {q: i for i, q in enumerate(dict.fromkeys((r["query_id"], r["project_id"] if own else None) for r in questions))}
+    asks = np.zeros((vectors.DIMENSIONS, len(keys)))
+    for r in questions:
+        asks[r["dim"], keys[r["query_id"], r["project_id"] if own else None]] = r["qweight"]
+
+    def rows(batch: pa.RecordBatch, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        pairs, row = batch.column("features").flatten(), pc.list_parent_indices(batch.column("features")).to_numpy()
+        return row, pairs.field("dim").to_numpy(), pairs.field("weight").to_numpy()
+
+    projects = [r["project_id"] for r in homes.collect()]
+    return best_rows(vectors.feature_lists(chunks, "chunk_id", "content", keep=("project_id",)), rows, asks, list(keys), projects, queries.schema["query_id"].dataType, k, 6)
 
 
 def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, embeddings: bool = True) -> DataFrame:
@@ -62,8 +90,8 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, embeddi
     BM25 and hashed vectors over the same chunks, over-fetched and fused; BM25
     alone where embeddings are off.
     """
-    postings, statistics = bm25.build_index(chunks.select("project_id", "chunk_id", "content"), bm25.english_terms, bm25.ANALYZER_VERSION)
-    lists = [bm25.search(queries, postings, statistics, overfetch(k), bm25.english_terms)]
+    chunks = stored(chunks.select("project_id", "chunk_id", "content"))
+    lists = [bm25.search_chunks(queries, chunks, overfetch(k), bm25.english_terms)]
     if embeddings:
         lists.append(hashed_topk(queries, chunks, overfetch(k)))
     return fuse(lists, k, ["query_id", "project_id"])

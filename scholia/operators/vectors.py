@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,7 @@ FLOOR = {"hashing": 0.08, "minilm": 0.25}
 #: A query vector of 1024 doubles is 8 kB, so at most 8 MB are broadcast; beyond it the query side is shuffled.
 BROADCAST_QUERIES = 1_000
 _MASK = 4294967295
+FEATURES = T.ArrayType(T.StructType().add("dim", "integer").add("weight", "double"))
 # The two multipliers and three shifts of the 32-bit finaliser.
 _FIRST, _SECOND = 0x85EBCA6B, 0xC2B2AE35
 
@@ -64,6 +67,57 @@ def hashed_features(rows: DataFrame, key: str = "id", text: str = "text", dimens
     return summed.join(norm, key).select(key, "dim", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def _mixed_array(h: np.ndarray) -> np.ndarray:
+    """mixed of 32-bit numbers held in 64 bits."""
+    for shift, factor in ((16, _FIRST), (13, _SECOND)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor) & np.uint64(_MASK)
+    return h ^ (h >> np.uint64(16))
+
+
+def feature_lists(rows: DataFrame, key: str = "id", text: str = "text", dimensions: int = DIMENSIONS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep, key, features): what hashed_features gives as rows, as one list per row (dim, weight), by dimension; the zero vector is empty.
+
+    A row is hashed where it lies. The hash of two words follows from theirs, so
+    only the distinct words of a batch are read letter by letter.
+    """
+    if dimensions < 16:
+        raise ValueError("at least 16 dimensions")
+    names = [*keep, key]
+    schema = T.StructType([*rows.select(*names).schema.fields]).add("features", FEATURES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.uint64(_MASK)
+        for batch in batches:
+            lists = batch.column("tokens")
+            coded = lists.flatten().dictionary_encode()
+            words, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            own = np.zeros(len(words), np.uint64)
+            for i, word in enumerate(words):
+                h = 0
+                for c in word:
+                    h = (h * 31 + ord(c)) & _MASK
+                own[i] = h
+            power = np.array([pow(31, len(w), 1 << 32) for w in words], np.uint64)
+            owner = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+            first = np.flatnonzero(owner[1:] == owner[:-1])
+            a, b = place[first], place[first + 1]
+            # "a b" is a, a blank, then b: 31 to the length of b moves what stands before it.
+            double = ((own[a] * np.uint64(31) + np.uint64(32) & mask) * power[b] + own[b]) & mask
+            h = _mixed_array(np.concatenate([own[place], double]))
+            weight = np.concatenate([np.ones(len(place)), np.full(len(first), 0.5)]) * np.where(_mixed_array(h) & np.uint64(1) == 0, 1.0, -1.0)
+            signed = h.astype(np.int64) - np.where(h >= 1 << 31, 1 << 32, 0)
+            cells, at = np.unique(np.concatenate([owner, owner[first]]) * dimensions + signed % dimensions, return_inverse=True)
+            summed = np.bincount(at, weight, len(cells))
+            cells, summed = cells[summed != 0], summed[summed != 0]
+            norm = np.sqrt(np.bincount(cells // dimensions, summed * summed, batch.num_rows))
+            pairs = pa.StructArray.from_arrays([pa.array(cells % dimensions, pa.int32()), pa.array(summed / norm[cells // dimensions])], ["dim", "weight"])
+            ends = np.searchsorted(cells // dimensions, np.arange(batch.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], [*names, "features"])
+
+    tokens = F.coalesce(matching_tokens(F.col(text)), F.array().cast("array<string>"))
+    return rows.select(*names, tokens.alias("tokens")).mapInArrow(run, schema)
+
+
 def hash_embed(text: str, dimensions: int = DIMENSIONS, tokens: Callable[[str], list[str]] | None = None) -> np.ndarray:
     """The same embedding of one text, dense, for sequential steps inside Arrow functions."""
     from scholia.operators.sentences import matching_words
@@ -132,6 +186,22 @@ def to_bytes(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
 
 
+def dense_form(dimensions: int) -> Callable[[Column], Column]:
+    """A column function: lists (dim, weight) as vectors of so many floats."""
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def run(features: pa.Array) -> pa.Array:
+        pairs, row = features.flatten(), pc.list_parent_indices(features).to_numpy()
+        out = np.zeros((len(features), dimensions), np.float32)
+        out[row, pairs.field("dim").to_numpy()] = pairs.field("weight").to_numpy()
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(features) + 1) * dimensions, pa.int32()), pa.array(out.ravel()))
+
+    return run
+
+
+#: The whole vectors of an embedder, where it can give a row as one list: (rows, key, text, dimensions, keep).
+LISTS: dict[Callable[..., DataFrame], Callable[..., DataFrame]] = {hashed_features: feature_lists}
+
 #: Embedders by name: functions of (rows, key, text) that give sparse rows.
 EMBEDDERS: dict[str, Callable[..., DataFrame]] = {"hashing": hashed_features}
 
