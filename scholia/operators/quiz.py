@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from scholia.functions import lexicons as L
 from scholia.functions.text import EDGE, ends_mid_phrase, is_definition, quiz_tokens, word_total
-from scholia.session import checkpointed
+from scholia.operators.bm25 import counted_terms
+from scholia.session import stored
 
 MIN_WORDS, MAX_WORDS, CANDIDATES, DISTRACTORS, QUIZ_CHUNKS = 8, 45, 800, 3, 40
+#: A row of a request's term is under 100 bytes: at most 40 MB of them are broadcast. Frequencies above MOST_STEPS count as one.
+MOST_TERMS, MOST_STEPS = 400_000, 1_000
 TYPES = ("MULTIPLE_CHOICE", "SHORT_ANSWER", "FLASHCARD")
 
 
@@ -25,19 +28,61 @@ def term_frequencies(sentences: DataFrame) -> DataFrame:
     return df.join(total, "request_id")
 
 
-def term_salience(sentences: DataFrame) -> DataFrame:
-    """(request_id, position, term, tf, df, first_at, salience) of the terms that may become blanks."""
-    tokens = sentences.select("request_id", "position", "text", quiz_tokens(F.col("text")).alias("tokens"))
-    rows = tokens.select("request_id", "position", "text", F.size("tokens").alias("length"), F.posexplode("tokens").alias("at", "term"))
-    rows = rows.groupBy("request_id", "position", "text", "length", "term").agg(F.count("*").alias("tf"), F.min("at").alias("first_at"))
-    rows = rows.filter(~F.col("term").isin(*L.STOPWORDS, *L.WEAK_BLANKS)).join(term_frequencies(sentences), ["request_id", "term"])
-    rows = rows.filter(F.col("df") <= F.greatest(F.lit(2), F.floor(F.col("total") / 4)))
+def _once(sentences: DataFrame) -> DataFrame:
+    """(request_id, position, text, times): equal sentences at one position as one row; only those move."""
+    keyed = sentences.select("request_id", "position", "text", F.xxhash64("text").alias("h"))
+    keys = ("request_id", "position", "h")
+    twice = stored(keyed.groupBy(*keys).agg(F.count("*").alias("times")).filter("times > 1").select(*[F.col(c).alias(f"own_{c}") for c in keys]))
+    if twice.isEmpty():
+        return keyed.select("request_id", "position", "text", F.lit(1).cast("long").alias("times"))
+    same = [F.col(c).eqNullSafe(F.col(f"own_{c}")) for c in keys]
+    again = keyed.join(twice, same, "left_semi").groupBy("request_id", "position", "text").agg(F.count("*").alias("times"))
+    return keyed.join(twice, same, "left_anti").select("request_id", "position", "text", F.lit(1).cast("long").alias("times")).unionByName(again)
+
+
+def _spoken(sentences: DataFrame) -> DataFrame:
+    """(request_id, position, length, term, tf, first_at, proper) of the terms of sentences that are no stop words.
+
+    Terms are counted and looked up where their sentence lies, so no text is
+    carried with them. proper: whether the term also stands capitalised after
+    something other than a sentence's end.
+    """
+    rows = _once(sentences).select("request_id", "position", "times", quiz_tokens(F.col("text")).alias("terms"), F.array_join(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<=[^.!?]\s)[A-Z]\S*"), F.lit(0))), "\n").alias("capitals"))
+    rows = rows.filter("size(terms) > 0").withColumn("lower", F.lower("capitals"))
+    keep = ("request_id", "position", "times", "capitals", "lower")
+    rows = counted_terms(rows, *keep, firsts=True).select(*keep, F.col("dl").cast("int").alias("length"), F.inline("counts"))
+    rows = rows.filter(~F.col("term").isin(*L.STOPWORDS, *L.WEAK_BLANKS))
+    # A capital, then the term with its other ASCII letters in either case.
+    pattern = F.concat(F.lit(r"(?<![^\n])"), F.upper(F.substring("term", 1, 1)), F.lit("(?i:"), F.expr("substring(term, 2)"), F.lit(")"), F.lit(EDGE))
+    rows = rows.withColumn("pattern", pattern)
+    proper = F.col("lower").contains(F.expr("substring(term, 2)")) & F.expr("regexp_like(capitals, pattern)")
+    return rows.select("request_id", "position", "length", "term", (F.col("tf") * F.col("times")).alias("tf"), "first_at", proper.alias("proper"))
+
+
+def term_salience(sentences: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """(request_id, position, term, tf, df, first_at, salience) of the terms that may become blanks.
+
+    among: the sentences whose terms are wanted, where not all are.
+    """
+    frequency = stored(term_frequencies(sentences))
+    rare = F.col("df") <= F.greatest(F.lit(2), F.floor(F.col("total") / 4))
+    rows = _spoken(sentences if among is None else among)
+    # The most frequent terms are broadcast, as many as are few; what other terms there are meets theirs by a shuffle.
+    sizes = Window.orderBy(F.desc("d")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = frequency.groupBy(F.least("df", F.lit(MOST_STEPS)).alias("d")).agg(F.count("*").alias("n"))
+    least = steps.withColumn("all", F.sum("n").over(sizes)).filter(F.col("all") <= MOST_TERMS).agg(F.min("d")).first()[0]
+    if least is None:
+        rows = rows.join(frequency.filter(rare), ["request_id", "term"])
+    else:
+        known = F.broadcast(frequency.filter(F.col("df") >= least))
+        most = rows.join(known, ["request_id", "term"]).filter(rare)
+        if least > 1:
+            others = rows.join(known.select("request_id", "term"), ["request_id", "term"], "left_anti")
+            most = most.unionByName(others.join(frequency.filter(rare & (F.col("df") < least)), ["request_id", "term"]))
+        rows = most
     subject = F.when(F.col("length") <= 1, 1.0).otherwise(1.0 + 1.2 * (1.0 - F.col("first_at") / (F.col("length") - 1)))
-    # A capital after something other than a sentence's end: the term with its first letter as written.
-    capital = F.concat(F.upper(F.substring("term", 1, 1)), F.lit("(?i:"), F.expr("substring(term, 2)"), F.lit(")"))
-    proper = F.when(F.expr("regexp_like(text, pattern)"), 1.35).otherwise(1.0)
+    proper = F.when(F.col("proper"), 1.35).otherwise(1.0)
     suffix = F.when(F.col("term").rlike(f"({'|'.join(L.DESCRIBING_SUFFIXES)})$"), 0.5).otherwise(1.0)
-    rows = rows.withColumn("pattern", F.concat(F.lit(rf"(?<=[^.!?]\s){EDGE}"), capital, F.lit(EDGE)))
     score = F.col("tf") * F.log(F.col("total") / F.col("df")) * F.when(F.length("term") >= 6, 1.2).otherwise(1.0) * subject * proper * suffix
     return rows.select("request_id", "position", "term", "tf", "df", "first_at", F.round(score, 9).alias("salience"))
 
@@ -49,7 +94,7 @@ def cloze_candidates(sentences: DataFrame) -> DataFrame:
     """
     fitting = sentences.filter(word_total(F.col("text")).between(MIN_WORDS, MAX_WORDS) & ~ends_mid_phrase(F.col("text")))
     best = Window.partitionBy("request_id", "position").orderBy(F.desc("salience"), "first_at")
-    terms = term_salience(sentences).filter("salience > 0").withColumn("n", F.row_number().over(best)).filter("n = 1")
+    terms = term_salience(sentences, fitting).filter("salience > 0").withColumn("n", F.row_number().over(best)).filter("n = 1")
     rows = fitting.join(terms.select("request_id", "position", F.col("term").alias("found"), "salience"), ["request_id", "position"])
     rows = rows.withColumn("pattern", F.concat(F.lit("("), _whole_word(F.col("found")), F.lit(")")))
     cased = F.expr("regexp_extract(text, pattern, 1)")
@@ -96,7 +141,7 @@ def blanked(text: Column, term: str = "term") -> Column:
 def quiz(sentences: DataFrame, count: int, types: tuple[str, ...] = TYPES) -> DataFrame:
     """(request_id, ordinal, type, prompt, choices, answer, explanation, document_id, position) of each request's quiz."""
     types = types or TYPES
-    pool = checkpointed(cloze_candidates(sentences))
+    pool = stored(cloze_candidates(sentences))
     picked = round_robin(pool, count)
     kind = F.element_at(F.array(*[F.lit(t) for t in types]), (F.col("ordinal") % len(types) + 1).cast("int"))
     rows = picked.join(distractors(picked, pool), ["request_id", "ordinal"], "left").withColumn("type", kind)
