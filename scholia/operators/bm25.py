@@ -155,7 +155,11 @@ def search_chunks(queries: DataFrame, chunks: DataFrame, k: int, terms: Callable
     are too many for a matrix of DENSE numbers, postings are joined instead.
     """
     counted = stored(counted_terms(terms(chunks, "project_id", "chunk_id"), "project_id", "chunk_id").filter("project_id IS NOT NULL"))
-    statistics = _statistics(counted, "")
+    return search_counted(queries, counted, _statistics(counted, ""), k, terms)
+
+
+def search_counted(queries: DataFrame, counted: DataFrame, statistics: DataFrame, k: int, terms: Callable[..., DataFrame] = plain_terms) -> DataFrame:
+    """The same over rows (project_id, chunk_id, dl, counts), one per chunk and none without a project; terms that no query has may be left out of counts."""
     asked = checkpointed(_asked(queries, terms))
     own = [c for c in ("project_id",) if c in queries.columns]
     n_terms, n_queries = asked.select(F.countDistinct("term"), F.countDistinct("query_id", *own)).first()
@@ -164,6 +168,8 @@ def search_chunks(queries: DataFrame, chunks: DataFrame, k: int, terms: Callable
     if max(n_queries, n_projects) * n_terms > DENSE or n_queries * n_projects > DENSE:
         return search(queries, postings, statistics, k, terms)
     weights = _weights(postings.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi"), statistics).collect()  # at most DENSE rows
+    if not weights:
+        return search(queries, postings, statistics, k, terms)
     questions = asked.collect()
     places = {t: i for i, t in enumerate(dict.fromkeys(r["term"] for r in questions))}
     keys = {q: i for i, q in enumerate(dict.fromkeys((r["query_id"], r["project_id"] if own else None) for r in questions))}
@@ -186,4 +192,4 @@ def search_chunks(queries: DataFrame, chunks: DataFrame, k: int, terms: Callable
         length = batch.column("dl").to_numpy()[row] / mean[at]
         return row, term, idf[at, term] * tf / (tf + K1 * (1 - B + B * length))
 
-    return best_rows(counted, rows, asks, list(keys), list(projects), queries.schema["query_id"].dataType, k, DIGITS)
+    return best_rows(counted.select("project_id", "chunk_id", "dl", "counts"), rows, asks, list(keys), list(projects), queries.schema["query_id"].dataType, k, DIGITS)

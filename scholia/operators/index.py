@@ -3,36 +3,47 @@
 Rows are made once, when chunks are stored. Postings carry the length of their
 chunk; statistics are sums per project, so those of two batches add up and those
 of deleted chunks come with a minus. Postings lie by hash of their term, vectors
-by hash of their dimension (see sources.store), sorted within files: a question
-opens the folders of its terms and projects, and within them the row groups.
+by hash of their dimension: a question opens the folders of its terms and
+projects. A folder names a chunk once, with the list of its terms there (see
+sources.store).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from scholia.operators import bm25, retrieval, services
-from scholia.operators.vectors import BROADCAST_QUERIES
-from scholia.session import checkpointed, stored
-from scholia.sources.store import Snapshot, slice_of
+from scholia.operators.vectors import BROADCAST_QUERIES, feature_lists
+from scholia.session import Scratch, checkpointed, stored
+from scholia.sources.store import LIST, Snapshot, slice_of, unpacked
 
 #: So many terms, dimensions or projects of a batch of questions are named in its filters; beyond that the joins alone pick.
 MOST_NAMED = 2_000
 
 
-def index_rows(chunks: DataFrame, terms: Callable[..., DataFrame] = bm25.english_terms, version: str = bm25.ANALYZER_VERSION, embeddings: bool = True) -> dict[str, DataFrame]:
-    """The tables postings, features (where embeddings are on) and index_statistics of chunks (project_id, document_id, chunk_id, content)."""
+def index_rows(chunks: DataFrame, terms: Callable[..., DataFrame] = bm25.english_terms, version: str = bm25.ANALYZER_VERSION, embeddings: bool = True, lists: bool = False, scratch: Scratch | None = None) -> dict[str, DataFrame]:
+    """The tables postings, features (where embeddings are on) and index_statistics of chunks (project_id, document_id, chunk_id, content).
+
+    As lists they are one row per chunk, which is how a store keeps them. They
+    read the table "counted" of scratch, where one is given.
+    """
     keys = ("project_id", "document_id", "chunk_id")
-    counted = stored(bm25.counted_terms(terms(chunks, *keys), *keys))
+    counted = bm25.counted_terms(terms(chunks, *keys), *keys)
+    counted = scratch.write(counted, "counted") if scratch else stored(counted)
     sums = counted.groupBy("project_id").agg(F.count("*").alias("n"), F.sum("dl").alias("words"))
-    return {
-        "postings": bm25.postings_of(counted, *keys).select(*keys, "term", "tf", "dl", F.lit(version).alias("analyzer_version")),
-        **({"features": retrieval.feature_rows(chunks, *keys)} if embeddings else {}),
+    tables = {
+        "postings": counted.select(*keys, F.col("counts").cast("array<struct<term:string,tf:bigint>>").alias(LIST), "dl", F.lit(version).alias("analyzer_version")),
+        **({"features": feature_lists(chunks, "chunk_id", "content", keep=("project_id", "document_id")).select(*keys, F.col("features").alias(LIST))} if embeddings else {}),
         "index_statistics": sums.select("project_id", "n", F.coalesce("words", F.lit(0)).cast("long").alias("words"), F.lit(version).alias("analyzer_version")),
     }
+    return tables if lists else {name: unpacked(rows) for name, rows in tables.items()}
 
 
 def statistics(snapshot: Snapshot, projects: list | None = None) -> DataFrame:
@@ -55,6 +66,39 @@ def _keyed(snapshot: Snapshot, name: str, asked: DataFrame, column: str, project
     return rows.filter(F.col(column).isin(values)) if values else rows.join(asked.select(column).distinct(), column, "left_semi")
 
 
+def _counted(snapshot: Snapshot, asked: DataFrame, projects: list | None) -> DataFrame:
+    """(project_id, document_id, chunk_id, dl, counts): what the chunks of the index hold of the asked terms, a row per chunk, from the terms' folders alone."""
+    slices = [r[0] for r in asked.select(slice_of(F.col("term"), snapshot.store.slices)).distinct().collect()]  # at most as many as there are slices
+    keys = ("project_id", "document_id", "chunk_id", "dl")
+    rows = snapshot.lists("postings", projects, slices).filter("project_id IS NOT NULL").select(*keys, LIST)
+    named = [r[0] for r in asked.select("term").limit(bm25.BROADCAST_TERMS + 1).collect()]
+    if len(named) > bm25.BROADCAST_TERMS:
+        return rows.groupBy(*keys).agg(F.flatten(F.collect_list(LIST)).alias("counts"))
+    values = pa.array(named, pa.string())
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs, lengths = batch.column(LIST).flatten(), pc.list_value_length(batch.column(LIST)).to_numpy()
+            place = pc.index_in(pairs.field("term"), value_set=values)
+            kept = place.is_valid()
+            ends = pa.array(np.concatenate([[0], np.cumsum(kept.to_numpy(zero_copy_only=False))])[np.concatenate([[0], np.cumsum(lengths)])], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, x.filter(kept).cast(pa.int32())) for x in (place, pairs.field("tf"))]
+            own = pa.RecordBatch.from_arrays([*[batch.column(c) for c in keys], *lists], [*keys, "places", "tfs"])
+            yield own.filter(pc.greater(pc.list_value_length(lists[0]), 0))
+
+    def worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, ends = batch.column("places"), np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column("places")).to_numpy())])
+            pairs = pa.StructArray.from_arrays([values.take(places.flatten()), batch.column("tfs").flatten()], ["term", "tf"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keys], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], [*keys, "counts"])
+
+    own = rows.select(*keys).schema.fields
+    # Between tasks a term is its place among the asked ones.
+    found = rows.mapInArrow(numbered, StructType([*own]).add("places", ArrayType(IntegerType())).add("tfs", ArrayType(IntegerType())))
+    found = found.groupBy(*keys).agg(F.collect_list(F.struct("places", "tfs")).alias("parts")).select(*keys, F.flatten("parts.places").alias("places"), F.flatten("parts.tfs").alias("tfs"))
+    return found.mapInArrow(worded, StructType([*own]).add("counts", bm25.COUNTS))
+
+
 def search_stored(snapshot: Snapshot, queries: DataFrame, k: int = retrieval.TOP_K, terms: Callable[..., DataFrame] = bm25.english_terms, embeddings: bool = True) -> DataFrame:
     """What retrieval.hybrid_search gives over the stored chunks, from the index alone: (query_id, project_id, chunk_id, score, rank, document_id).
 
@@ -64,10 +108,10 @@ def search_stored(snapshot: Snapshot, queries: DataFrame, k: int = retrieval.TOP
     queries = checkpointed(queries)
     projects = _named(queries, "project_id") if "project_id" in queries.columns else None
     asked = checkpointed(terms(queries, "query_id").select(F.explode("terms").alias("term")).distinct())
-    postings = stored(_keyed(snapshot, "postings", asked, "term", projects))
+    counted = stored(_counted(snapshot, asked, projects))
     deep = retrieval.overfetch(k) if embeddings else k
-    lists = [bm25.search(queries, postings, statistics(snapshot, projects), deep, terms)]
-    homes = postings.select("project_id", "chunk_id", "document_id")
+    lists = [bm25.search_counted(queries, counted, statistics(snapshot, projects), deep, terms)]
+    homes = counted.select("project_id", "chunk_id", "document_id")
     if embeddings:
         dims = checkpointed(retrieval.query_features(queries))
         features = _keyed(snapshot, "features", dims, "dim", projects)
@@ -87,7 +131,9 @@ def stored_hits(snapshot: Snapshot, hits: DataFrame) -> DataFrame:
     chunks = snapshot.read("chunks", projects, slices)
     ids = _named(hits, "chunk_id")
     chunks = chunks.filter(F.col("chunk_id").isin(ids)) if ids else chunks
-    return hits.drop("document_id").join(chunks, ["project_id", "chunk_id"])
+    found = hits.drop("document_id")
+    found = F.broadcast(found) if hits.count() <= bm25.BROADCAST_TERMS else found  # a hit is as short as a term
+    return found.join(chunks, ["project_id", "chunk_id"])
 
 
 def ask_stored(snapshot: Snapshot, asked: DataFrame, k: int = retrieval.TOP_K, embeddings: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -108,6 +154,6 @@ def rebuild_stale(snapshot: Snapshot, terms: Callable[..., DataFrame] = bm25.eng
     names = ("postings", "features", "index_statistics")
     drop = None
     for name in names:
-        own = snapshot.rows(name, projects).select(F.lit(name).alias("name"), "p_commit", "p_project", "p_slice").distinct()
+        own = snapshot.lists(name, projects).select(F.lit(name).alias("name"), "p_commit", "p_project", "p_slice").distinct()
         drop = own if drop is None else drop.unionByName(own)
-    return snapshot.store.commit(snapshot, index_rows(chunks, terms, version), drop)
+    return snapshot.store.commit(snapshot, index_rows(chunks, terms, version, True, True), drop)

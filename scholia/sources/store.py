@@ -12,6 +12,11 @@ a hash of the column by which a table is looked up, so a reader that knows its
 projects or its keys opens only their folders. Rows are spread before writing by
 a rebalance hint: adaptive execution cuts a large folder into several files.
 
+Tables in PACKED have many rows that differ in two short columns only. Their
+folders hold one row for all of these, with a list of the two; `read` and `rows`
+give the single rows, `lists` what lies on disk. A delete writes the rows that
+stay back to where they lay, without a shuffle.
+
 Commits are optimistic: the pointer of a version is renamed into place, which
 succeeds once, and who comes second gets a Conflict and may start again from the
 new snapshot. The file system must rename atomically, as HDFS does.
@@ -27,7 +32,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from scholia.operators.catalog import CASCADE
 from scholia.session import Scratch, bounded_batches, settings
@@ -40,6 +45,13 @@ LOOKUP = {
     "projects": "project_id", "documents": "document_id", "document_status": "document_id", "chunks": "document_id", "chunk_embeddings": "chunk_id", "postings": "term", "features": "dim", "index_statistics": None,
     "chat_sessions": "session_id", "chat_messages": "session_id", "message_citations": "message_id", "quizzes": "quiz_id", "quiz_questions": "quiz_id", "summaries": "summary_id", "summary_citations": "summary_id",
 }
+#: What a list holds of each of its rows; the table's lookup column is one of them.
+PACKED = {"postings": ("term", "tf"), "features": ("dim", "weight")}
+LIST = "entries"
+#: So many ids of what is deleted are broadcast: at most 100 MB.
+MOST_SENT = 500_000
+#: Bytes of files that one task writes where they lie, and of the chunks that are brought together for it.
+TASK_BYTES = "32m"
 FOLDER = ("p_commit", "p_project", "p_slice")
 ENTRIES = "name string, p_commit string, p_project string, p_slice int, n long, schema string"
 
@@ -61,6 +73,27 @@ def project_folders(projects: Iterable[object]) -> list[str]:
     return [hashlib.sha256((b"" if p is None else b"=" + str(p).encode())).hexdigest()[:16] for p in projects]
 
 
+def packed_schema(name: str, schema: StructType) -> StructType:
+    """What a folder holds of a table of this schema: in PACKED, the first of the listed columns gives way to the list."""
+    listed = [f for f in schema.fields if f.name in PACKED.get(name, ())]
+    out = StructType()
+    for field in schema.fields:
+        if field not in listed:
+            out.add(field)
+        elif field == listed[0]:
+            out.add(LIST, ArrayType(StructType(listed)))
+    return out
+
+
+def unpacked(rows: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+    """Rows with a list as single rows, the listed columns where the list was or in the order of columns; other rows as they are."""
+    if LIST not in rows.columns:
+        return rows
+    listed = rows.schema[LIST].dataType.elementType.names
+    names = columns or [n for c in rows.columns for n in (listed if c == LIST else [c])]
+    return rows.select(*[c for c in rows.columns if c != LIST], F.inline(LIST)).select(*names)
+
+
 @dataclass
 class Snapshot:
     """What one version holds. entries: (name, p_commit, p_project, p_slice, n, schema), one row per folder; marks: numbers by name."""
@@ -74,14 +107,14 @@ class Snapshot:
     def tables(self) -> list[str]:
         return sorted(self.schemas)
 
-    def rows(self, name: str, projects: Iterable[object] | None = None, slices: Iterable[int] | None = None) -> DataFrame:
-        """The rows of a table with their folder columns; of the named projects and slices only, where given."""
+    def lists(self, name: str, projects: Iterable[object] | None = None, slices: Iterable[int] | None = None) -> DataFrame:
+        """What the folders of a table hold, with their folder columns; of the named projects and slices only, where given."""
         own = self.entries.filter(F.col("name") == name)
         if projects is not None:
             own = own.filter(F.col("p_project").isin(project_folders(projects)))
         if slices is not None:
             own = own.filter(F.col("p_slice").isin(list(slices)))
-        schema = StructType([*self.schemas[name].fields]).add("p_commit", "string").add("p_project", "string").add("p_slice", IntegerType())
+        schema = StructType([*packed_schema(name, self.schemas[name]).fields]).add("p_commit", "string").add("p_project", "string").add("p_slice", IntegerType())
         root = f"{self.store.root}/data/{name}"
         reader = self.store.spark.read.schema(schema).option("basePath", root)
         folders = own.select(*FOLDER).limit(MOST_PATHS + 1).collect()
@@ -90,6 +123,10 @@ class Snapshot:
         paths = [f"{root}/p_commit={c}/p_project={p}/p_slice={s}" for c, p, s in folders]
         return reader.parquet(*paths) if paths else self.store.spark.createDataFrame([], schema)
 
+    def rows(self, name: str, projects: Iterable[object] | None = None, slices: Iterable[int] | None = None) -> DataFrame:
+        """The rows of a table with their folder columns."""
+        return unpacked(self.lists(name, projects, slices), [*self.schemas[name].names, *FOLDER])
+
     def read(self, name: str, projects: Iterable[object] | None = None, slices: Iterable[int] | None = None) -> DataFrame:
         return self.rows(name, projects, slices).drop(*FOLDER)
 
@@ -137,18 +174,37 @@ class Store:
         schemas = {r["name"]: StructType.fromJson(json.loads(r["schema"])) for r in heads if r["schema"]}
         return Snapshot(self, known[0], entries.filter("p_slice IS NOT NULL"), schemas, {r["name"]: r["n"] for r in heads if not r["schema"]})
 
-    def _write(self, name: str, rows: DataFrame, commit: str) -> DataFrame:
-        """Write the rows of one table; the entries of their folders."""
+    def _placed(self, name: str, rows: DataFrame) -> DataFrame:
+        """Rows as their folders hold them, with the columns p_project and p_slice; a list is cut by the slices of what it lists."""
         key = LOOKUP.get(name)
         project = _project_folder(F.col("project_id")) if "project_id" in rows.columns else F.lit("all")
+        if LIST in rows.columns:
+            # The slices of a list are counted once, under the explode, through which no expression is carried.
+            marked = rows.withColumn(LIST, F.transform(LIST, lambda e: F.struct(slice_of(e[key], self.slices).alias("at"), e.alias("e"))))
+            each = marked.withColumn("p_slice", F.explode(F.lit(list(range(self.slices))))).filter(F.exists(LIST, lambda x: x["at"] == F.col("p_slice")))
+            own = F.transform(F.filter(LIST, lambda x: x["at"] == F.col("p_slice")), lambda x: x["e"])
+            return each.withColumns({LIST: own, "p_project": project})
         placed = rows.withColumns({"p_project": project, "p_slice": slice_of(F.col(key), self.slices) if key else F.lit(0)})
-        spread = placed.hint("rebalance", "p_project", "p_slice")
-        ordered = spread.sortWithinPartitions("p_project", "p_slice", *([key] if key else []))
+        held = packed_schema(name, rows.schema)
+        if LIST in held.names:
+            listed = held[LIST].dataType.elementType.names
+            placed = placed.withColumn(LIST, F.array(F.struct(*listed))).select(*held.names, "p_project", "p_slice")
+        return placed
+
+    def _write(self, name: str, rows: DataFrame, commit: str, lying: bool = False) -> DataFrame:
+        """Write the rows of one table; the entries of their folders. Rows with p_project and p_slice keep them; of lying rows each task writes what it reads."""
+        placed = rows if "p_slice" in rows.columns else self._placed(name, rows)
+        key = LOOKUP.get(name)
+        if not lying:
+            placed = placed.hint("rebalance", "p_project", "p_slice")
+        ordered = placed.sortWithinPartitions("p_project", "p_slice", *([key] if key in placed.columns else []))
         target = f"{self.root}/data/{name}/p_commit={commit}"
-        with bounded_batches(self.spark), settings(self.spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
-            ordered.write.mode("overwrite").partitionBy("p_project", "p_slice").parquet(target)
-        schema = StructType([*rows.schema.fields]).add("p_project", "string").add("p_slice", IntegerType())
-        counts = self.spark.read.schema(schema).parquet(target).groupBy("p_project", "p_slice").agg(F.count("*").alias("n"))
+        conf = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | ({"spark.sql.files.maxPartitionBytes": TASK_BYTES} if lying else {})
+        with bounded_batches(self.spark), settings(self.spark, conf):
+            ordered.write.mode("overwrite").partitionBy("p_project", "p_slice").option("compression", "zstd").parquet(target)
+        schema = StructType([f for f in placed.schema.fields if f.name not in FOLDER]).add("p_project", "string").add("p_slice", IntegerType())
+        n = F.sum(F.size(LIST)).alias("n") if LIST in schema.names else F.count("*").alias("n")
+        counts = self.spark.read.schema(schema).parquet(target).groupBy("p_project", "p_slice").agg(n)
         return counts.select(F.lit(name).alias("name"), F.lit(commit).alias("p_commit"), "p_project", "p_slice", "n", F.lit(None).cast("string").alias("schema"))
 
     def _write_manifest(self, entries: DataFrame, commit: str) -> None:
@@ -172,19 +228,23 @@ class Store:
                 raise Conflict(f"version {version} is taken") from error
             raise
 
-    def commit(self, base: Snapshot, add: dict[str, DataFrame] | None = None, drop: DataFrame | None = None, marks: dict[str, int] | None = None) -> Snapshot:
+    def commit(self, base: Snapshot, add: dict[str, DataFrame] | None = None, drop: DataFrame | None = None, marks: dict[str, int] | None = None, lying: Iterable[str] = ()) -> Snapshot:
         """A new version: the base without the folders in drop (name, p_commit, p_project, p_slice) and with the rows in add.
 
         marks are numbers kept beside the tables, such as the last batch of a
-        stream. Rows of `add` may come from the base itself.
+        stream. Rows of `add` may come from the base itself; with the columns
+        p_project and p_slice they go back to the folders of these. Rows of a
+        table in PACKED may come as lists. The tables named in lying are written
+        without a shuffle, so each of their partitions should have few projects.
         """
         commit = uuid.uuid4().hex
         schemas = dict(base.schemas)
         parts = [base.entries if drop is None else base.entries.join(drop.select("name", *FOLDER), ["name", *FOLDER], "left_anti").select(*base.entries.columns)]
         for name, rows in (add or {}).items():
             # What was read as not null may be null later, and the other way round.
-            schemas[name] = StructType.fromJson(json.loads(rows.schema.json().replace('"nullable":false', '"nullable":true')))
-            parts.append(self._write(name, rows, commit))
+            schema = unpacked(rows).drop(*FOLDER).schema
+            schemas[name] = StructType.fromJson(json.loads(schema.json().replace('"nullable":false', '"nullable":true')))
+            parts.append(self._write(name, rows, commit, name in lying))
         marks = {**base.marks, **(marks or {})}
         heads = [(n, "", "", None, 0, s.json()) for n, s in schemas.items()] + [(n, "", "", None, v, None) for n, v in marks.items()]
         everything = parts[0]
@@ -227,28 +287,35 @@ class Store:
             if link not in links[child]:
                 links[child].append(link)
         doomed = {table: scratch.write(ids.select(key).distinct(), f"doomed-{table}")}
+        n_doomed = {table: doomed[table].count()}
         add, drops, gone = {}, [], {}
+
+        def sent(rows: DataFrame, source: str) -> DataFrame:
+            return F.broadcast(rows) if n_doomed[source] <= MOST_SENT else rows
+
         for name, by, parent, link in [(table, key, table, key), *CASCADE]:
             if parent not in doomed or not base.holds(name) or (name == table and by != key):
                 continue
             if name in gone or link not in doomed[parent].columns:
                 continue
-            lost = doomed[parent].select(link).distinct()
-            rows = base.rows(name, projects if "project_id" in base.schemas[name].names else None)
+            lost = sent(doomed[parent].select(link).distinct(), parent)
+            rows = base.lists(name, projects if "project_id" in base.schemas[name].names else None)
             hit = rows.join(lost, link, "left_semi")
             wanted = [c for c in dict.fromkeys([by, link, "document_id", "chunk_id", "project_id", "stored_path"]) if c in base.schemas[name].names]
-            own = scratch.write(hit.select(*wanted, *FOLDER), f"gone-{name}")
+            sizes = [F.size(LIST).alias("n_listed")] if LIST in rows.columns else []
+            own = scratch.write(hit.select(*wanted, *FOLDER, *sizes), f"gone-{name}")
             doomed[name] = own
-            gone[name] = own.count()
+            n_doomed[name] = own.count()
+            gone[name] = int(own.agg(F.sum("n_listed")).first()[0] or 0) if sizes else n_doomed[name]
             if not gone[name]:
                 continue
             touched = own.select(F.lit(name).alias("name"), *FOLDER).distinct()
             drops.append(touched)
-            add[name] = rows.join(touched.select(*FOLDER), list(FOLDER), "left_semi").drop(*FOLDER).join(lost, link, "left_anti").select(*base.schemas[name].names)
+            add[name] = rows.join(sent(touched.select(*FOLDER), name), list(FOLDER), "left_semi").join(lost, link, "left_anti").select(*packed_schema(name, base.schemas[name]).names, "p_project", "p_slice")
         if gone.get("chunks") and base.holds("index_statistics"):
             # Statistics are sums: what is deleted is added with a minus.
             counts = doomed["chunks"].groupBy("project_id").agg(F.count("*").alias("n"))
-            words = base.read("postings", projects).join(doomed["chunks"].select("chunk_id"), "chunk_id", "left_semi").groupBy("project_id").agg(F.sum("tf").alias("words"))
+            words = base.lists("postings", projects).join(sent(doomed["chunks"].select("chunk_id"), "chunks"), "chunk_id", "left_semi").select("project_id", F.inline(LIST)).groupBy("project_id").agg(F.sum("tf").alias("words"))
             versions = base.read("index_statistics").groupBy("project_id").agg(F.max("analyzer_version").alias("analyzer_version"))
             minus = counts.join(words.withColumnRenamed("project_id", "other"), F.col("project_id").eqNullSafe(F.col("other")), "left").drop("other")
             minus = minus.join(versions.withColumnRenamed("project_id", "other"), F.col("project_id").eqNullSafe(F.col("other")), "left")
@@ -257,7 +324,7 @@ class Store:
         drop = None
         for touched in drops:
             drop = touched if drop is None else drop.unionByName(touched)
-        out = self.commit(base, add, drop) if add else base
+        out = self.commit(base, add, drop, lying=[name for name in add if name in gone and max(n_doomed.values()) <= MOST_SENT]) if add else base
         scratch.keep("gone-documents")
         return out, gone, documents
 
@@ -279,8 +346,8 @@ class Store:
         touched = own.join(many, ["p_project", "p_slice"], "left_semi").select("name", *FOLDER)
         if touched.isEmpty():
             return base
-        rows = base.rows(name).join(touched.select(*FOLDER), list(FOLDER), "left_semi").drop(*FOLDER)
-        return self.commit(base, {name: rows}, touched)
+        rows = base.lists(name).join(touched.select(*FOLDER), list(FOLDER), "left_semi").drop("p_commit")
+        return self.commit(base, {name: rows.select(*packed_schema(name, base.schemas[name]).names, "p_project", "p_slice")}, touched)
 
     def vacuum(self, keep: int = 1) -> list[str]:
         """Delete the commits that none of the newest `keep` versions reads, and what crashed commits left; returns them.

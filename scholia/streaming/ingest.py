@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from scholia.operators.bm25 import ANALYZER_VERSION, english_terms
 from scholia.operators.catalog import content_hash, dense_vectors, latest, safe_message, stale_chunks, upserted_vectors
 from scholia.operators.chunking import OVERLAP, TARGET, chunk_pages, number_chunks
 from scholia.operators.index import index_rows
@@ -74,7 +75,7 @@ def publish(batch: DataFrame, batch_id: int, store: Store, target: int, overlap:
     documents, chunks = prepare(batch, target, overlap)
     documents, chunks = checkpointed(documents), checkpointed(chunks)
     vectors = dense_vectors(chunks, hashed_features, MODEL, DIMENSIONS).join(chunks.select("chunk_id", content_hash(F.col("content")).alias("content_sha256")), "chunk_id")
-    store.commit(base, {"chunks": chunks, "chunk_embeddings": vectors, **index_rows(chunks), "documents": documents, "document_status": states(documents)}, marks={BATCH: batch_id})
+    store.commit(base, {"chunks": chunks, "chunk_embeddings": vectors, **index_rows(chunks, english_terms, ANALYZER_VERSION, True, True), "documents": documents, "document_status": states(documents)}, marks={BATCH: batch_id})
 
 
 def embed_stale(snapshot: Snapshot, model: str = MODEL, embed=hashed_features, dims: int = DIMENSIONS) -> tuple[Snapshot, int]:
