@@ -9,7 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholia.session import checkpointed
+
 TARGET, OVERLAP = 180, 30
+#: So many ids of documents with several pages are broadcast: at most 100 MB.
+MOST_SENT = 500_000
 _WORD = re.compile(r"\S+", re.ASCII)
 _BLANK_LINE = re.compile(r"\n\s*\n", re.ASCII)
 
@@ -91,4 +95,22 @@ def paragraph_chunks(pages: DataFrame, target: int = TARGET, overlap: int = OVER
 def number_chunks(chunks: DataFrame) -> DataFrame:
     """Chunks with a running ordinal over a document's pages and a deterministic id."""
     order = Window.partitionBy("document_id").orderBy(F.col("page").asc_nulls_first(), "index")
-    return chunks.withColumn("ordinal", F.row_number().over(order) - 1).withColumn("chunk_id", F.sha2(F.concat_ws("|", F.col("document_id").cast("string"), F.col("ordinal").cast("string")), 256)).drop("index")
+    return _named(chunks.withColumn("ordinal", F.row_number().over(order) - 1))
+
+
+def _named(chunks: DataFrame) -> DataFrame:
+    return chunks.withColumn("chunk_id", F.sha2(F.concat_ws("|", F.col("document_id").cast("string"), F.col("ordinal").cast("string")), 256)).drop("index")
+
+
+def numbered_chunks(pages: DataFrame, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
+    """What number_chunks gives over the chunks of pages, but only documents of several pages meet a shuffle: in one page a chunk's index is its ordinal."""
+    several = checkpointed(pages.groupBy("document_id").count().filter("count > 1").select(F.col("document_id").alias("several")))
+    n = several.count()
+    if n > MOST_SENT:
+        return number_chunks(chunk_pages(pages, target, overlap))
+
+    def own(how: str) -> DataFrame:
+        return chunk_pages(pages.join(F.broadcast(several), F.col("document_id").eqNullSafe(F.col("several")), how) if n else pages, target, overlap)
+
+    single = _named(own("left_anti").withColumn("ordinal", F.col("index")))
+    return single.unionByName(number_chunks(own("left_semi"))) if n else single

@@ -21,31 +21,49 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from scholia.operators import bm25, retrieval, services
 from scholia.operators.vectors import BROADCAST_QUERIES, feature_lists
-from scholia.session import Scratch, checkpointed, stored
+from scholia.session import checkpointed, stored
 from scholia.sources.store import LIST, Snapshot, slice_of, unpacked
 
 #: So many terms, dimensions or projects of a batch of questions are named in its filters; beyond that the joins alone pick.
 MOST_NAMED = 2_000
 
 
-def index_rows(chunks: DataFrame, terms: Callable[..., DataFrame] = bm25.english_terms, version: str = bm25.ANALYZER_VERSION, embeddings: bool = True, lists: bool = False, scratch: Scratch | None = None) -> dict[str, DataFrame]:
+def index_rows(chunks: DataFrame, terms: Callable[..., DataFrame] = bm25.english_terms, version: str = bm25.ANALYZER_VERSION, embeddings: bool = True, lists: bool = False) -> dict[str, DataFrame]:
     """The tables postings, features (where embeddings are on) and index_statistics of chunks (project_id, document_id, chunk_id, content).
 
-    As lists they are one row per chunk, which is how a store keeps them. They
-    read the table "counted" of scratch, where one is given.
+    As lists they are one row per chunk, which is how a store keeps them.
     """
     keys = ("project_id", "document_id", "chunk_id")
-    counted = bm25.counted_terms(terms(chunks, *keys), *keys)
-    counted = scratch.write(counted, "counted") if scratch else stored(counted)
+    counted = stored(bm25.counted_terms(terms(chunks, *keys), *keys))
     sums = counted.groupBy("project_id").agg(F.count("*").alias("n"), F.sum("dl").alias("words"))
     tables = {
-        "postings": counted.select(*keys, F.col("counts").cast("array<struct<term:string,tf:bigint>>").alias(LIST), "dl", F.lit(version).alias("analyzer_version")),
+        "postings": _postings(counted, version),
         **({"features": feature_lists(chunks, "chunk_id", "content", keep=("project_id", "document_id")).select(*keys, F.col("features").alias(LIST))} if embeddings else {}),
         "index_statistics": sums.select("project_id", "n", F.coalesce("words", F.lit(0)).cast("long").alias("words"), F.lit(version).alias("analyzer_version")),
     }
     return tables if lists else {name: unpacked(rows) for name, rows in tables.items()}
 
 
+def _postings(counted: DataFrame, version: str) -> DataFrame:
+    return counted.select("project_id", "document_id", "chunk_id", F.col("counts").cast("array<struct<term:string,tf:bigint>>").alias(LIST), "dl", F.lit(version).alias("analyzer_version"))
+
+
+def rows_from_stored(chunks: DataFrame, terms: Callable[..., DataFrame] = bm25.english_terms, version: str = bm25.ANALYZER_VERSION) -> dict[str, DataFrame | Callable]:
+    """What a commit takes as the tables chunks, postings and index_statistics: the last two are made from what it has written of the tables before, so nothing is kept twice."""
+    keys = ("project_id", "document_id", "chunk_id")
+
+    def postings(written: Callable[[str], DataFrame]) -> DataFrame:
+        return _postings(bm25.counted_terms(terms(written("chunks"), *keys), *keys), version)
+
+    def sums(written: Callable[[str], DataFrame]) -> DataFrame:
+        counts = written("chunks").groupBy("project_id").agg(F.count("*").alias("n"))
+        words = written("postings").select(F.col("project_id").alias("other"), F.explode(F.col(LIST)["tf"]).alias("tf")).groupBy("other").agg(F.sum("tf").alias("words"))
+        rows = counts.join(words, F.col("project_id").eqNullSafe(F.col("other")), "left")
+        return rows.select("project_id", "n", F.coalesce("words", F.lit(0)).cast("long").alias("words"), F.lit(version).alias("analyzer_version"))
+
+    return {"chunks": chunks, "postings": postings, "index_statistics": sums}
+
+
 def statistics(snapshot: Snapshot, projects: list | None = None) -> DataFrame:
     """(project_id, n, avgdl, analyzer_version): the sums of all batches and deletes; projects without a chunk left have no row."""
     sums = snapshot.read("index_statistics", projects).groupBy("project_id").agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.max("analyzer_version").alias("analyzer_version"))

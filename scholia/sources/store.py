@@ -15,7 +15,8 @@ a rebalance hint: adaptive execution cuts a large folder into several files.
 Tables in PACKED have many rows that differ in two short columns only. Their
 folders hold one row for all of these, with a list of the two; `read` and `rows`
 give the single rows, `lists` what lies on disk. A delete writes the rows that
-stay back to where they lay, without a shuffle.
+stay back to where they lay, without a shuffle. `delete_in_parts` deletes by
+project and frees each old part before it writes the next.
 
 Commits are optimistic: the pointer of a version is renamed into place, which
 succeeds once, and who comes second gets a Conflict and may start again from the
@@ -27,7 +28,7 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,8 +51,10 @@ PACKED = {"postings": ("term", "tf"), "features": ("dim", "weight")}
 LIST = "entries"
 #: So many ids of what is deleted are broadcast: at most 100 MB.
 MOST_SENT = 500_000
-#: Bytes of files that one task writes where they lie, and of the chunks that are brought together for it.
-TASK_BYTES = "32m"
+#: Bytes of files that one task writes where they lie, few enough to be sorted in memory, and of the chunks that are brought together for it.
+TASK_BYTES = "16m"
+#: A delete in parts has about so many; above so many projects it is one.
+PARTS, MOST_PARTED = 8, 2_000
 FOLDER = ("p_commit", "p_project", "p_slice")
 ENTRIES = "name string, p_commit string, p_project string, p_slice int, n long, schema string"
 
@@ -94,6 +97,21 @@ def unpacked(rows: DataFrame, columns: Iterable[str] | None = None) -> DataFrame
     return rows.select(*[c for c in rows.columns if c != LIST], F.inline(LIST)).select(*names)
 
 
+def grouped(sizes: dict) -> list[list]:
+    """Keys in groups whose sizes add up to no more than the largest size or a PARTS-th of all."""
+    most = max([sum(sizes.values()) / PARTS, *sizes.values()])
+    groups: list[list] = []
+    left: list[float] = []
+    for key in sorted(sizes, key=lambda k: -sizes[k]):
+        at = next((i for i, x in enumerate(left) if x >= sizes[key]), len(groups))
+        if at == len(groups):
+            groups.append([])
+            left.append(most)
+        groups[at].append(key)
+        left[at] -= sizes[key]
+    return groups
+
+
 @dataclass
 class Snapshot:
     """What one version holds. entries: (name, p_commit, p_project, p_slice, n, schema), one row per folder; marks: numbers by name."""
@@ -228,7 +246,12 @@ class Store:
                 raise Conflict(f"version {version} is taken") from error
             raise
 
-    def commit(self, base: Snapshot, add: dict[str, DataFrame] | None = None, drop: DataFrame | None = None, marks: dict[str, int] | None = None, lying: Iterable[str] = ()) -> Snapshot:
+    def _written(self, name: str, schema: StructType, commit: str) -> DataFrame:
+        """What a commit under way has written of a table, as it lies on disk."""
+        held = StructType([*packed_schema(name, schema).fields]).add("p_project", "string").add("p_slice", IntegerType())
+        return self.spark.read.schema(held).parquet(f"{self.root}/data/{name}/p_commit={commit}").drop(*FOLDER)
+
+    def commit(self, base: Snapshot, add: dict[str, DataFrame | Callable] | None = None, drop: DataFrame | None = None, marks: dict[str, int] | None = None, lying: Iterable[str] = ()) -> Snapshot:
         """A new version: the base without the folders in drop (name, p_commit, p_project, p_slice) and with the rows in add.
 
         marks are numbers kept beside the tables, such as the last batch of a
@@ -236,11 +259,16 @@ class Store:
         p_project and p_slice they go back to the folders of these. Rows of a
         table in PACKED may come as lists. The tables named in lying are written
         without a shuffle, so each of their partitions should have few projects.
+        Instead of rows, `add` may have a function: it gets one that reads by name
+        what this commit has written of the tables named before, and gives the rows.
         """
         commit = uuid.uuid4().hex
         schemas = dict(base.schemas)
         parts = [base.entries if drop is None else base.entries.join(drop.select("name", *FOLDER), ["name", *FOLDER], "left_anti").select(*base.entries.columns)]
         for name, rows in (add or {}).items():
+            if callable(rows):
+                with settings(self.spark, {"spark.sql.files.maxPartitionBytes": TASK_BYTES}):
+                    rows = rows(lambda table: self._written(table, schemas[table], commit))
             # What was read as not null may be null later, and the other way round.
             schema = unpacked(rows).drop(*FOLDER).schema
             schemas[name] = StructType.fromJson(json.loads(schema.json().replace('"nullable":false', '"nullable":true')))
@@ -328,6 +356,38 @@ class Store:
         scratch.keep("gone-documents")
         return out, gone, documents
 
+    def delete_in_parts(self, base: Snapshot, table: str, ids: DataFrame) -> tuple[Snapshot, dict[str, int], DataFrame | None]:
+        """What delete does, project by project (small ones together), each part with its version; what only older versions read goes in between.
+
+        So the disk holds one part twice, not the whole store. Each version is a
+        whole one, and after a crash the same call deletes the rest. Older
+        snapshots, `base` too, can't be read any more.
+        """
+        key, scratch = ids.columns[0], Scratch(self.spark, "parts")
+        groups: list[list | None] = [None]
+        hit = ids
+        if base.holds(table) and "project_id" in base.schemas[table].names:
+            hit = scratch.write(base.read(table).join(ids.select(key).distinct(), key, "left_semi").select(*dict.fromkeys([key, "project_id"])), "hit")
+            projects = [r[0] for r in hit.select("project_id").distinct().limit(MOST_PARTED + 1).collect()]
+            if 0 < len(projects) <= MOST_PARTED:
+                folders = dict(zip(projects, project_folders(projects), strict=True))
+                sizes = dict(base.entries.filter(F.col("p_project").isin([*folders.values()])).groupBy("p_project").agg(F.sum("n")).collect())
+                groups = grouped({p: sizes[f] for p, f in folders.items()})
+        now, gone, documents = base, {}, None
+        for group in groups:
+            own = hit
+            if group is not None:
+                own = hit.filter(F.col("project_id").isin([p for p in group if p is not None]) | (F.col("project_id").isNull() if None in group else F.lit(False)))
+            after, counts, part = self.delete(now, table, own.select(key), group)
+            gone = {name: gone.get(name, 0) + counts.get(name, 0) for name in {**gone, **counts}}
+            if part is not None:
+                documents = part if documents is None else documents.unionByName(part)
+            if after.version != now.version:
+                self.vacuum()
+            now = after
+        scratch.drop()
+        return now, gone, documents
+
     def remove_uploads(self, documents: DataFrame) -> int:
         """Delete the upload files of deleted documents (stored_path), after their delete was published; how many there were.
 
@@ -350,21 +410,36 @@ class Store:
         return self.commit(base, {name: rows.select(*packed_schema(name, base.schemas[name]).names, "p_project", "p_slice")}, touched)
 
     def vacuum(self, keep: int = 1) -> list[str]:
-        """Delete the commits that none of the newest `keep` versions reads, and what crashed commits left; returns them.
+        """Delete the commits, and the folders of commits, that none of the newest `keep` versions reads, and what crashed commits left; returns them.
 
         Not while a commit is under way: its folders are not in any version yet.
         """
         versions = self.versions()
         kept = {v: self._commit_of(v) for v in versions[:keep]}
-        live = set(kept.values())
+        live = {f"p_commit={commit}" for commit in kept.values()}
+        read: dict[str, set[str]] = {}  # by project's folder, the slices that are read
         for version in kept:
-            live |= {r["p_commit"] for r in self.snapshot(version).entries.select("p_commit").distinct().collect()}
+            for r in self.snapshot(version).entries.select("name", *FOLDER).toLocalIterator():
+                live.add(f"p_commit={r['p_commit']}")
+                read.setdefault(f"{r['name']}/p_commit={r['p_commit']}/p_project={r['p_project']}", set()).add(f"p_slice={r['p_slice']}")
         dead = []
+
+        def drop(path: str) -> None:
+            self._remove(f"{self.root}/data/{path}")
+            dead.append(path)
+
         for table in self._names(f"{self.root}/data"):
             for folder in self._names(f"{self.root}/data/{table}"):
-                if folder.removeprefix("p_commit=") not in live:
-                    self._remove(f"{self.root}/data/{table}/{folder}")
-                    dead.append(f"{table}/{folder}")
+                if folder not in live:
+                    drop(f"{table}/{folder}")
+                    continue
+                for project in (f"{table}/{folder}/{p}" for p in self._names(f"{self.root}/data/{table}/{folder}") if p.startswith("p_project=")):
+                    if project not in read:
+                        drop(project)
+                        continue
+                    for at in self._names(f"{self.root}/data/{project}"):
+                        if at.startswith("p_slice=") and at not in read[project]:
+                            drop(f"{project}/{at}")
         for version in versions[keep:]:
             self._remove(f"{self.root}/versions/{version:012d}")
         for commit in self._names(f"{self.root}/manifests"):
