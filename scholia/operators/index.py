@@ -21,8 +21,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from scholia.operators import bm25, retrieval, services
 from scholia.operators.vectors import BROADCAST_QUERIES, feature_lists
-from scholia.session import checkpointed, stored
-from scholia.sources.store import LIST, Snapshot, slice_of, unpacked
+from scholia.session import Scratch, checkpointed, stored
+from scholia.sources.store import LIST, MOST_PARTED, Snapshot, grouped, slice_of, unpacked
 
 #: So many terms, dimensions or projects of a batch of questions are named in its filters; beyond that the joins alone pick.
 MOST_NAMED = 2_000
@@ -117,6 +117,18 @@ def _counted(snapshot: Snapshot, asked: DataFrame, projects: list | None) -> Dat
     return found.mapInArrow(worded, StructType([*own]).add("counts", bm25.COUNTS))
 
 
+def _counted_in_parts(snapshot: Snapshot, asked: DataFrame, sums: DataFrame, projects: list | None) -> DataFrame:
+    """The rows of _counted, written project by project (small ones together), so the disk holds the shuffle of one part only. sums: (project_id, n)."""
+    sizes = dict(sums.select("project_id", "n").filter("project_id IS NOT NULL").limit(MOST_PARTED + 1).collect())
+    groups = grouped(sizes) if 0 < len(sizes) <= MOST_PARTED else [projects]
+    scratch = Scratch(snapshot.store.spark, "counted")
+    parts = [scratch.write(_counted(snapshot, asked, group), f"part-{i}") for i, group in enumerate(groups)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def search_stored(snapshot: Snapshot, queries: DataFrame, k: int = retrieval.TOP_K, terms: Callable[..., DataFrame] = bm25.english_terms, embeddings: bool = True) -> DataFrame:
     """What retrieval.hybrid_search gives over the stored chunks, from the index alone: (query_id, project_id, chunk_id, score, rank, document_id).
 
@@ -126,9 +138,10 @@ def search_stored(snapshot: Snapshot, queries: DataFrame, k: int = retrieval.TOP
     queries = checkpointed(queries)
     projects = _named(queries, "project_id") if "project_id" in queries.columns else None
     asked = checkpointed(terms(queries, "query_id").select(F.explode("terms").alias("term")).distinct())
-    counted = stored(_counted(snapshot, asked, projects))
+    sums = statistics(snapshot, projects)
+    counted = _counted_in_parts(snapshot, asked, sums, projects)
     deep = retrieval.overfetch(k) if embeddings else k
-    lists = [bm25.search_counted(queries, counted, statistics(snapshot, projects), deep, terms)]
+    lists = [bm25.search_counted(queries, counted, sums, deep, terms)]
     homes = counted.select("project_id", "chunk_id", "document_id")
     if embeddings:
         dims = checkpointed(retrieval.query_features(queries))

@@ -80,6 +80,17 @@ def test_a_delete_in_parts_keeps_one_part_twice(spark, store, monkeypatch):
     assert again.version == after.version and not any(gone.values())
 
 
+def test_a_search_shuffles_one_part_at_a_time(spark, store, monkeypatch):
+    own, snapshot, chunks = store
+    parts, write = [], Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name: (parts.append(name), write(self, df, name))[1])
+    queries = spark.createDataFrame([(1, "alpha alpha kappa"), (2, "zeta unheard")], "query_id int, content string")
+    columns = ["query_id", "project_id", "chunk_id", "score", "rank"]
+    got = index.search_stored(snapshot, queries, 5, bm25.plain_terms, embeddings=False).select(*columns)
+    assert len([p for p in parts if p.startswith("part-")]) > 2
+    assert same(got, bm25.search_chunks(queries, chunks, 5, bm25.plain_terms)) and got.count() > 10
+
+
 def test_groups_are_no_larger_than_the_largest():
     sizes = {"a": 50, "b": 9, "c": 30, "d": 21, "e": 40, None: 1}
     groups = grouped(sizes)
